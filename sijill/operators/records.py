@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from sijill.functions.calendar import given, miladi
 from sijill.functions.names import display_names, university_name
 from sijill.functions.text import has_text, or_empty, page_path, snippet
-from sijill.operators.graph import neighbours
 from sijill.operators.places import PLACES_TYPE, gazetteer, place_lists, with_place
-from sijill.operators.scale import HOT_ROWS, PAGE
+from sijill.operators.scale import HOT_ROWS, spread_join
 
 WORK_COLUMNS = ["id", "type", "title", "titleTranslation", "authors", "language", "year", "university", "city",
                 "department", "advisors", "topics", "pageCount", "url", "fullText", "abstract", "yokId", "origin", "addedAt"]
@@ -26,13 +25,12 @@ def or_none(values: str) -> Column:
     return F.coalesce(F.col(values), F.array().cast("array<string>"))
 
 
-def scholar_records(scholars: DataFrame, places: DataFrame, edge_rows: DataFrame, base_url: str,
-                    page: int = PAGE, hot_rows: int = HOT_ROWS) -> DataFrame:
+def scholar_records(scholars: DataFrame, places: DataFrame, people: DataFrame, base_url: str,
+                    hot_rows: int = HOT_ROWS) -> DataFrame:
     """One flat record per scholar, by ``order``.
 
-    ``teacherIds`` and ``studentIds`` hold at most ``page`` ids: a scholar with more goes on in
-    records of the same id with part 1, 2, … that carry only the ids. Ids of people without a
-    record are kept.
+    ``people`` is the written table of ``neighbours``. A scholar whose ids fill several parts of it goes on in
+    records of the same id with part 1, 2, … that carry only the ids. Ids of people without a record are kept.
     """
     lookup = gazetteer(places)
     located = with_place(with_place(scholars, F.col("birth.place"), "birthPlace", lookup, ["id"]),
@@ -51,7 +49,6 @@ def scholar_records(scholars: DataFrame, places: DataFrame, edge_rows: DataFrame
         F.struct(source["book"].alias("book"), source["page"].alias("page"), source["entry"].alias("entry")).alias("source"),
     )
     lists = place_lists(scholars, lookup)
-    people = neighbours(edge_rows, page, hot_rows)
     full = (flat.join(lists, "id", "left")
             .join(people.where(F.col("part") == 0).select("id", F.col("teacher_ids").alias("teacherIds"),
                                                           F.col("student_ids").alias("studentIds")), "id", "left"))
@@ -64,7 +61,9 @@ def scholar_records(scholars: DataFrame, places: DataFrame, edge_rows: DataFrame
         "places": F.coalesce("places", F.array().cast(PLACES_TYPE)),
         "teacherIds": F.coalesce("teacherIds", none), "studentIds": F.coalesce("studentIds", none),
     }).select(*columns)
-    more = people.where(F.col("part") > 0).join(scholars.select("id", "order"), "id").select(
+    # One scholar may own most of the further parts.
+    rest = people.where(F.col("part") > 0)
+    more = spread_join(rest, scholars.select("id", "order"), ["id"], "inner", ["id", "part"], hot_rows).select(
         "id", "part", "order", F.col("teacher_ids").alias("teacherIds"), F.col("student_ids").alias("studentIds"))
     return first.unionByName(more, allowMissingColumns=True).orderBy("order", "part")
 
