@@ -102,7 +102,7 @@ _TERMS = [("fikih_usulu", "title", "the", 2.0), ("fikih_usulu", "abstract", "of
 def _classified(spark, sf_dir, examine_all=True):
     terms = spark.createDataFrame(_TERMS, "category string, field string, term string, weight double")
     feed = works(spark, sf_dir).select("id", "title", "topics", "abstract", "department")
-    return classify(feed, _PATTERNS, terms, accept=3.0, review=1.5, examine_all=examine_all, longest_term=3)
+    return classify(feed, _PATTERNS, terms, accept=3.0, review=1.5, examine_all=examine_all)
 
 
 def _routes(df):

@@ -99,12 +99,19 @@ def words(text: Column) -> Column:
     return F.filter(F.split(fold(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
 
 
-def ngrams(tokens: Column, longest: int) -> Column:
-    """Distinct word sequences of one up to ``longest`` words."""
+def word_positions(tokens: Column, vocabulary: list[str] | None = None) -> Column:
+    """Positions of the words, or of those in the vocabulary."""
+    wanted = lambda w: F.lit(True) if vocabulary is None else w.isin(vocabulary)
+    return F.filter(F.transform(tokens, lambda w, i: F.when(wanted(w), i)), lambda i: i.isNotNull())
+
+
+def sequences(tokens: Column, starts: Column, longest: int) -> Column:
+    """Distinct word sequences of one up to ``longest`` words from the given positions.
+
+    ``tokens`` and ``starts`` should be plain columns, since they are named once per word.
+    """
     def of_size(n: int) -> Column:
-        if n == 1:
-            return tokens
-        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(
-            F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
+        # Near the end a sequence comes out shorter, and equal to one of the shorter ones.
+        return F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(tokens, i + k) for k in range(n)]))
+
     return F.array_distinct(F.concat(*[of_size(n) for n in range(1, longest + 1)]))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sijill.functions.names import work_slug
-from sijill.functions.text import fold, ngrams, words
+from sijill.functions.text import fold, sequences, word_positions, words
 from sijill.operators.scale import HOT_ROWS, Lookup, first_per_group, numbered_within, spread_join, spread_missing
 from sijill.values import (OLDEST_YEAR, ORIGIN_HARVESTED, RESULTS_PER_QUERY, RESTRICTED_RECHECK_DAYS, STATUS_ACCEPTED,
                            STATUS_REJECTED, STATUS_REVIEW, SUBJECT_OF_CATEGORY, UNIT_RECHECK_DAYS, YEARS_BACK)
@@ -80,24 +80,35 @@ def in_department(department: Column, patterns: list[str]) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
-def term_scores(feed: DataFrame, terms: DataFrame, longest_term: int = 1) -> DataFrame:
+MAX_VOCABULARY = 10_000  # first words of terms that may be written into the plan
+
+
+def term_scores(feed: DataFrame, terms: DataFrame) -> DataFrame:
     """(id, category, score): weights of the terms found, each term once per field.
 
-    ``terms`` is (category, field, term, weight) over the fields title, keywords and abstract, with terms
-    of up to ``longest_term`` words. Whole texts become distinct word sequences that meet the terms in an
-    equi-join; only hits are shuffled.
+    ``terms`` is the rule table (category, field, term, weight) over the fields title, keywords and abstract; a
+    term is one or more words. Whole texts become words, the places where a term could start become word
+    sequences, and those meet the terms in an equi-join; only hits are shuffled.
     """
+    weighted = terms.select("category", "field", F.array_join(words(F.col("term")), " ").alias("term"),
+                            F.col("weight").cast("decimal(18,3)").alias("weight"))
+    lookup = Lookup(weighted)
+    longest = weighted.agg(F.max(F.size(F.split("term", " "))).alias("n")).first().n or 1
+    first_words = weighted.select(F.split("term", " ")[0].alias("w")).distinct().limit(MAX_VOCABULARY + 1).collect()
+    vocabulary = [r.w for r in first_words] if len(first_words) <= MAX_VOCABULARY else None
+
     fields = {"title": F.col("title"), "keywords": F.array_join("topics", " \n "), "abstract": F.col("abstract")}
-    tokens = F.explode(F.array(*[
-        F.struct(F.lit(name).alias("field"), ngrams(words(text), longest_term).alias("terms")) for name, text in fields.items()]))
-    rows = feed.select("id", tokens.alias("t")).select("id", "t.field", F.explode("t.terms").alias("term"))
-    weighted = terms.select("category", "field", fold(F.col("term")).alias("term"), F.col("weight").cast("decimal(18,3)").alias("weight"))
-    hits = Lookup(weighted).join(rows, ["field", "term"], "inner", spread=["id"])
+    texts = F.explode(F.array(*[F.struct(F.lit(name).alias("field"), text.alias("text")) for name, text in fields.items()]))
+    # Words and starts are columns of their own, so that a text is split once for all its sequences.
+    tokens = feed.select("id", texts.alias("t")).select("id", "t.field", words(F.col("t.text")).alias("tokens"))
+    starts = tokens.withColumn("starts", word_positions(F.col("tokens"), vocabulary))
+    rows = starts.select("id", "field", F.explode(sequences(F.col("tokens"), F.col("starts"), longest)).alias("term"))
+    hits = lookup.join(rows, ["field", "term"], "inner", spread=["id"])
     return hits.groupBy("id", "category").agg(F.sum("weight").alias("score"))
 
 
 def classify(feed: DataFrame, patterns: list[str], terms: DataFrame, accept: float, review: float,
-             examine_all: bool = True, longest_term: int = 1) -> DataFrame:
+             examine_all: bool = True) -> DataFrame:
     """Route each record: accepted, to manual review, or rejected, with its categories.
 
     Without ``examine_all`` only records of a matching department are read for terms, and the others are
@@ -105,7 +116,7 @@ def classify(feed: DataFrame, patterns: list[str], terms: DataFrame, accept: flo
     """
     staged = feed.withColumn("_department", in_department(F.col("department"), patterns))
     candidates = staged if examine_all else staged.where("_department")
-    scores = term_scores(candidates, terms, longest_term)
+    scores = term_scores(candidates, terms)
     # Categories are as few as the term table has.
     best = scores.groupBy("id").agg(F.max("score").alias("score"), F.array_sort(F.collect_set("category")).alias("categories"))
     status = (F.when(F.col("score") >= accept, STATUS_ACCEPTED).when(F.col("score") >= review, STATUS_REVIEW)
