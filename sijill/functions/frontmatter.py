@@ -17,10 +17,10 @@ def clean(text: Column) -> Column:
 
 
 def front_and_body(text: Column) -> tuple[Column, Column]:
-    """The part between the two ``---`` lines and the trimmed rest."""
-    parts = F.split(clean(text), r"(?m)^---[ \t]*$", 3)
-    return F.try_element_at(parts, F.lit(2)), F.trim(F.regexp_replace(
-        F.coalesce(F.try_element_at(parts, F.lit(3)), F.lit("")), r"^\s+|\s+\z", ""))
+    """The cleaned part between the two ``---`` lines and the trimmed rest."""
+    parts = F.split(text, r"(?m)^---[ \t\r]*$", 3)
+    body = F.regexp_replace(F.coalesce(F.try_element_at(parts, F.lit(3)), F.lit("")), r"\A\s+|\s+\z", "")
+    return clean(F.try_element_at(parts, F.lit(2))), body
 
 
 def _unescape(inner: Column) -> Column:

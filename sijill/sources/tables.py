@@ -9,7 +9,7 @@ from sijill.operators.graph import flatten_links
 from sijill.sources.files import whole_files
 
 LINKS = "map<string,map<string,map<string,string>>>"
-PLACES = "name struct<tr:string>, lat double, lng double"
+PLACES = "map<string,struct<name:struct<tr:string>,lat:double,lng:double>>"
 ENTRIES = "n int, pageStart int, pageEnd int, heading string, text string"
 
 
@@ -22,14 +22,14 @@ def read_links(spark: SparkSession, path: str, per_line: bool = False) -> DataFr
     return flatten_links(rows.select(F.from_json("value", LINKS).alias("links")))
 
 
-def read_places(spark: SparkSession, folder: str) -> DataFrame:
-    """Gazetteer from one ``{id: {name, lat, lng}}`` object per file."""
-    rows = whole_files(spark, folder, "*.json").select(F.from_json("value", f"map<string,struct<{_struct(PLACES)}>>").alias("m"))
-    return rows.select(F.explode("m").alias("id", "p")).select("id", "p.*")
+def parse_places(files: DataFrame) -> DataFrame:
+    """(value) with one ``{id: {name, lat, lng}}`` object each → gazetteer."""
+    rows = files.select(F.explode(F.from_json("value", PLACES)).alias("id", "p"))
+    return rows.select("id", "p.name", "p.lat", "p.lng")
 
 
-def _struct(columns: str) -> str:
-    return ",".join(c.strip().replace(" ", ":", 1) for c in columns.split(", "))
+def read_places(spark: SparkSession, folder: str) -> DataFrame:
+    return parse_places(whole_files(spark, folder, "*.json"))
 
 
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
