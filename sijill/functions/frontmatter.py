@@ -72,16 +72,18 @@ def string_list(text: Column) -> Column:
 def json_object(text: Column) -> Column:
     """A file of ``key: value`` lines with JSON-like values as the text of one JSON object."""
     lines = F.filter(F.split(clean(text), "\n"), lambda l: l.rlike(r"^\w+:"))
+    # Key and value are named often below, so each line is split once.
+    pairs = F.transform(F.transform(lines, lambda l: F.split(l, ":", 2)),
+                        lambda p: F.struct(p[0].alias("key"), F.btrim(p[1], F.lit(" \t")).alias("value")))
 
-    def pair(line: Column) -> Column:
-        key = F.regexp_extract(line, r"^(\w+):\s*(.*?)\s*\z", 1)
-        value = F.regexp_extract(line, r"^(\w+):\s*(.*?)\s*\z", 2)
+    def member(pair: Column) -> Column:
+        value = pair["value"]
         plain = F.replace(F.regexp_replace(value, r"^'|'\z", ""), F.lit("''"), F.lit("'"))
         text = F.concat(F.lit('"'), F.regexp_replace(plain, r'(["\\])', r"\\$1"), F.lit('"'))
-        as_json = F.when(value == "", "null").when(value.rlike(r'^["\[{]'), value).otherwise(text)
-        return F.concat(F.lit('"'), key, F.lit('":'), as_json)
+        as_json = F.when(value == "", "null").when(F.substring(value, 1, 1).isin('"', "[", "{"), value).otherwise(text)
+        return F.concat(F.lit('"'), pair["key"], F.lit('":'), as_json)
 
-    return F.concat(F.lit("{"), F.array_join(F.transform(lines, pair), ","), F.lit("}"))
+    return F.concat(F.lit("{"), F.array_join(F.transform(pairs, member), ","), F.lit("}"))
 
 
 JSON_OPTIONS = _JSON

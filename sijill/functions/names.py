@@ -31,9 +31,12 @@ def department_parts(department: Column) -> Column:
     return F.struct(F.element_at(parts, 1).alias("first"), F.element_at(parts, -1).alias("last"))
 
 
+def _plain(text: Column) -> Column:
+    return F.lower(F.translate(text, _LETTERS, _PLAIN))
+
+
 def slug(text: Column) -> Column:
-    plain = F.lower(F.translate(text, _LETTERS, _PLAIN))
-    return F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "-"), "^-|-$", "")
+    return F.regexp_replace(F.regexp_replace(_plain(text), "[^a-z0-9]+", "-"), "^-|-$", "")
 
 
 def work_slug(author: Column, title: Column, year: Column, title_words: int = 2) -> Column:
@@ -42,6 +45,6 @@ def work_slug(author: Column, title: Column, year: Column, title_words: int = 2)
     Title words of up to three letters are passed over.
     """
     surname = slug(F.split(author, ",", 2)[0])
-    picked = F.slice(F.filter(F.split(slug(title), "-"), lambda w: F.length(w) > 3), 1, title_words)
+    picked = F.slice(F.filter(F.split(_plain(title), "[^a-z0-9]+"), lambda w: F.length(w) > 3), 1, title_words)
     parts = F.concat(F.array(surname), picked, F.array(F.coalesce(year.cast("string"), F.lit("nodate"))))
     return F.array_join(F.filter(parts, lambda p: p != ""), "-")

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from sijill.values import DEFAULT_LANGUAGE, EXCERPT_LENGTH, LANGUAGES, SNIPPET_CUT, SNIPPET_LENGTH
 
-# --- Fixed value: white space as browsers see it --------------------------------
+# --- Fixed values: white space as browsers see it -------------------------------
 # Java's \s lacks the no-break, typographic and byte-order-mark spaces.
 SPACE = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+# The same set for whole texts: letters outside U+1680 to U+FEFF are told apart by one comparison.
+SPACES = r"[\t\n\x0B\f\r \u00A0[\u1680-\uFEFF&&[\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]]]+"
 
 _PATH_LANGUAGE = f"^/({'|'.join(LANGUAGES)})(?=/|$)"
 
@@ -20,17 +22,21 @@ def _cut_at_word(text: Column, length: int) -> Column:
     return F.concat(F.regexp_replace(head, rf"[{SPACE}]+[^{SPACE}]*\z", ""), F.lit("…"))
 
 
+def _shortened(text: Column, longest: int, cut: int) -> Column:
+    # The one-element array names a costly text once for its three uses.
+    return F.transform(F.array(text), lambda t: F.when(F.length(t) > longest, _cut_at_word(t, cut)).otherwise(t))[0]
+
+
 def excerpt(body: Column, length: int = EXCERPT_LENGTH) -> Column:
     """Opening of a text without its bold heading, on one line."""
     # Anchored, so that only the first heading goes.
     plain = F.regexp_replace(F.coalesce(body, F.lit("")), r"(?s)^(.*?)\*\*[^*]+\*\*", "$1")
-    line = F.trim(F.regexp_replace(plain, f"[{SPACE}]+", " "))
-    return F.when(F.length(line) > length, _cut_at_word(line, length)).otherwise(line)
+    return _shortened(F.trim(F.regexp_replace(plain, SPACES, " ")), length, length)
 
 
 def snippet(text: Column) -> Column:
     """Abstract for a list row: at most 260 characters, empty when absent."""
-    return F.when(F.length(text) > SNIPPET_LENGTH, _cut_at_word(text, SNIPPET_CUT)).otherwise(F.coalesce(text, F.lit("")))
+    return _shortened(F.coalesce(text, F.lit("")), SNIPPET_LENGTH, SNIPPET_CUT)
 
 
 def summary_text(summary: Column, body: Column, lang: str) -> Column:
@@ -90,13 +96,13 @@ def iso_day(moment: Column) -> Column:
 
 def fold(text: Column) -> Column:
     """Lower case for search; dotted and dotless Turkish i become plain i."""
-    return F.lower(F.translate(text, "İı", "ii"))
+    return F.replace(F.lower(F.replace(text, F.lit("İ"), F.lit("i"))), F.lit("ı"), F.lit("i"))
 
 
 def words(text: Column) -> Column:
     """Folded words of a text, in order."""
-    # Letters, marks and digits make words in any script.
-    return F.filter(F.split(fold(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
+    # Letters, marks and digits make words in any script; plain ones are tested first.
+    return F.filter(F.split(fold(F.coalesce(text, F.lit(""))), r"[^a-z0-9\p{L}\p{M}\p{N}]+"), lambda w: w != "")
 
 
 def word_positions(tokens: Column, vocabulary: list[str] | None = None) -> Column:

@@ -13,7 +13,8 @@ EDGE_ORDER = ["source", "role_rank", "idx"]
 
 def flatten_links(links: DataFrame) -> DataFrame:
     """(links MAP<id, MAP<role, MAP<index, other>>>) → one row (id, role, idx, other) per mention."""
-    entries = links.select(F.explode("links").alias("id", "roles"))
+    # An inner explode would have Spark test the parsed map for emptiness first, parsing it again for that.
+    entries = links.select(F.explode_outer("links").alias("id", "roles")).where(F.col("id").isNotNull())
     lists = entries.select("id", F.explode("roles").alias("role", "mentions"))
     return (lists.select("id", "role", F.explode("mentions").alias("idx", "other"))
             .select("id", "role", F.col("idx").cast("int").alias("idx"), "other"))

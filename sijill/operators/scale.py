@@ -49,7 +49,7 @@ class Lookup:
 
 
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """Keys that own more rows than one task should take, or None when there are none.
+    """Keys that own more rows than one task should take, with their rows ``_n``, or None when there are none.
 
     Counting combines map-side. At most ``MAX_HOT_KEYS`` keys qualify, since each of
     them owns more than that fraction of the table.
@@ -59,7 +59,7 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFr
     if seen.largest is None or seen.largest <= hot_rows:
         return None
     floor = max(hot_rows, seen.total // MAX_HOT_KEYS)
-    hot = materialise(counts.where(F.col("_n") > floor).select(*keys), "hot-keys")
+    hot = materialise(counts.where(F.col("_n") > floor), "hot-keys")
     return None if hot.isEmpty() else hot
 
 
@@ -95,17 +95,17 @@ def spread_missing(key: Column, spread: list[str], buckets: int = 4096) -> Colum
     return F.when(key.isNull(), F.pmod(F.xxhash64(*spread), F.lit(buckets)).cast("int")).otherwise(0)
 
 
-def _in_slices(df: DataFrame, order: list[str]) -> DataFrame:
+def _in_slices(df: DataFrame, order: list[str], slices: int) -> DataFrame:
     """Range-partition by ``order`` and keep the slice number with each row.
 
     The table is written, so that both readers of it see the same slices.
     """
-    placed = df.repartitionByRange(*order).withColumn("_slice", F.spark_partition_id())
+    placed = df.repartitionByRange(slices, *order).withColumn("_slice", F.spark_partition_id())
     return materialise(placed, "slices")
 
 
-def _number_slices(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
-    placed = _in_slices(df, [*keys, *order])
+def _number_slices(df: DataFrame, keys: list[str], order: list[str], name: str, slices: int) -> DataFrame:
+    placed = _in_slices(df, [*keys, *order], slices)
     counts = placed.groupBy("_slice", *keys).agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     # One row per slice and key it holds: bounded by the number of slices plus the number of hot keys.
@@ -120,9 +120,9 @@ def _number_slices(df: DataFrame, keys: list[str], order: list[str], name: str)
     return joined.select(*df.columns, (F.col("_local") + F.col("_before")).cast("bigint").alias(name))
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
+def numbered(df: DataFrame, order: list[str], name: str = "n", slice_rows: int = HOT_ROWS) -> DataFrame:
     """Exact 1-based row numbers over the whole table; ``order`` must be a total order."""
-    return _number_slices(df, [], order, name)
+    return _number_slices(df, [], order, name, slices=-(-df.count() // slice_rows) or 1)
 
 
 def numbered_within(df: DataFrame, keys: list[str], order: list[str], name: str = "n",
@@ -134,7 +134,8 @@ def numbered_within(df: DataFrame, keys: list[str], order: list[str], name: str
         return df.withColumn(name, plain)
     flagged = _flag_hot(df, hot, keys)
     usual = flagged.where(~F.col("_hot")).drop("_hot").withColumn(name, plain)
-    large = _number_slices(flagged.where("_hot").drop("_hot"), keys, order, name)
+    slices = -(-hot.agg(F.sum("_n")).first()[0] // hot_rows)
+    large = _number_slices(flagged.where("_hot").drop("_hot"), keys, order, name, slices)
     return usual.unionByName(large)
 
 

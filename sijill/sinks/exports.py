@@ -15,7 +15,7 @@ from sijill.operators.records import WORK_COLUMNS, compact_rows, work_records
 from sijill.values import SCHOLAR_CSV_COLUMNS
 
 # --- Fixed values: byte-order mark and separators of the exports ----------------
-BOM = "﻿"
+BOM = "\ufeff"
 CSV_LINE_END = "\r\n"
 BIBTEX_SEPARATOR = "\n\n"
 RIS_LINE_END = "\r\n"

@@ -24,8 +24,8 @@ def read_links(spark: SparkSession, path: str, per_line: bool = False) -> DataFr
 
 def parse_places(files: DataFrame) -> DataFrame:
     """(value) with one ``{id: {name, lat, lng}}`` object each → gazetteer."""
-    rows = files.select(F.explode(F.from_json("value", PLACES)).alias("id", "p"))
-    return rows.select("id", "p.name", "p.lat", "p.lng")
+    rows = files.select(F.explode_outer(F.from_json("value", PLACES)).alias("id", "p"))
+    return rows.where(F.col("id").isNotNull()).select("id", "p.name", "p.lat", "p.lng")
 
 
 def read_places(spark: SparkSession, folder: str) -> DataFrame:
