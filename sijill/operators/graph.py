@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sijill.operators.scale import HOT_ROWS, PAGE, paged_lists, spread_join
+from sijill.operators.scale import HOT_ROWS, PAGE, paged_lists
 
 # Edges are ordered by the entry that mentions them, teachers before students, then list position.
 EDGE_ORDER = ["source", "role_rank", "idx"]
@@ -78,4 +78,4 @@ def matched_names(scholars: DataFrame, mentions: DataFrame, role: str) -> DataFr
     """
     names = scholars.select("id", F.posexplode(role).alias("idx", "listed"))
     known = mentions.where(F.col("role") == role).select("id", "idx", F.col("other").alias("ref"))
-    return spread_join(names, known, ["id", "idx"], "left", spread=["id", "idx", "listed"])
+    return names.join(known, ["id", "idx"], "left")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from sijill.functions.names import work_slug
 from sijill.functions.text import fold, sequences, word_positions, words
-from sijill.operators.scale import HOT_ROWS, Lookup, first_per_group, numbered_within, spread_join, spread_missing
+from sijill.operators.scale import HOT_ROWS, Lookup, first_per_group, key_or_own, numbered_within, spread_join
+from sijill.session import materialise
 from sijill.values import (OLDEST_YEAR, ORIGIN_HARVESTED, RESULTS_PER_QUERY, RESTRICTED_RECHECK_DAYS, STATUS_ACCEPTED,
                            STATUS_REJECTED, STATUS_REVIEW, SUBJECT_OF_CATEGORY, UNIT_RECHECK_DAYS, YEARS_BACK)
 
@@ -128,26 +129,25 @@ def classify(feed: DataFrame, patterns: list[str], terms: DataFrame, accept: flo
             .withColumn("status", status).withColumnRenamed("_department", "in_department"))
 
 
-def with_subjects(classified: DataFrame, mapping: DataFrame | None = None, name: str = "topics") -> DataFrame:
-    """Subject labels of accepted records; a category without a label adds none."""
-    spark = classified.sparkSession
-    mapping = mapping if mapping is not None else spark.createDataFrame(SUBJECT_OF_CATEGORY, "category string, subject string")
-    rows = classified.where(F.col("status") == STATUS_ACCEPTED).select("id", F.explode("categories").alias("category"))
-    tagged = Lookup(mapping).join(rows, ["category"], "inner", spread=["id"])
-    # As few labels per record as the mapping has.
-    subjects = tagged.groupBy("id").agg(F.array_sort(F.collect_set("subject")).alias("_subjects"))
-    return (classified.join(subjects, "id", "left").withColumn(name, F.coalesce("_subjects", F.array().cast("array<string>")))
-            .drop("_subjects"))
+def with_subjects(classified: DataFrame, mapping: dict[str, str] | None = None, name: str = "topics") -> DataFrame:
+    """Subject labels of accepted records; a category without a label adds none.
+
+    The mapping is a setting of a few entries, so it is part of the plan and nothing is shuffled.
+    """
+    pairs = (mapping or dict(SUBJECT_OF_CATEGORY)).items()
+    subject_of = F.create_map(*[F.lit(x) for pair in pairs for x in pair])
+    found = F.filter(F.transform("categories", lambda c: F.try_element_at(subject_of, c)), lambda x: x.isNotNull())
+    subjects = F.when(F.col("status") == STATUS_ACCEPTED, F.array_sort(F.array_distinct(found)))
+    return classified.withColumn(name, F.coalesce(subjects, F.array().cast("array<string>")))
 
 
 # --- publishing -----------------------------------------------------------------
 
 def correct_types(works: DataFrame, registry: DataFrame) -> DataFrame:
     """Degree type from the registry where the registry id agrees; works without an id keep theirs."""
-    known = registry.select("yokId", F.col("type").alias("_type"), F.lit(0).alias("_spread"))
-    spread = works.withColumn("_spread", spread_missing(F.col("yokId"), ["id"]))
-    return (spread.join(known, ["yokId", "_spread"], "left")
-            .withColumn("type", F.coalesce("_type", "type")).drop("_type", "_spread").select(*works.columns))
+    known = registry.where(F.col("yokId").isNotNull()).select(F.col("yokId").cast("string").alias("_key"), F.col("type").alias("_type"))
+    keyed = works.withColumn("_key", key_or_own(F.col("yokId"), ["id"]))
+    return keyed.join(known, "_key", "left").withColumn("type", F.coalesce("_type", "type")).select(*works.columns)
 
 
 _NUMBERED = r"^(.*-(?:\d{4}|nodate))-(\d+)$"
@@ -159,7 +159,8 @@ def _new_ids(fresh: DataFrame, works: DataFrame, hot_rows: int) -> DataFrame:
         F.when(F.col("id").rlike(_NUMBERED), F.regexp_extract("id", _NUMBERED, 1)).otherwise(F.col("id")).alias("_base"),
         F.when(F.col("id").rlike(_NUMBERED), F.regexp_extract("id", _NUMBERED, 2).cast("bigint")).otherwise(0).alias("_no"),
     ).groupBy("_base").agg(F.max("_no").alias("_last"))
-    based = fresh.withColumn("_base", work_slug(F.try_element_at("authors", F.lit(1)), F.col("title"), F.col("year")))
+    based = materialise(fresh.withColumn(
+        "_base", work_slug(F.try_element_at("authors", F.lit(1)), F.col("title"), F.col("year"))), "new-works")
     ranked = numbered_within(based, ["_base"], ["yokId"], "_n", hot_rows)
     numbered = spread_join(ranked, taken, ["_base"], "left", spread=["yokId"], hot_rows=hot_rows)
     number = F.col("_n") + F.coalesce("_last", F.lit(-1))
@@ -177,9 +178,9 @@ def upsert(works: DataFrame, feed: DataFrame, run_date: date, years_back: int =
     """
     fields = [c for c in works.columns if c not in ("id", "yokId", "origin", "addedAt")]
     window = feed.where(F.col("yokId").isNotNull() & recent(F.col("year"), run_date, years_back))
-    new = window.select("yokId", F.lit(0).alias("_spread"), F.struct(*[
+    new = window.select("yokId", F.struct(*[
         (F.col(c) if c in feed.columns else F.lit(None).cast(works.schema[c].dataType)).alias(c) for c in fields]).alias("_new"))
-    old = works.withColumn("_spread", spread_missing(F.col("yokId"), ["id"]))
+    old = works.withColumn("_key", key_or_own(F.col("yokId"), ["id"]))
     harvested = F.col("origin").eqNullSafe(F.lit(ORIGIN_HARVESTED))
     met = F.col("_new").isNotNull()
 
@@ -189,7 +190,8 @@ def upsert(works: DataFrame, feed: DataFrame, run_date: date, years_back: int =
         value = F.when(met & harvested, F.col("_new")[c]).otherwise(F.col(c))
         return F.coalesce(F.col("_new")["type"], value) if c == "type" and correct_type else value
 
-    present = old.join(new, ["yokId", "_spread"], "left").select(*[merged(c).alias(c) for c in works.columns])
+    update = new.select(F.col("yokId").cast("string").alias("_key"), "_new")
+    present = old.join(update, "_key", "left").select(*[merged(c).alias(c) for c in works.columns])
     unseen = new.join(works.where(F.col("yokId").isNotNull()).select("yokId"), "yokId", "left_anti")
     given_by = {"id": F.lit(None).cast("string"), "yokId": F.col("yokId"), "origin": F.lit(ORIGIN_HARVESTED),
                 "addedAt": F.lit(run_date)}

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sijill.functions.text import in_language, iso_day
-from sijill.operators.scale import spread_missing
+from sijill.operators.scale import key_or_own
 from sijill.values import DEFAULT_LANGUAGE, LANGUAGES
 
 # --- Fixed values: addresses that stay out of the catalogue ---------------------
@@ -55,9 +55,8 @@ def drop_redirects(pages: DataFrame, harvested: DataFrame, path: str = "path") -
     Most addresses name no work; they are spread so that they do not meet in one task.
     """
     work = F.nullif(F.regexp_extract(path, TRANSLATED_WORK, 2), F.lit(""))
-    keyed = pages.withColumn("_work", work).withColumn("_spread", spread_missing(F.col("_work"), [path]))
-    auto = harvested.select(F.col("id").alias("_work"), F.lit(0).alias("_spread"))
-    return keyed.join(auto, ["_work", "_spread"], "left_anti").drop("_work", "_spread")
+    keyed = pages.withColumn("_work", key_or_own(work, [path]))
+    return keyed.join(harvested.select(F.col("id").alias("_work")), "_work", "left_anti").drop("_work")
 
 
 def catalogue(pages: DataFrame, harvested: DataFrame, path: str = "path") -> DataFrame:

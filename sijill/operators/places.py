@@ -52,11 +52,10 @@ def place_lists(scholars: DataFrame, places: Lookup) -> DataFrame:
 
 def century_places(scholars: DataFrame, places: Lookup) -> DataFrame:
     """How many scholars of each century are tied to each place."""
-    dated = scholars.select("id", "places", life_century(F.col("death.hijri"), F.col("birth.hijri")).alias("century"))
-    rows = dated.where(F.col("century").isNotNull()).select(
-        "id", "century", F.explode("places.place").alias("place"))
-    # Distinct by scholar first: the counts per place then combine map-side.
-    counts = rows.distinct().groupBy("century", "place").agg(F.count("*").alias("scholars"))
+    century = life_century(F.col("death.hijri"), F.col("birth.hijri")).alias("century")
+    # A scholar is one row, so a place counts once per scholar without comparing rows.
+    rows = scholars.select(century, F.explode(F.array_distinct("places.place")).alias("place")).where(F.col("century").isNotNull())
+    counts = rows.groupBy("century", "place").agg(F.count("*").alias("scholars"))
     return places.join(counts, ["place"], "left").select(
         "century", "place", F.coalesce("place_name", "place").alias("place_name"), "scholars")
 

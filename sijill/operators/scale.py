@@ -90,9 +90,12 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str, spre
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
-def spread_missing(key: Column, spread: list[str], buckets: int = 4096) -> Column:
-    """A second join column: rows without a key never match, so they need not meet in one task."""
-    return F.when(key.isNull(), F.pmod(F.xxhash64(*spread), F.lit(buckets)).cast("int")).otherwise(0)
+def key_or_own(key: Column, spread: list[str]) -> Column:
+    """The key as text, and for a missing key a text of the row's own that equals no key.
+
+    Rows without a key match nothing, so in an outer or anti join they need not meet in one task.
+    """
+    return F.coalesce(key.cast("string"), F.concat(F.lit("\0"), F.xxhash64(*spread).cast("string")))
 
 
 def _in_slices(df: DataFrame, order: list[str], slices: int) -> DataFrame:

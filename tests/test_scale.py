@@ -1,5 +1,7 @@
 """Skew-safe operators against plain ones, with the hot path forced on small data."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -67,3 +69,23 @@ def test_first_per_group(skewed):
     order = Window.partitionBy("k").orderBy(F.col("v").desc(), "id")
     expected = skewed.withColumn("n", F.row_number().over(order)).where("n <= 5").drop("n")
     assert rows(first_per_group(skewed, ["k"], [F.col("v").desc(), "id"], 5, ["id"], salts=4)) == rows(expected)
+
+
+def test_hot_and_missing_keys_stay_spread_in_the_plan(spark, skewed, capsys):
+    from sijill.operators.scale import key_or_own
+    names = spark.createDataFrame([("hot", "H"), ("1", "one")], "k string, name string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        spread_join(skewed, names, ["k"], "left", ["id"], 100).explain()
+        salted = capsys.readouterr().out
+        keyed = skewed.withColumn("key", key_or_own(F.col("k"), ["id"])).drop("k")
+        keyed.join(names.withColumnRenamed("k", "key"), "key", "left_anti").explain()
+        spread = capsys.readouterr().out
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # The optimizer must not fold the second key away.
+    assert len(re.findall(r"hashpartitioning\(k#\d+, _salt#\d+", salted)) == 2
+    assert "hashpartitioning(key#" in spread and "LeftAnti" in spread
+    keys = keyed.groupBy("key").count().agg(F.max("count").alias("n")).first().n
+    assert keys == 1000  # the hot key; no heap of missing ones
