@@ -9,7 +9,7 @@ from sijill.functions.text import summary_text
 from sijill.operators.graph import edges, flatten_links, matched_names, neighbours, student_ids, teacher_ids
 from sijill.operators.places import (bounding_boxes, century_places, gazetteer, itineraries, listed_places, place_lists,
                                      with_place)
-from sijill.operators.records import scholar_records
+from sijill.operators.records import in_order, scholar_records
 from sijill.session import materialise
 from sijill.sinks.exports import scholar_csv
 from sijill.values import SCHOLAR_CSV_COLUMNS
@@ -163,7 +163,7 @@ def flat_record(spark, sf_dir):
     place = lambda c: F.concat_ws("|", F.col(c)["id"], F.col(c)["name"], F.round(F.col(c)["lng"], 2).cast("string"))
     listed = F.transform("places", lambda p: F.concat_ws("|", p["id"], p["name"], p["role"]))
     joined = {c: F.array_join(c, ";").alias(c) for c in ("teachers", "students", "teacherIds", "studentIds", "works")}
-    return records(spark, sf_dir).select(
+    return in_order(records(spark, sf_dir)).select(
         "id", "part", "order", "url", "nameAr", "nameTr", "nameEn", "madhhab", "birthHijri", "birthGregorian",
         place("birthPlace").alias("birthPlace"), "deathHijri", "deathGregorian", "deathApprox", place("deathPlace").alias("deathPlace"),
         F.array_join(listed, ";").alias("places"), *joined.values(),
@@ -234,6 +234,37 @@ SELECT -1 AS ord, 0 AS part, chr(65279) || '{','.join(SCHOLAR_CSV_COLUMNS)}' AS
 UNION ALL SELECT "order", part, {_csv_cells()} FROM records"""
 
 
+def scholar_json(spark, sf_dir):
+    """The records as JSON, absent fields left out."""
+    r = records(spark, sf_dir)
+    return r.where("part = 0").select("id", F.to_json(F.struct(*[c for c in r.columns if c not in ("part", "order", "id")])).alias("value"))
+
+
+def _json_strings(column: str, separator: str = ";") -> str:
+    return f"""CASE WHEN {column} = '' THEN '[]' ELSE '["' || replace({column}, '{separator}', '","') || '"]' END"""
+
+
+def _json_place(key: str, name: str, prefix: str) -> str:
+    """Members of a place; coordinates only where the gazetteer has them."""
+    return f"""'{{"id":"' || {key} || '","name":"' || {name} || '"' || coalesce(',"lat":' || {prefix}.lat || ',"lng":' || {prefix}.lng, '')"""
+
+
+QUERIES["scholar_json"] = scholar_json
+ORACLE["scholar_json"] = f"""
+WITH {_RECORDS},
+json_places AS (
+  SELECT l.id, string_agg({_json_place('l.place', 'coalesce(p.name, l.place)', 'p')} || ',"role":"' || l.role || '"}}', ',' ORDER BY pos) AS places
+  FROM listed l LEFT JOIN places p ON p.id = l.place GROUP BY l.id)
+SELECT r.id, '{{"url":"' || url || '","nameAr":"' || nameAr || '","nameTr":"' || nameTr || '","nameEn":"' || nameEn || '","madhhab":"' || madhhab || '"'
+  || coalesce(',"birthHijri":' || birthHijri || ',"birthGregorian":"' || birthGregorian || '","birthPlace":' || {_json_place('bplace', 'bp.name', 'bp')} || '}}', '')
+  || coalesce(',"deathHijri":' || deathHijri || ',"deathGregorian":"' || deathGregorian || '","deathApprox":' || deathApprox
+       || ',"deathPlace":' || {_json_place('dplace', 'dname', 'dp')} || '}}', '')
+  || ',"places":[' || coalesce(jp.places, '') || '],"teachers":' || {_json_strings('teachers')} || ',"students":' || {_json_strings('students')}
+  || ',"teacherIds":' || {_json_strings('teacherIds')} || ',"studentIds":' || {_json_strings('studentIds')} || ',"works":' || {_json_strings('r.works')}
+  || ',"source":{{"book":"' || book || '","page":"' || page || '","entry":"' || entry || '"}}}}' AS value
+FROM records r LEFT JOIN json_places jp ON jp.id = r.id LEFT JOIN places bp ON bp.id = bplace LEFT JOIN places dp ON dp.id = dplace WHERE part = 0"""
+
+
 def summary_lang(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(
         "doc_id", "text", F.create_map(F.lit("tr"), F.when(F.col("doc_id") % 2 == 0, F.col("source")), F.lit("en"), F.col("lang")).alias("summary"))

@@ -17,28 +17,39 @@ def clean(text: Column) -> Column:
 
 
 def front_and_body(text: Column) -> tuple[Column, Column]:
-    """The cleaned part between the two ``---`` lines and the trimmed rest."""
+    """The cleaned part between the two ``---`` lines as ``blocks``, and the trimmed rest.
+
+    A block is a top-level key with the indented lines below it.
+    """
     parts = F.split(text, r"(?m)^---[ \t\r]*$", 3)
     body = F.regexp_replace(F.coalesce(F.try_element_at(parts, F.lit(3)), F.lit("")), r"\A\s+|\s+\z", "")
-    return clean(F.try_element_at(parts, F.lit(2))), body
+    return F.split(clean(F.try_element_at(parts, F.lit(2))), r"\n(?=\w+:)"), body
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with a costly value computed once however often it is named."""
+    return F.transform(F.array(value), use)[0]
 
 
 def _unescape(inner: Column) -> Column:
     """Inside of a double-quoted value."""
-    return F.from_json(F.concat(F.lit('["'), inner, F.lit('"]')), "array<string>", _JSON)[0]
+    decoded = F.from_json(F.concat(F.lit('["'), inner, F.lit('"]')), "array<string>", _JSON)[0]
+    return F.when(F.contains(inner, F.lit("\\")), decoded).otherwise(inner)
 
 
 def scalar(text: Column) -> Column:
     """A double-quoted, single-quoted or plain value; null when there is none."""
-    value = F.trim(text)
-    single = F.replace(F.regexp_replace(value, r"^'|'$", ""), F.lit("''"), F.lit("'"))
-    return (F.when(value == "", None).when(value.startswith('"'), _unescape(F.regexp_extract(value, f"^{_QUOTED}", 1)))
-            .when(value.startswith("'"), single).otherwise(value))
+    def decoded(value: Column) -> Column:
+        single = F.replace(F.regexp_replace(value, r"^'|'$", ""), F.lit("''"), F.lit("'"))
+        return (F.when(value == "", None).when(value.startswith('"'), _once(F.regexp_extract(value, f"^{_QUOTED}", 1), _unescape))
+                .when(value.startswith("'"), single).otherwise(value))
+    return _once(F.btrim(text, F.lit(" \t\n")), decoded)
 
 
-def top(front: Column, key: str) -> Column:
-    """Raw text of a top-level key: the rest of its line and the indented lines below it."""
-    return F.regexp_extract(front, rf"(?m)^{key}:((?:.*)(?:\n[ \t]+.*)*)", 1)
+def top(blocks: Column, key: str) -> Column:
+    """Raw text of a top-level key: the rest of its line and the indented lines below it; '' when absent."""
+    found = F.filter(blocks, lambda b: b.startswith(f"{key}:"))
+    return F.coalesce(F.substring(F.try_element_at(found, F.lit(1)), len(key) + 2, 1 << 30), F.lit(""))
 
 
 def nested(block: Column, key: str) -> Column:

@@ -27,7 +27,7 @@ def or_none(values: str) -> Column:
 
 def scholar_records(scholars: DataFrame, places: DataFrame, people: DataFrame, base_url: str,
                     hot_rows: int = HOT_ROWS) -> DataFrame:
-    """One flat record per scholar, by ``order``.
+    """One flat record per scholar.
 
     ``people`` is the written table of ``neighbours``. A scholar whose ids fill several parts of it goes on in
     records of the same id with part 1, 2, … that carry only the ids. Ids of people without a record are kept.
@@ -65,7 +65,12 @@ def scholar_records(scholars: DataFrame, places: DataFrame, people: DataFrame, b
     rest = people.where(F.col("part") > 0)
     more = spread_join(rest, scholars.select("id", "order"), ["id"], "inner", ["id", "part"], hot_rows).select(
         "id", "part", "order", F.col("teacher_ids").alias("teacherIds"), F.col("student_ids").alias("studentIds"))
-    return first.unionByName(more, allowMissingColumns=True).orderBy("order", "part")
+    return first.unionByName(more, allowMissingColumns=True)
+
+
+def in_order(records: DataFrame) -> DataFrame:
+    """Scholars by their ``order``; parts of one record follow each other."""
+    return records.orderBy("order", "part")
 
 
 def work_records(works: DataFrame) -> DataFrame:

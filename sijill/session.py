@@ -18,6 +18,9 @@ def local_session(name: str = "sijill", cpus: int | str = "*", memory: str | Non
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # Noting the call site of every column expression costs more than planning it.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.sql.dataFrameQueryContext.enabled", "false")
     )
     if memory:
         builder = builder.config("spark.driver.memory", memory)

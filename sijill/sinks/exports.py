@@ -40,7 +40,7 @@ def scholar_csv(records: DataFrame) -> DataFrame:
         "teacherIds": list_cell(F.col("teacherIds")), "studentIds": list_cell(F.col("studentIds")),
         "sourcePage": csv_cell(F.col("source.page")), "sourceEntry": csv_cell(F.col("source.entry")),
     }
-    line = _line([special.get(c, csv_cell(F.col(c)) if c not in special else None) for c in SCHOLAR_CSV_COLUMNS])
+    line = _line([special[c] if c in special else csv_cell(F.col(c)) for c in SCHOLAR_CSV_COLUMNS])
     return _with_header(records.select("order", "part", line.alias("value")), SCHOLAR_CSV_COLUMNS, ["order", "part"])
 
 
