@@ -13,6 +13,10 @@ from sijill.values import CENTURY_ORDINALS_AR, CENTURY_WORD_AR
 # --- Fixed value: years from birth to the century a life is counted in ----------
 YEARS_TO_FLORUIT = 60
 
+# --- Fixed values: endings of English ordinals, and the numbers that keep "th" ---
+ENGLISH_ENDINGS = ["st", "nd", "rd"]
+ENGLISH_TEENS = [11, 12, 13]
+
 
 @dataclass(frozen=True)
 class Words:
@@ -40,8 +44,8 @@ def century_label(c: Column, lang: str, suffix: str = "") -> Column:
         names = F.array(*map(F.lit, CENTURY_ORDINALS_AR))
         return F.concat_ws(" ", F.lit(CENTURY_WORD_AR), F.coalesce(F.try_element_at(names, given(c)), c.cast("string")))
     if lang == "en":
-        ending = (F.when((c % 10 == 1) & (c != 11), "st").when((c % 10 == 2) & (c != 12), "nd")
-                  .when((c % 10 == 3) & (c != 13), "rd").otherwise("th"))
+        by_last_digit = F.try_element_at(F.array(*map(F.lit, ENGLISH_ENDINGS)), given(c % 10))
+        ending = F.coalesce(F.when(~c.isin(ENGLISH_TEENS), by_last_digit), F.lit("th"))
         return F.concat(c.cast("string"), ending, F.lit(" c. AH"))
     return F.concat(c.cast("string"), F.lit(suffix))
 

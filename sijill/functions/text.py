@@ -13,7 +13,8 @@ SPACE = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\u
 # The same set for whole texts: letters outside U+1680 to U+FEFF are told apart by one comparison.
 SPACES = r"[\t\n\x0B\f\r \u00A0[\u1680-\uFEFF&&[\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]]]+"
 
-_PATH_LANGUAGE = f"^/({'|'.join(LANGUAGES)})(?=/|$)"
+# --- Fixed value: the language at the start of an address -----------------------
+_PATH_LANGUAGE = "^/(tr|en|ar)(?=/|$)"
 
 
 def _cut_at_word(text: Column, length: int) -> Column:
@@ -102,7 +103,7 @@ def fold(text: Column) -> Column:
 def words(text: Column) -> Column:
     """Folded words of a text, in order."""
     # Letters, marks and digits make words in any script; plain ones are tested first.
-    return F.filter(F.split(fold(F.coalesce(text, F.lit(""))), r"[^a-z0-9\p{L}\p{M}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(fold(F.coalesce(text, F.lit(""))), r"[^a-z0-9\p{L}\p{M}\p{N}]+"), "")
 
 
 def word_positions(tokens: Column, vocabulary: list[str] | None = None) -> Column:

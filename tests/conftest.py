@@ -12,7 +12,6 @@ from sijill.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = local_session("sijill-tests", 8)
-    session.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
     yield session
     session.stop()
 
