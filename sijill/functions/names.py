@@ -45,6 +45,6 @@ def work_slug(author: Column, title: Column, year: Column, title_words: int = 2)
     Title words of up to three letters are passed over.
     """
     surname = slug(F.split(author, ",", 2)[0])
-    picked = F.slice(F.filter(F.split(_plain(title), "[^a-z0-9]+"), lambda w: F.length(w) > 3), 1, title_words)
+    picked = F.slice(F.regexp_extract_all(_plain(title), F.lit("[a-z0-9]{4,}"), F.lit(0)), 1, title_words)
     parts = F.concat(F.array(surname), picked, F.array(F.coalesce(year.cast("string"), F.lit("nodate"))))
     return F.array_join(F.filter(parts, lambda p: p != ""), "-")
