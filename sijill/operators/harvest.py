@@ -76,6 +76,8 @@ def cap_results(results: DataFrame, query: str, order: list[str], spread: list[s
 
 def in_department(department: Column, patterns: list[str]) -> Column:
     """A department or branch of the field: it contains one of the patterns."""
+    if not patterns:
+        return F.lit(False)
     text = fold(department)
     found = F.exists(F.array(*[fold(F.lit(p)) for p in patterns]), lambda p: F.contains(text, p))
     return F.coalesce(found, F.lit(False))

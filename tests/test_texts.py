@@ -1,5 +1,9 @@
 """Quirks of excerpts, cells, paths and names."""
 
+import csv
+import io
+from random import Random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +47,13 @@ def test_cells(spark):
     assert values(spark, list_cell(F.col("a")), [(["x"],), (["x", "y"],), ([],)], "a array<string>") == ["x", '"x; y"', ""]
 
 
+def test_cells_read_back_by_a_csv_reader(spark):
+    random = Random(7)
+    texts = ["".join(random.choice('ab;,"\n é\'') for _ in range(random.randint(0, 12))) for _ in range(400)]
+    line = ",".join(values(spark, csv_cell(F.col("a")), [(t,) for t in texts]))
+    assert next(csv.reader(io.StringIO(line, newline=""))) == texts
+
+
 def test_flags(spark):
     assert values(spark, has_text(F.col("a")), [("x",), ("",), (None,)]) == [1, 0, 0]
 
