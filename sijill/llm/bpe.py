@@ -1,7 +1,7 @@
 """BPE encoding and decoding over a table of distinct words.
 
 Texts are normalised and split into words in chunks of bounded size; a chunk keeps its distinct words and every text as
-positions in them. The words of all chunks become one table of distinct words, each encoded once. Its ids are joined back
+positions in them. The words of all chunks meet in a table by word, and each distinct one is encoded once. Its ids are joined back
 to the chunks' words, and the positions put every text's ids in order. Decoding joins ids with the vocabulary's pieces; the
 vocabulary is bounded, so it goes to every task.
 """
@@ -24,7 +24,7 @@ from tokenizers import Tokenizer
 
 from sijill.session import materialise
 
-CHUNK = 16 << 20  # characters of the texts of a chunk, unless one text is longer
+CHUNK = 32 << 20  # characters of the texts of a chunk, unless one text is longer
 
 
 @lru_cache(maxsize=2)
@@ -70,25 +70,31 @@ def vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "id int, piece string")
 
 
-def _packed(chunk: str, ids: list, texts: list[list[str]]) -> dict:
-    """A chunk: the commonest words first, and the texts as positions of one to three bytes."""
-    count: dict[str, int] = {}
-    for words in texts:
-        for w in words:
-            count[w] = count.get(w, 0) + 1
-    ordered = sorted(count, key=lambda w: (-count[w], w))
-    place = {w: i for i, w in enumerate(ordered)}
-    flat = np.fromiter((place[w] for words in texts for w in words), np.uint32, sum(map(len, texts)))
-    low, mid, high = (flat & 0xFF).astype(np.uint8), (flat >> 8 & 0xFF).astype(np.uint8), (flat >> 16).astype(np.uint16)
+class _Places(dict):
+    """Numbers words in the order in which they come."""
+
+    def __missing__(self, word: str) -> int:
+        place = self[word] = len(self)
+        return place
+
+
+def _packed(chunk: int, ids: list, texts: list[np.ndarray], places: _Places) -> dict:
+    """A chunk: its distinct words, the commonest first, and its texts as positions among them."""
+    flat = np.concatenate(texts) if texts else np.zeros(0, np.uint32)
+    order = np.argsort(-np.bincount(flat, minlength=len(places)), kind="stable")
+    rank = np.empty(len(places), np.uint32)
+    rank[order] = np.arange(len(places), dtype=np.uint32)
+    flat = rank[flat]
     # Byte planes compress well, as most positions are small.
     pack = zstandard.ZstdCompressor(level=3).compress
-    planes = pack(low.tobytes()), pack(mid.tobytes()), pack(high.tobytes())
-    return {"chunk": chunk, "doc_ids": ids, "sizes": list(map(len, texts)), "low": planes[0], "mid": planes[1], "high": planes[2],
-            "words": ordered}
+    planes = {"low": (flat & 0xFF).astype(np.uint8), "mid": (flat >> 8 & 0xFF).astype(np.uint8), "high": (flat >> 16).astype(np.uint16)}
+    words = list(places)
+    return {"chunk": chunk, "doc_ids": ids, "sizes": list(map(len, texts)), "words": [words[i] for i in order.tolist()],
+            **{k: pack(v.tobytes()) for k, v in planes.items()}}
 
 
-_CHUNK = "chunk string, doc_ids array<long>, sizes array<int>, low binary, mid binary, high binary, words array<string>"
-_CHUNK_ARROW = pa.schema([("chunk", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())),
+_CHUNK = "chunk long, doc_ids array<long>, sizes array<int>, low binary, mid binary, high binary, words array<string>"
+_CHUNK_ARROW = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())),
                           ("low", pa.binary()), ("mid", pa.binary()), ("high", pa.binary()), ("words", pa.list_(pa.string()))])
 
 
@@ -96,32 +102,49 @@ def chunked(docs: DataFrame, spec: str, text: str = "text") -> DataFrame:
     """One row per chunk of texts (see ``_packed``); a null text is an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
-        pack = lambda: pa.RecordBatch.from_pylist([_packed(f"{part}-{n}", ids, texts)], schema=_CHUNK_ARROW)
+        n, ids, texts, places, size = TaskContext.get().partitionId() << 32, [], [], _Places(), 0
+        pack = lambda: pa.RecordBatch.from_pylist([_packed(n, ids, texts, places)], schema=_CHUNK_ARROW)
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1)):
                 t = t.as_py() or ""
+                words = words_of(t, spec)
                 ids.append(i)
-                texts.append(words_of(t, spec))
+                texts.append(np.fromiter(map(places.__getitem__, words), np.uint32, len(words)))
                 size += len(t)
                 if size >= CHUNK:
                     yield pack()
-                    n, ids, texts, size = n + 1, [], [], 0
+                    n, ids, texts, places, size = n + 1, [], [], _Places(), 0
         if ids:
             yield pack()
 
     return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("_text")).mapInArrow(run, _CHUNK)
 
 
-def word_table(words: DataFrame, spec: str) -> DataFrame:
-    """(word, ids) of distinct words, each encoded once."""
+def encoded_words(placed: DataFrame, spec: str) -> DataFrame:
+    """(of_chunk, place, ids) of (chunk, place, word): the table of distinct words, each encoded once.
+
+    All rows of a word meet in one partition and follow each other there, so a word's ids are made for the first of them and
+    joined to the rest. A word has one row per chunk, however often it stands there. ids are little-endian 32-bit integers.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, last_ids = None, b""
         for b in batches:
-            found = _tokenizer(spec).encode_batch(b.column(0).to_pylist(), add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([e.ids for e in found], pa.list_(pa.int32()))], ["word", "ids"])
-
-    return words.select("word").distinct().mapInArrow(run, "word string, ids array<int>")
+            words = b.column(2).dictionary_encode()
+            distinct = words.dictionary.to_pylist()
+            new = [w for w in distinct if w != last]
+            ids = {w: np.array(e.ids, "<u4").tobytes()
+                   for w, e in zip(new, _tokenizer(spec).encode_batch(new, add_special_tokens=False))}
+            if last is not None:
+                ids.setdefault(last, last_ids)
+            column = pa.array([ids[w] for w in distinct], pa.binary()).take(words.indices)
+            if len(words):
+                last = b.column(2)[len(words) - 1].as_py()
+                last_ids = ids[last]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), column], ["of_chunk", "place", "ids"])
+
+    rows = placed.select("chunk", "place", "word").repartition("word").sortWithinPartitions("word")
+    return rows.mapInArrow(run, "of_chunk long, place int, ids binary")
 
 
 def _texts_of(chunk: dict, by_place: list) -> Iterator[tuple[int | None, list]]:
@@ -129,10 +152,10 @@ def _texts_of(chunk: dict, by_place: list) -> Iterator[tuple[int | None, list]]:
     unpack = zstandard.ZstdDecompressor().decompress
     low, mid, high = (np.frombuffer(unpack(chunk[k]), kind).astype(np.uint32)
                       for k, kind in (("low", np.uint8), ("mid", np.uint8), ("high", np.uint16)))
-    places = (low | mid << 8 | high << 16).tolist()
+    places = low | mid << 8 | high << 16
     at = 0
     for i, size in zip(chunk["doc_ids"], chunk["sizes"]):
-        yield i, [by_place[p] for p in places[at:at + size]]
+        yield i, [by_place[p] for p in places[at:at + size].tolist()]
         at += size
 
 
@@ -141,13 +164,13 @@ def _joined(docs: DataFrame, path: str, text: str) -> tuple[DataFrame, DataFrame
     spec = open(path, encoding="utf-8").read()
     chunks = materialise(chunked(docs, spec, text), "chunks")
     placed = chunks.select("chunk", F.posexplode("words").alias("place", "word"))
-    encoded = placed.join(word_table(placed, spec), "word").select(F.col("chunk").alias("of_chunk"), "place", "ids")
-    return chunks.drop("words"), encoded
+    return chunks.drop("words"), encoded_words(placed, spec)
 
 
-def _by_place(words: pa.Table, column: str) -> list:
+def _by_place(words: pa.Table) -> list[bytes]:
+    """ids of a chunk's words in the order of their places."""
     order = np.argsort(words.column("place").to_numpy())
-    return words.column(column).combine_chunks().take(pa.array(order)).to_pylist()
+    return words.column("ids").combine_chunks().take(pa.array(order)).to_pylist()
 
 
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -159,11 +182,11 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, lists = [], []
-        by_place = _by_place(right, "ids") if right.num_rows else []
+        by_place = _by_place(right) if right.num_rows else []
         for chunk in left.to_pylist():
             for i, found in _texts_of(chunk, by_place):
                 ids.append(i)
-                lists.append([x for word in found for x in word])
+                lists.append(np.frombuffer(b"".join(found), "<i4"))
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "ids": pa.array(lists, pa.list_(pa.int32()))})
 
     return chunks.groupBy("chunk").cogroup(encoded.groupBy("of_chunk")).applyInArrow(run, "doc_id long, ids array<int>")
@@ -195,9 +218,9 @@ def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         known = dict(zip(names.value["id"], names.value["piece"]))
-        ids = _by_place(right, "ids") if right.num_rows else []
-        # A word's ids as bytes, their number, and the text of their pieces.
-        entry = [(np.array(x, "<u4").tobytes(), len(x), " ".join([known[i] for i in x if i in known])) for x in ids]
+        ids = _by_place(right) if right.num_rows else []
+        # A word's ids, their number, and the text of their pieces.
+        entry = [(x, len(x) // 4, " ".join([known[i] for i in np.frombuffer(x, "<u4").tolist() if i in known])) for x in ids]
         rows = []
         for chunk in left.to_pylist():
             for i, found in _texts_of(chunk, entry):
