@@ -28,47 +28,67 @@ BANDS = 40                # at a similarity of 0.85 a pair misses all bands thre
 REGISTERS = ROWS * BANDS
 MANTISSA = 3              # bits kept after the leading one
 ZEROS = 30                # largest count of leading zeros that is told apart
+RANDOM_STEPS = 64         # tries of an empty bucket before it walks
 LARGE_BUCKET = 256        # a bucket of more members in several components is split by a second band
 
 _SKETCH = "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>"
 
 
-def registers(hashes: np.ndarray) -> np.ndarray:
-    """One byte per bucket: 0 for an empty one, else 1 + leading zeros * 8 + mantissa of its smallest hash.
+def _probes() -> np.ndarray:
+    """(step, bucket): where an empty bucket looks for a value, in a fixed random order first and from bucket to bucket then."""
+    step, bucket = np.arange(RANDOM_STEPS, dtype=np.uint64)[:, None], np.arange(REGISTERS, dtype=np.uint64)[None, :]
+    drawn = mix(step * np.uint64(REGISTERS) + bucket + np.uint64(1)) % np.uint64(REGISTERS)
+    walked = (np.arange(1, REGISTERS)[:, None] + np.arange(REGISTERS)[None, :]) % REGISTERS
+    return np.concatenate([drawn.astype(np.int64), walked])
 
-    ``hashes`` are sorted and distinct; their upper half picks the bucket, mixed bits are the value.
+
+def registers(sets: list[np.ndarray]) -> np.ndarray:
+    """One row of ``REGISTERS`` bytes per set: 1 + leading zeros * 8 + mantissa of each bucket's smallest hash, all 0 for an empty set.
+
+    The hashes of a set are sorted and distinct; their upper half picks the bucket, mixed bits are the value. An empty
+    bucket takes the value of another that is chosen alike for all sets, so that small sets agree in a bucket as
+    often as they are similar, too.
     """
-    out = np.zeros(REGISTERS, dtype=np.uint8)
-    if not len(hashes):
+    out = np.zeros((len(sets), REGISTERS), dtype=np.uint8)
+    sizes = np.array([len(s) for s in sets])
+    if not sizes.sum():
         return out
-    bucket = ((hashes >> np.uint64(32)) * np.uint64(REGISTERS)) >> np.uint64(32)
-    starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    hashes = np.concatenate(sets)
+    place = np.repeat(np.arange(len(sets)) * REGISTERS, sizes) + (
+        ((hashes >> np.uint64(32)) * np.uint64(REGISTERS)) >> np.uint64(32)).astype(np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     least = np.minimum.reduceat(mix(hashes) >> np.uint64(11), starts)  # 53 bits, exact as a float
     fraction, exponent = np.frexp(least.astype(np.float64))  # least = fraction * 2^exponent, fraction in [0.5, 1)
     zeros = np.minimum(53 - exponent, ZEROS)
-    after = np.floor((fraction * 2 - 1) * (1 << MANTISSA)).astype(np.int64)
-    out[bucket[starts].astype(np.int64)] = 1 + zeros * (1 << MANTISSA) + np.maximum(after, 0)
+    after = np.maximum(np.floor((fraction * 2 - 1) * (1 << MANTISSA)).astype(np.int64), 0)
+    out.ravel()[place[starts]] = 1 + zeros * (1 << MANTISSA) + after
+    own = out.copy()
+    rows, cols = np.nonzero((own == 0) & (sizes > 0)[:, None])
+    for probe in _probes():
+        if not len(rows):
+            break
+        value = own[rows, probe[cols]]
+        out[rows, cols] = value
+        rows, cols = rows[value == 0], cols[value == 0]
     return out
 
 
 def _chance(mean: np.ndarray) -> np.ndarray:
-    """(value, size): the chance of each register value when a bucket holds Poisson(``mean``) hashes."""
+    """(value, size): the chance of each register value when a bucket holds Poisson(``mean``) hashes, at least one."""
     zeros = np.arange(ZEROS + 1)[:, None]
     part = np.arange(1 << MANTISSA)[None, :]
     low = np.exp2(-zeros - 1.0) * (1 + part / (1 << MANTISSA))
     high = np.exp2(-zeros - 1.0) * (1 + (part + 1) / (1 << MANTISSA))
     low[ZEROS, 0] = 0.0
     above = lambda x: np.exp(-np.outer(x.ravel(), mean))
-    return above(low) - above(high)
+    return (above(low) - above(high)) / np.maximum(1 - np.exp(-mean), 1e-9)
 
 
 def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
     """Jaccard similarity of paired sketches (rows of registers), corrected for chance collisions."""
-    used = ((a > 0) | (b > 0)).sum(axis=1)
-    equal = ((a == b) & (a > 0)).sum(axis=1)
-    chance = (_chance(size_a / REGISTERS) * _chance(size_b / REGISTERS)).sum(axis=0) * REGISTERS / np.maximum(used, 1)
-    share = equal / np.maximum(used, 1)
-    return np.where(chance < 1, (share - chance) / np.maximum(1 - chance, 1e-9), share)
+    share = (a == b).mean(axis=1)
+    chance = (_chance(size_a / REGISTERS) * _chance(size_b / REGISTERS)).sum(axis=0)
+    return (share - chance) / np.maximum(1 - chance, 1e-9)
 
 
 def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -79,13 +99,13 @@ def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
             texts = b.column(1).to_pylist()
             for start, end in chunks(texts):
                 words, at = hashed_words(texts[start:end])
-                sizes, names, rows = [], [], []
+                sizes, names, sets = [], [], []
                 for i in range(end - start):
                     s = shingles(words[at[i]:at[i + 1]], SHINGLE)
                     sizes.append(len(s))
                     names.append((mix(s + np.uint64(1)).sum(dtype=np.uint64), mix(s + np.uint64(7)).sum(dtype=np.uint64)))
-                    rows.append(registers(s))
-                bands = pa.array(np.concatenate(rows).view(np.int64))
+                    sets.append(s)
+                bands = pa.array(registers(sets).view(np.int64).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(bands) + 1, BANDS, dtype=np.int32)), bands)
                 pair = np.array(names, dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -113,8 +133,9 @@ def _near(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
                 continue
             x, y = _registers_of(b.column("bands_a")), _registers_of(b.column("bands_b"))
             sizes = [b.column(f"size_{n}").to_numpy().astype(np.float64) for n in "ab"]
-            used = np.maximum(((x > 0) | (y > 0)).sum(axis=1), 1)
-            slack = 5 * np.sqrt(least * (1 - least) / used)
+            # Registers with a hash of their own; the others repeat them.
+            own = REGISTERS * (1 - np.exp(-np.minimum(*sizes) / REGISTERS))
+            slack = 5 * np.sqrt(least * (1 - least) / np.maximum(own, 1))
             mask = pa.array(estimate(x, y, *sizes) >= least - slack - 0.02)
             yield pa.RecordBatch.from_arrays([b.column(n).filter(mask) for n in "ab"], ["a", "b"])
 

@@ -55,7 +55,8 @@ _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
-_BASE = np.uint64(0x9E3779B97F4A7C55)
+_BASE = 0x9E3779B97F4A7C55
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -75,11 +76,10 @@ def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     before = np.concatenate([[True], blank[:-1]])
     starts = np.flatnonzero(~blank & before)
     ends = np.flatnonzero(blank & ~before)  # every text is followed by a blank
-    powers = np.cumprod(np.full(len(data), _BASE, dtype=np.uint64))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers)])
-    # The sum over a word starts at its own power of the base; scaling all words to the last power makes them comparable.
-    last = powers[len(powers) - 1 - starts] if len(powers) else powers
-    hashes = mix((sums[ends] - sums[starts]) * last + (ends - starts).astype(np.uint64))
+    power = lambda base: np.cumprod(np.full(len(data), base, dtype=np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power(_BASE))])
+    # Dividing by the power at its start makes a word's sum the same wherever it stands.
+    hashes = mix((sums[ends] - sums[starts]) * power(_INVERSE)[starts] + (ends - starts).astype(np.uint64))
     return hashes, np.searchsorted(starts, offsets)
 
 
