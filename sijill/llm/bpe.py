@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,8 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sijill.session import materialise
+from sijill.session import shared_folder
 
+RARE = 255        # a chunk's words from this rank on take more than a byte in its texts
 CHUNK = 32 << 20  # characters of the texts of a chunk, unless one text is longer
 
 
@@ -85,17 +88,19 @@ def _packed(chunk: int, ids: list, texts: list[np.ndarray], places: _Places) ->
     rank = np.empty(len(places), np.uint32)
     rank[order] = np.arange(len(places), dtype=np.uint32)
     flat = rank[flat]
-    # Byte planes compress well, as most positions are small.
+    # A byte per word for the commonest; rarer ones go on in planes of their own. Each plane compresses well.
     pack = zstandard.ZstdCompressor(level=3).compress
-    planes = {"low": (flat & 0xFF).astype(np.uint8), "mid": (flat >> 8 & 0xFF).astype(np.uint8), "high": (flat >> 16).astype(np.uint16)}
+    rare = flat[flat >= RARE] - np.uint32(RARE)
+    planes = {"first": np.minimum(flat, RARE).astype(np.uint8), "low": (rare & 0xFF).astype(np.uint8),
+              "mid": (rare >> 8 & 0xFF).astype(np.uint8), "high": (rare >> 16).astype(np.uint16)}
     words = list(places)
     return {"chunk": chunk, "doc_ids": ids, "sizes": list(map(len, texts)), "words": [words[i] for i in order.tolist()],
             **{k: pack(v.tobytes()) for k, v in planes.items()}}
 
 
-_CHUNK = "chunk long, doc_ids array<long>, sizes array<int>, low binary, mid binary, high binary, words array<string>"
+_CHUNK = "chunk long, doc_ids array<long>, sizes array<int>, first binary, low binary, mid binary, high binary, words array<string>"
 _CHUNK_ARROW = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())),
-                          ("low", pa.binary()), ("mid", pa.binary()), ("high", pa.binary()), ("words", pa.list_(pa.string()))])
+                          ("first", pa.binary()), ("low", pa.binary()), ("mid", pa.binary()), ("high", pa.binary()), ("words", pa.list_(pa.string()))])
 
 
 def chunked(docs: DataFrame, spec: str, text: str = "text") -> DataFrame:
@@ -150,19 +155,28 @@ def encoded_words(placed: DataFrame, spec: str) -> DataFrame:
 def _texts_of(chunk: dict, by_place: list) -> Iterator[tuple[int | None, list]]:
     """(doc_id, entry of every word in order) of the chunk's texts."""
     unpack = zstandard.ZstdDecompressor().decompress
-    low, mid, high = (np.frombuffer(unpack(chunk[k]), kind).astype(np.uint32)
-                      for k, kind in (("low", np.uint8), ("mid", np.uint8), ("high", np.uint16)))
-    places = low | mid << 8 | high << 16
+    places, low, mid, high = (np.frombuffer(unpack(chunk[k]), kind).astype(np.uint32)
+                              for k, kind in (("first", np.uint8), ("low", np.uint8), ("mid", np.uint8), ("high", np.uint16)))
+    places[places == RARE] = (low | mid << 8 | high << 16) + np.uint32(RARE)
     at = 0
     for i, size in zip(chunk["doc_ids"], chunk["sizes"]):
         yield i, [by_place[p] for p in places[at:at + size].tolist()]
         at += size
 
 
+def _bucketed(df: DataFrame, key: str) -> DataFrame:
+    """``df`` written once to the shared folder in buckets of ``key``, so that grouping by it later moves no rows."""
+    spark = df.sparkSession
+    name = f"{key}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (df.write.format("parquet").bucketBy(buckets, key).option("path", os.path.join(shared_folder(spark), name)).saveAsTable(name))
+    return spark.table(name)
+
+
 def _joined(docs: DataFrame, path: str, text: str) -> tuple[DataFrame, DataFrame]:
     """The written chunks, and (of_chunk, place, ids) for each of their words."""
     spec = open(path, encoding="utf-8").read()
-    chunks = materialise(chunked(docs, spec, text), "chunks")
+    chunks = _bucketed(chunked(docs, spec, text), "chunk")
     placed = chunks.select("chunk", F.posexplode("words").alias("place", "word"))
     return chunks.drop("words"), encoded_words(placed, spec)
 
