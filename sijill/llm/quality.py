@@ -56,13 +56,18 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
 
 
 def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of every n-gram, and where each text's n-grams start; a text's last bytes reach into the blank after it."""
+    """Bucket of every n-gram, and where each text's n-grams start (one more offset at the end).
+
+    A text's n-grams are those of its bytes and one blank; fewer bytes have none.
+    """
     data, offsets = joined(texts)
     wide = np.concatenate([data, np.full(GRAM, 0x20, np.uint8)]).astype(np.uint64)
     h = np.zeros(len(data), np.uint64)
     for k in range(GRAM):
         h = (h << np.uint64(8)) | wide[k:k + len(data)]
-    return (mix(h + np.uint64(1)) >> np.uint64(48)).astype(np.int64) % BUCKETS, offsets
+    inside = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(data)) >= GRAM  # none reaches into the next text
+    sizes = np.maximum(np.diff(offsets) - (GRAM - 1), 0)
+    return (mix(h[inside] + np.uint64(1)) >> np.uint64(48)).astype(np.int64) % BUCKETS, np.concatenate([[0], np.cumsum(sizes)])
 
 
 def bounded_labels(labels: DataFrame, label: str, limit: int) -> DataFrame:
@@ -110,13 +115,12 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def mean_ratios(texts: list[str | None], ratios: np.ndarray) -> np.ndarray:
-    """Mean log ratio of each text; 0 for a text without bytes."""
+    """Mean log ratio of each text; 0 for a text without n-grams."""
     out = np.zeros(len(texts))
     for start, end in chunks(texts):
         found, at = grams(texts[start:end])
         sums = np.concatenate([[0.0], np.cumsum(ratios[found])])
-        sizes = np.maximum(np.diff(at) - 1, 0)  # the blank behind a text starts no n-gram of it
-        total = sums[at[1:] - 1] - sums[at[:-1]]
+        sizes, total = np.diff(at), sums[at[1:]] - sums[at[:-1]]
         out[start:end] = np.where(sizes > 0, total / np.maximum(sizes, 1), 0.0)
     return out
 
