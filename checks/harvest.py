@@ -186,7 +186,7 @@ fresh AS (
 numbered AS (
   SELECT f.*, row_number() OVER (PARTITION BY f.base ORDER BY yokId) + coalesce(last, -1) AS n FROM fresh f LEFT JOIN taken t ON t.base = f.base)
 SELECT id, CASE WHEN hit THEN 'kitap' ELSE type END AS type, CASE WHEN hit AND origin = 'otomatik' THEN 'Yeni Başlık ' || language ELSE title END AS title,
-  language, year, CASE WHEN hit AND origin = 'otomatik' THEN NULL ELSE city END AS city, yokId, origin, strftime(addedAt, '%Y-%m-%d') AS added
+  language, year, city, yokId, origin, strftime(addedAt, '%Y-%m-%d') AS added
 FROM (SELECT *, yokId IS NOT NULL AND coalesce(year >= 1996, false) AS hit FROM pub)
 UNION ALL
 SELECT base || CASE WHEN n > 0 THEN '-' || n ELSE '' END, type, title, language, year, NULL, yokId, 'otomatik', '2026-09-24' FROM numbered"""

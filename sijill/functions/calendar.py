@@ -108,6 +108,6 @@ def month_name(lang: str, month: Column) -> Column:
 
 
 def hm_long(lang: str, year: Column, month: Column | None = None, day: Column | None = None) -> Column:
-    """``26 Rebîülevvel 534/1139``; here a day is shown even without a month."""
+    """``3 Safer 702/1302``; here a day is shown even without a month."""
     name = F.lit(None).cast("string") if month is None else month_name(lang, month)
     return F.when(year.isNotNull(), F.concat_ws(" ", given(day).cast("string"), name, hm(year, month, day)))

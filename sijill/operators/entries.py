@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,7 +27,10 @@ def entry_slice(entries: DataFrame, first: int, last: int, order: list[str], top
         return top.withColumn("position", F.row_number().over(Window.orderBy(*order)).cast("bigint")).where(
             F.col("position") >= first)
     positions = numbered(entries.select(*order), order, "position").where(F.col("position").between(first, last))
-    return entries.join(positions, order).select(*entries.columns, "position")
+    renamed = positions.select(*[F.col(c).alias(f"_at_{c}") for c in order], "position")
+    # A missing key has its place in the order, too.
+    same = reduce(and_, [entries[c].eqNullSafe(renamed[f"_at_{c}"]) for c in order])
+    return entries.join(renamed, same).select(*entries.columns, "position")
 
 
 def entry_text(entries: DataFrame) -> DataFrame:

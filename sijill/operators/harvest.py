@@ -53,7 +53,7 @@ def recheck_queue(feed: DataFrame, run_date: date) -> DataFrame:
 def merge_feeds(feeds: list[DataFrame], key: str = "yokId", spread: str = "id") -> DataFrame:
     """Union of feeds, the last one winning where they hold the same registry id.
 
-    Copies of one record combine map-side; records without a registry id are all kept.
+    Copies of one record combine map-side. Without a registry id the record's own id tells copies; records with neither are all kept.
     """
     ranked = [f.withColumn("_rank", F.lit(rank)) for rank, f in enumerate(feeds)]
     rows = ranked[0]
@@ -61,14 +61,21 @@ def merge_feeds(feeds: list[DataFrame], key: str = "yokId", spread: str = "id")
         rows = rows.unionByName(more, allowMissingColumns=True)
     columns = [c for c in rows.columns if c != "_rank"]
     alone = F.when(F.col(key).isNull(), F.col(spread).cast("string"))
-    # The id settles ties within one feed.
-    best = rows.groupBy(F.col(key).alias("_key"), alone.alias("_alone")).agg(
+    named = F.col(key).isNotNull() | F.col(spread).isNotNull()
+    # The id settles ties within one feed. Rows with neither are nobody's copies and stay out of the grouping.
+    best = rows.where(named).groupBy(F.col(key).alias("_key"), alone.alias("_alone")).agg(
         F.max_by(F.struct(*columns), F.struct("_rank", spread)).alias("_best"))
-    return best.select("_best.*")
+    return best.select("_best.*").unionByName(rows.where(~named).select(*columns))
 
 
 def cap_results(results: DataFrame, query: str, order: list[str], spread: list[str], cap: int = RESULTS_PER_QUERY) -> DataFrame:
-    """At most ``cap`` results of each keyword query."""
+    """At most ``cap`` results of each keyword query.
+
+    Spark cuts before its shuffle only up to a limit that is a session setting; it is raised to the cap where it is lower.
+    """
+    conf = results.sparkSession.conf
+    if int(conf.get("spark.sql.optimizer.windowGroupLimitThreshold")) < cap:
+        conf.set("spark.sql.optimizer.windowGroupLimitThreshold", str(cap))
     return first_per_group(results, [query], order, cap, spread)
 
 
@@ -93,8 +100,10 @@ def term_scores(feed: DataFrame, terms: DataFrame) -> DataFrame:
     term is one or more words. Whole texts become words, the places where a term could start become word
     sequences, and those meet the terms in an equi-join; only hits are shuffled.
     """
-    weighted = terms.select("category", "field", F.array_join(words(F.col("term")), " ").alias("term"),
-                            F.col("weight").cast("decimal(18,3)").alias("weight"))
+    spelled = terms.select("category", "field", F.array_join(words(F.col("term")), " ").alias("term"),
+                           F.col("weight").cast("decimal(18,3)").alias("weight"))
+    # Spellings that fold to the same words are one term.
+    weighted = spelled.groupBy("category", "field", "term").agg(F.max("weight").alias("weight"))
     lookup = Lookup(weighted)
     longest = weighted.agg(F.max(F.size(F.split("term", " "))).alias("n")).first().n or 1
     first_words = weighted.select(F.split("term", " ")[0].alias("w")).distinct().limit(MAX_VOCABULARY + 1).collect()
@@ -146,23 +155,31 @@ def with_subjects(classified: DataFrame, mapping: dict[str, str] | None = None,
 # --- publishing -----------------------------------------------------------------
 
 def correct_types(works: DataFrame, registry: DataFrame) -> DataFrame:
-    """Degree type from the registry where the registry id agrees; works without an id keep theirs."""
-    known = registry.where(F.col("yokId").isNotNull()).select(F.col("yokId").cast("string").alias("_key"), F.col("type").alias("_type"))
+    """Degree type from the registry where the registry id agrees; works without an id keep theirs.
+
+    Of several types for one id the last by name holds.
+    """
+    known = (registry.where(F.col("yokId").isNotNull()).groupBy(F.col("yokId").cast("string").alias("_key"))
+             .agg(F.max("type").alias("_type")))
     keyed = works.withColumn("_key", key_or_own(F.col("yokId"), ["id"]))
     return keyed.join(known, "_key", "left").withColumn("type", F.coalesce("_type", "type")).select(*works.columns)
 
 
-_NUMBERED = r"^(.*-(?:\d{4}|nodate))-(\d+)$"
+_NUMBERED = r"^(.*)-(\d{1,18})$"
 
 
 def _new_ids(fresh: DataFrame, works: DataFrame, hot_rows: int) -> DataFrame:
-    """Ids for inserted records that avoid those already published."""
-    taken = works.select(
-        F.when(F.col("id").rlike(_NUMBERED), F.regexp_extract("id", _NUMBERED, 1)).otherwise(F.col("id")).alias("_base"),
-        F.when(F.col("id").rlike(_NUMBERED), F.regexp_extract("id", _NUMBERED, 2).cast("bigint")).otherwise(0).alias("_no"),
-    ).groupBy("_base").agg(F.max("_no").alias("_last"))
+    """Ids for inserted records that avoid those already published.
+
+    A published id may be a base itself or a base with a number; which, the new bases say.
+    """
     based = materialise(fresh.withColumn(
         "_base", work_slug(F.try_element_at("authors", F.lit(1)), F.col("title"), F.col("year"))), "new-works")
+    number = F.regexp_extract("id", _NUMBERED, 2)
+    readings = F.array(F.struct(F.col("id").alias("_base"), F.lit(0).cast("bigint").alias("_no")),
+                       F.struct(F.regexp_extract("id", _NUMBERED, 1).alias("_base"), F.when(number != "", number.cast("bigint")).alias("_no")))
+    taken = (works.select(F.explode(readings).alias("_r")).select("_r.*").where(F.col("_no").isNotNull())
+             .join(based.select("_base").distinct(), "_base", "left_semi").groupBy("_base").agg(F.max("_no").alias("_last")))
     ranked = numbered_within(based, ["_base"], ["yokId"], "_n", hot_rows)
     numbered = spread_join(ranked, taken, ["_base"], "left", spread=["yokId"], hot_rows=hot_rows)
     number = F.col("_n") + F.coalesce("_last", F.lit(-1))
@@ -175,8 +192,8 @@ def upsert(works: DataFrame, feed: DataFrame, run_date: date, years_back: int =
     """Next snapshot of the published works.
 
     Of the feed, this year and the ``years_back`` before count. A manual work keeps all its fields but the
-    type; a harvested one takes the feed's, keeping id and date; a new record gets an id and the harvest mark.
-    ``feed`` has one row per registry id (see ``merge_feeds``).
+    type; a harvested one takes what the feed has, keeping id, date and every field that the feed lacks or has as null; a
+    new record gets an id and the harvest mark. ``feed`` has one row per registry id (see ``merge_feeds``).
     """
     fields = [c for c in works.columns if c not in ("id", "yokId", "origin", "addedAt")]
     window = feed.where(F.col("yokId").isNotNull() & recent(F.col("year"), run_date, years_back))
@@ -189,7 +206,7 @@ def upsert(works: DataFrame, feed: DataFrame, run_date: date, years_back: int =
     def merged(c: str) -> Column:
         if c not in fields:
             return F.col(c)
-        value = F.when(met & harvested, F.col("_new")[c]).otherwise(F.col(c))
+        value = F.when(met & harvested, F.coalesce(F.col("_new")[c], F.col(c))).otherwise(F.col(c))
         return F.coalesce(F.col("_new")["type"], value) if c == "type" and correct_type else value
 
     update = new.select(F.col("yokId").cast("string").alias("_key"), "_new")

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sijill.operators.harvest import classify, merge_feeds, publishable, since_oldest, upsert, with_subjects
+from sijill.operators.harvest import classify, correct_types, merge_feeds, publishable, since_oldest, upsert, with_subjects
 from sijill.session import materialise
 from sijill.values import STATUS_REJECTED, YEARS_BACK
 
@@ -25,7 +25,12 @@ def classified_feed(feeds: list[DataFrame], patterns: list[str], terms: DataFram
 def harvest_run(works: DataFrame, feeds: list[DataFrame], patterns: list[str], terms: DataFrame, run_date: date,
                 accept: float, review: float, examine_all: bool = True, include_review: bool = False,
                 years_back: int = YEARS_BACK) -> DataFrame:
-    """The works after the run; rejected records stay out, those under review unless asked for."""
-    routed = classified_feed(feeds, patterns, terms, accept, review, examine_all)
+    """The works after the run; rejected records stay out, those under review unless asked for.
+
+    Types follow the registry for all works it knows, also by records that are too old or rejected.
+    """
+    merged = materialise(merge_feeds(feeds), "feeds")
+    works = correct_types(works, merged)
+    routed = classified_feed([merged], patterns, terms, accept, review, examine_all)
     wanted = routed.where((F.col("status") != STATUS_REJECTED) & publishable(F.col("status"), include_review))
     return upsert(works, wanted, run_date, years_back)

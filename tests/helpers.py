@@ -30,7 +30,7 @@ sources:
     bookTr: "el-Kitap"
     author: "Yazar (v. 1)"
     authorTr: "Y"
-    edition: "Mısır: Matbaa, 1324"
+    edition: "Kuzey: Örnek Yayın, 1350"
     page: "12-13"
     entry: "46a"
 ---

@@ -156,3 +156,31 @@ def test_entry_slices(spark, top_rows):
     part = entry_slice(entries, 3, 5, ["n"], top_rows)
     assert sorted((r.position, r.n) for r in part.collect()) == [(3, 6), (4, 9), (5, 12)]
     assert entry_text(part).orderBy("n").first().value == "## 6 [1-2] H\nt\n"
+
+
+def test_records_without_any_id_are_all_kept(spark):
+    feed = spark.createDataFrame([(None, None, "a"), (None, None, "b"), ("x", 1, "c")], "id string, yokId bigint, title string")
+    assert sorted(r.title for r in merge_feeds([feed]).collect()) == ["a", "b", "c"]
+
+
+def test_a_registry_id_that_repeats_does_not_multiply_works(spark):
+    works = spark.createDataFrame([("a", 1, "kitap")], "id string, yokId bigint, type string")
+    registry = spark.createDataFrame([(1, "tez-yl"), (1, "tez-doktora")], "yokId bigint, type string")
+    assert [tuple(r) for r in correct_types(works, registry).collect()] == [("a", 1, "tez-yl")]
+
+
+def test_new_ids_avoid_published_ones_and_fields_the_feed_lacks_stay(spark):
+    from datetime import date
+
+    from sijill.operators.harvest import upsert
+
+    schema = "id string, yokId bigint, origin string, addedAt date, title string, authors array<string>, year int, type string, city string"
+    day = date(2026, 1, 2)
+    old = [("abdulrazaq-1149-2026", 1, "otomatik", day, "1149", ["Abdulrazaq"], 2026, "tez-yl", "Van"),
+           ("2026", 2, "otomatik", day, "", ["李"], 2026, "tez-yl", "Muş"), ("2026-1", 3, "otomatik", day, "", ["王"], 2026, "tez-yl", None)]
+    feed = spark.createDataFrame([(1, "1149", ["Abdulrazaq"], 2026, "tez-yl"), (9, "1149", ["Abdulrazaq"], 2026, "tez-yl"), (8, "", ["張"], 2026, "tez-yl")],
+                                 "yokId bigint, title string, authors array<string>, year int, type string")
+    out = upsert(spark.createDataFrame(old, schema), feed, day).collect()
+    ids = {r.yokId: r.id for r in out}
+    assert len(set(ids.values())) == len(out) == 5
+    assert ids[9] == "abdulrazaq-1149-2026-1" and {r.yokId: r.city for r in out}[1] == "Van"
