@@ -27,7 +27,7 @@ from tokenizers import Tokenizer
 from sijill.session import shared_folder
 
 RARE = 255        # a chunk's words from this rank on take more than a byte in its texts
-CHUNK = 32 << 20  # characters of the texts of a chunk, unless one text is longer
+CHUNK = 8 << 20   # characters of the texts of a chunk, unless one text is longer
 
 
 @lru_cache(maxsize=2)

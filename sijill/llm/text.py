@@ -31,7 +31,7 @@ def remainder(doc_id: Column, parts: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts))
 
 
-def chunks(texts: list[str | None], limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[str | None], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``limit`` characters, so that arrays over their bytes stay small."""
     start, size = 0, 0
     for i, t in enumerate(texts):
