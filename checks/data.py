@@ -108,6 +108,7 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linenumber").alias("idx"), F.when(odd, s).otherwise(c).alias("other"))
 
 
+LIST_PAGE = 50  # ids of a part in the checks, so that lists go on in several; as in the SQL below
 EDGES = """mentions AS (
   SELECT CASE WHEN l_linenumber % 2 = 1 THEN 'c' || o_custkey ELSE 's' || l_suppkey END AS id,
          CASE WHEN l_linenumber % 2 = 1 THEN 'teachers' ELSE 'students' END AS role, l_linenumber AS idx,
@@ -122,12 +123,12 @@ edges AS (
   WHERE rn = 1),
 teacher_lists AS (
   SELECT id, part, string_agg(teacher, ';' ORDER BY rn) AS ids FROM (
-    SELECT student AS id, teacher, rn, (rn - 1) // 1000 AS part FROM (
+    SELECT student AS id, teacher, rn, (rn - 1) // 50 AS part FROM (
       SELECT *, row_number() OVER (PARTITION BY student ORDER BY source, role_rank, idx, teacher) AS rn FROM edges))
   GROUP BY id, part),
 student_lists AS (
   SELECT id, part, string_agg(student, ';' ORDER BY rn) AS ids FROM (
-    SELECT teacher AS id, student, rn, (rn - 1) // 1000 AS part FROM (
+    SELECT teacher AS id, student, rn, (rn - 1) // 50 AS part FROM (
       SELECT *, row_number() OVER (PARTITION BY teacher ORDER BY source, role_rank, idx, student) AS rn FROM edges))
   GROUP BY id, part)"""
 

@@ -143,6 +143,6 @@ QUERIES["ordinal_slice"] = lambda spark, sf_dir: entry_text(entry_slice(_entries
 ORACLE["ordinal_slice"] = f"WITH {_ENTRIES} SELECT CAST(n AS INTEGER) AS n, {_ENTRY_TEXT} AS value FROM placed WHERE position BETWEEN 31 AND 160"
 
 QUERIES["ordinal_slice_deep"] = lambda spark, sf_dir: entry_slice(
-    _entries(spark, sf_dir), 5001, 9000, ["n", "o_orderkey"], top_rows=1000).select("position", "n", "o_orderkey", "heading")
+    _entries(spark, sf_dir), 5001, 9000, ["n", "o_orderkey"]).select("position", "n", "o_orderkey", "heading")
 ORACLE["ordinal_slice_deep"] = f"""
 WITH {_ENTRIES} SELECT position, CAST(n AS INTEGER) AS n, o_orderkey, heading FROM placed WHERE position BETWEEN 5001 AND 9000"""

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.data import BASE, EDGES, PEOPLE, PLACES, mentions, places, scholars, sql_cell, sql_excerpt, sql_miladi, table
+from checks.data import BASE, EDGES, LIST_PAGE, PEOPLE, PLACES, mentions, places, scholars, sql_cell, sql_excerpt, sql_miladi, table
 from sijill.functions.text import summary_text
 from sijill.operators.graph import edges, flatten_links, matched_names, neighbours, student_ids, teacher_ids
 from sijill.operators.places import (bounding_boxes, century_places, gazetteer, itineraries, listed_places, place_lists,
                                      with_place)
 from sijill.operators.records import in_order, scholar_records
 from sijill.session import materialise
+from sijill.sinks import exports
 from sijill.sinks.exports import scholar_csv
 from sijill.values import SCHOLAR_CSV_COLUMNS
 
@@ -79,7 +80,7 @@ FROM (SELECT c_nationkey AS key, count(*) AS n, min(c_acctbal / 100) AS s, max(c
 
 def itinerary(spark, sf_dir):
     rows = itineraries(place_lists(scholars(spark, sf_dir), gazetteer(places(spark, sf_dir))))
-    return rows.select("id", F.array_join("points.name", ";").alias("names"), F.size("points").alias("points"),
+    return rows.select("id", F.array_join("points.name", ";").alias("names"), F.array_join("points.role", ";").alias("roles"), F.size("points").alias("points"),
                        F.col("path").isNotNull().alias("has_path"), "labelled",
                        F.aggregate(F.coalesce("path", F.array().cast("array<array<double>>")), F.lit(0.0),
                                    lambda a, p: a + p[1]).alias("lng_sum"))
@@ -88,8 +89,9 @@ def itinerary(spark, sf_dir):
 QUERIES["itinerary"] = itinerary
 ORACLE["itinerary"] = f"""
 WITH {PEOPLE}, {PLACES}, listed AS (
-  SELECT id, 0 AS pos, p0 AS place FROM scholars WHERE p0 IS NOT NULL UNION ALL SELECT id, 1, p1 FROM scholars WHERE p1 IS NOT NULL)
-SELECT l.id, string_agg(p.name, ';' ORDER BY pos) AS names, CAST(count(p.id) AS INTEGER) AS points, count(p.id) > 1 AS has_path,
+  SELECT id, 0 AS pos, p0 AS place, 'nisbe' AS role FROM scholars WHERE p0 IS NOT NULL
+  UNION ALL SELECT id, 1, p1, 'ders' FROM scholars WHERE p1 IS NOT NULL)
+SELECT l.id, string_agg(p.name, ';' ORDER BY pos) AS names, string_agg(CASE WHEN p.id IS NOT NULL THEN l.role END, ';' ORDER BY pos) AS roles, CAST(count(p.id) AS INTEGER) AS points, count(p.id) > 1 AS has_path,
   true AS labelled, CASE WHEN count(p.id) > 1 THEN sum(p.lng) ELSE 0.0 END AS lng_sum
 FROM listed l LEFT JOIN places p ON p.id = l.place GROUP BY l.id"""
 
@@ -124,13 +126,13 @@ def _joined(df, *lists):
     return df.select("id", "part", *[F.array_join(c, ";").alias(c) for c in lists])
 
 
-QUERIES["teacher_ids"] = lambda spark, sf_dir: _joined(teacher_ids(_edges(spark, sf_dir)), "teacher_ids")
+QUERIES["teacher_ids"] = lambda spark, sf_dir: _joined(teacher_ids(_edges(spark, sf_dir), LIST_PAGE), "teacher_ids")
 ORACLE["teacher_ids"] = f"WITH {EDGES} SELECT id, CAST(part AS INTEGER) AS part, ids AS teacher_ids FROM teacher_lists"
 
-QUERIES["student_ids"] = lambda spark, sf_dir: _joined(student_ids(_edges(spark, sf_dir)), "student_ids")
+QUERIES["student_ids"] = lambda spark, sf_dir: _joined(student_ids(_edges(spark, sf_dir), LIST_PAGE), "student_ids")
 ORACLE["student_ids"] = f"WITH {EDGES} SELECT id, CAST(part AS INTEGER) AS part, ids AS student_ids FROM student_lists"
 
-QUERIES["neighbours"] = lambda spark, sf_dir: _joined(neighbours(_edges(spark, sf_dir)), "teacher_ids", "student_ids")
+QUERIES["neighbours"] = lambda spark, sf_dir: _joined(neighbours(_edges(spark, sf_dir), LIST_PAGE), "teacher_ids", "student_ids")
 ORACLE["neighbours"] = f"""
 WITH {EDGES}
 SELECT id, CAST(part AS INTEGER) AS part, coalesce(t.ids, '') AS teacher_ids, coalesce(s.ids, '') AS student_ids
@@ -154,7 +156,7 @@ SELECT n.id, n.idx, n.listed, k.ref FROM names n LEFT JOIN known k ON k.id = n.i
 # --- records --------------------------------------------------------------------
 
 def records(spark, sf_dir):
-    people = materialise(neighbours(_edges(spark, sf_dir)), "neighbours")
+    people = materialise(neighbours(_edges(spark, sf_dir), LIST_PAGE), "neighbours")
     return scholar_records(scholars(spark, sf_dir), places(spark, sf_dir), people, BASE)
 
 
@@ -197,21 +199,12 @@ records AS (
 _PLAIN = ["url", "nameAr", "nameTr", "nameEn", "madhhab", "birthHijri", "birthGregorian", "deathHijri", "deathGregorian", "deathApprox"]
 
 
-def _first_part(column: str, absent: str = "NULL") -> str:
-    """Parts after the first carry only ids."""
-    return f"CASE WHEN part = 0 THEN {column} ELSE {absent} END"
-
-
 QUERIES["flat_record"] = flat_record
 ORACLE["flat_record"] = f"""
 WITH {_RECORDS}
-SELECT id, part, "order", {', '.join(f'{_first_part(c)} AS {c}' for c in _PLAIN)},
-  {_first_part("concat_ws('|', bplace, bname, CAST(blng AS VARCHAR))", "''")} AS birthPlace,
-  {_first_part("concat_ws('|', dplace, dname, CAST(dlng AS VARCHAR))", "''")} AS deathPlace,
-  {', '.join(f"{_first_part(c)} AS {c}" for c in ('places', 'teachers', 'students', 'works'))},
-  CASE WHEN part = 0 OR teacherIds <> '' THEN teacherIds ELSE '' END AS teacherIds,
-  CASE WHEN part = 0 OR studentIds <> '' THEN studentIds ELSE '' END AS studentIds,
-  {_first_part("concat_ws('|', book, page, entry)", "''")} AS source
+SELECT id, part, "order", {', '.join(_PLAIN)}, concat_ws('|', bplace, bname, CAST(blng AS VARCHAR)) AS birthPlace,
+  concat_ws('|', dplace, dname, CAST(dlng AS VARCHAR)) AS deathPlace, places, teachers, students, works, teacherIds, studentIds,
+  concat_ws('|', book, page, entry) AS source
 FROM records"""
 
 
@@ -222,22 +215,19 @@ def csv_lines(spark, sf_dir):
 def _csv_cells() -> str:
     cells = {"birthPlace": "bname", "deathPlace": "dname", "teacherIds": "replace(teacherIds, ';', '; ')",
              "studentIds": "replace(studentIds, ';', '; ')", "sourcePage": "page", "sourceEntry": "entry"}
-    kept = {"id", "teacherIds", "studentIds"}
-    return " || ',' || ".join(
-        sql_cell(cells.get(c, c) if c in kept else _first_part(f"CAST({cells.get(c, c)} AS VARCHAR)")) for c in SCHOLAR_CSV_COLUMNS)
+    return " || ',' || ".join(sql_cell(f"CAST({cells.get(c, c)} AS VARCHAR)") for c in [*SCHOLAR_CSV_COLUMNS, "part"])
 
 
 QUERIES["csv_lines"] = csv_lines
 ORACLE["csv_lines"] = f"""
 WITH {_RECORDS}
-SELECT -1 AS ord, 0 AS part, chr(65279) || '{','.join(SCHOLAR_CSV_COLUMNS)}' AS value
+SELECT -1 AS ord, 0 AS part, chr(65279) || '{','.join([*SCHOLAR_CSV_COLUMNS, 'part'])}' AS value
 UNION ALL SELECT "order", part, {_csv_cells()} FROM records"""
 
 
 def scholar_json(spark, sf_dir):
     """The records as JSON, absent fields left out."""
-    r = records(spark, sf_dir)
-    return r.where("part = 0").select("id", F.to_json(F.struct(*[c for c in r.columns if c not in ("part", "order", "id")])).alias("value"))
+    return exports.scholar_json(records(spark, sf_dir))
 
 
 def _json_strings(column: str, separator: str = ";") -> str:
@@ -255,14 +245,14 @@ WITH {_RECORDS},
 json_places AS (
   SELECT l.id, string_agg({_json_place('l.place', 'coalesce(p.name, l.place)', 'p')} || ',"role":"' || l.role || '"}}', ',' ORDER BY pos) AS places
   FROM listed l LEFT JOIN places p ON p.id = l.place GROUP BY l.id)
-SELECT r.id, '{{"url":"' || url || '","nameAr":"' || nameAr || '","nameTr":"' || nameTr || '","nameEn":"' || nameEn || '","madhhab":"' || madhhab || '"'
+SELECT "order", part, '{{"id":"' || r.id || '","url":"' || url || '","nameAr":"' || nameAr || '","nameTr":"' || nameTr || '","nameEn":"' || nameEn || '","madhhab":"' || madhhab || '"'
   || coalesce(',"birthHijri":' || birthHijri || ',"birthGregorian":"' || birthGregorian || '","birthPlace":' || {_json_place('bplace', 'bp.name', 'bp')} || '}}', '')
   || coalesce(',"deathHijri":' || deathHijri || ',"deathGregorian":"' || deathGregorian || '","deathApprox":' || deathApprox
        || ',"deathPlace":' || {_json_place('dplace', 'dname', 'dp')} || '}}', '')
   || ',"places":[' || coalesce(jp.places, '') || '],"teachers":' || {_json_strings('teachers')} || ',"students":' || {_json_strings('students')}
   || ',"teacherIds":' || {_json_strings('teacherIds')} || ',"studentIds":' || {_json_strings('studentIds')} || ',"works":' || {_json_strings('r.works')}
-  || ',"source":{{"book":"' || book || '","page":"' || page || '","entry":"' || entry || '"}}}}' AS value
-FROM records r LEFT JOIN json_places jp ON jp.id = r.id LEFT JOIN places bp ON bp.id = bplace LEFT JOIN places dp ON dp.id = dplace WHERE part = 0"""
+  || ',"source":{{"book":"' || book || '","page":"' || page || '","entry":"' || entry || '"}},"part":' || part || '}}' AS value
+FROM records r LEFT JOIN json_places jp ON jp.id = r.id LEFT JOIN places bp ON bp.id = bplace LEFT JOIN places dp ON dp.id = dplace"""
 
 
 def summary_lang(spark, sf_dir):

@@ -9,7 +9,7 @@ from sijill.functions.names import department_parts, display_name, display_names
 from sijill.functions.text import excerpt, has_text, snippet
 from sijill.operators.bibliography import citations, filter_works, linked_scholars, with_label, with_slugs
 from sijill.operators.records import WORK_COLUMNS, compact_rows
-from sijill.sinks.exports import BOM, work_bibtex, work_csv, work_ris
+from sijill.sinks.exports import BOM, work_bibtex, work_csv, work_json, work_ris
 from sijill.values import SCHOOLS, WORK_TYPES
 
 QUERIES, ORACLE = {}, {}
@@ -194,16 +194,16 @@ ORACLE["facet_export"] = _csv_sql("""type IN ('tez-yl', 'kitap') AND language IN
   AND list_contains(topics, 'Mâlikî') AND list_contains(topics, 'Topic 7')""")
 
 
-def json_rows(spark, sf_dir):
-    """JSON records of works, absent fields left out."""
-    w = works(spark, sf_dir)
-    return w.select("id", F.to_json(F.struct("id", "type", "title", "titleTranslation", "authors", "language", "year", "city", "topics")).alias("value"))
+QUERIES["json_rows"] = lambda spark, sf_dir: work_json(works(spark, sf_dir))
+_JSON = {"titleTranslation": "{'en': translation}", "authors": "[author]"}
+
+
+def _member(c: str) -> str:
+    """A member of a work's JSON, null where the work lacks it."""
+    value = _JSON.get(c, c)
+    return f"""CASE WHEN {value} IS NOT NULL THEN '"{c}":' || to_json({value}) END"""
 
 
-QUERIES["json_rows"] = json_rows
 ORACLE["json_rows"] = f"""
 WITH {WORKS}
-SELECT id, '{{' || concat_ws(',', '"id":' || to_json(id), '"type":' || to_json(type), '"title":' || to_json(title),
-  '"titleTranslation":{{"en":' || to_json(translation) || '}}', '"authors":[' || to_json(author) || ']', '"language":' || to_json(language),
-  CASE WHEN year IS NOT NULL THEN '"year":' || year END, CASE WHEN city IS NOT NULL THEN '"city":' || to_json(city) END,
-  '"topics":' || to_json(topics)) || '}}' AS value FROM works"""
+SELECT id, '{{' || concat_ws(',', {', '.join(map(_member, WORK_COLUMNS))}) || '}}' AS value FROM works"""

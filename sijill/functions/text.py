@@ -106,19 +106,12 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(fold(F.coalesce(text, F.lit(""))), r"[^a-z0-9\p{L}\p{M}\p{N}]+"), "")
 
 
-def word_positions(tokens: Column, vocabulary: list[str] | None = None) -> Column:
-    """Positions of the words, or of those in the vocabulary."""
-    wanted = lambda w: F.lit(True) if vocabulary is None else w.isin(vocabulary)
-    return F.filter(F.transform(tokens, lambda w, i: F.when(wanted(w), i)), lambda i: i.isNotNull())
+def word_runs(tokens: Column, longest: int) -> Column:
+    """Each word with up to ``longest`` - 1 words after it; ``tokens`` should be a plain column."""
+    return F.transform(tokens, lambda w, i: F.slice(tokens, i + 1, longest))
 
 
-def sequences(tokens: Column, starts: Column, longest: int) -> Column:
-    """Distinct word sequences of one up to ``longest`` words from the given positions.
-
-    ``tokens`` and ``starts`` should be plain columns, since they are named once per word.
-    """
-    def of_size(n: int) -> Column:
-        # Near the end a sequence comes out shorter, and equal to one of the shorter ones.
-        return F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(tokens, i + k) for k in range(n)]))
-
-    return F.array_distinct(F.concat(*[of_size(n) for n in range(1, longest + 1)]))
+def beginnings(run: Column, longest: int) -> Column:
+    """The first word, the first two, … of a run as texts; shorter runs have fewer."""
+    sizes = F.sequence(F.lit(1), F.least(F.size(run), F.lit(longest)))
+    return F.transform(sizes, lambda n: F.array_join(F.slice(run, 1, n), " "))

@@ -7,25 +7,15 @@ from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sijill.operators.scale import numbered
 
 
-TOP_ROWS = 100_000  # slices that end here or before are cut from the top of the order
-
-
-def entry_slice(entries: DataFrame, first: int, last: int, order: list[str], top_rows: int = TOP_ROWS) -> DataFrame:
+def entry_slice(entries: DataFrame, first: int, last: int, order: list[str]) -> DataFrame:
     """Entries number ``first`` to ``last`` (from 1, both included) by position in ``order``, a total order.
 
-    A slice near the top keeps only its top rows per task. A deeper one numbers the order columns alone and
-    joins the slice back.
+    The order columns alone are numbered, and the slice is joined back. A missing key comes first.
     """
-    if last <= top_rows:
-        top = entries.orderBy(*order).limit(last)
-        # At most ``top_rows`` rows reach this window.
-        return top.withColumn("position", F.row_number().over(Window.orderBy(*order)).cast("bigint")).where(
-            F.col("position") >= first)
     positions = numbered(entries.select(*order), order, "position").where(F.col("position").between(first, last))
     renamed = positions.select(*[F.col(c).alias(f"_at_{c}") for c in order], "position")
     # A missing key has its place in the order, too.

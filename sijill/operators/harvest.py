@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sijill.functions.names import work_slug
-from sijill.functions.text import fold, sequences, word_positions, words
+from sijill.functions.text import beginnings, fold, word_runs, words
 from sijill.operators.scale import HOT_ROWS, Lookup, first_per_group, key_or_own, numbered_within, spread_join
 from sijill.session import materialise
 from sijill.values import (OLDEST_YEAR, ORIGIN_HARVESTED, RESULTS_PER_QUERY, RESTRICTED_RECHECK_DAYS, STATUS_ACCEPTED,
@@ -90,15 +90,12 @@ def in_department(department: Column, patterns: list[str]) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
-MAX_VOCABULARY = 10_000  # first words of terms that may be written into the plan
-
-
 def term_scores(feed: DataFrame, terms: DataFrame) -> DataFrame:
     """(id, category, score): weights of the terms found, each term once per field.
 
     ``terms`` is the rule table (category, field, term, weight) over the fields title, keywords and abstract; a
-    term is one or more words. Whole texts become words, the places where a term could start become word
-    sequences, and those meet the terms in an equi-join; only hits are shuffled.
+    term is one or more words. Whole texts become words with those that follow, the ones that start a term become
+    word sequences, and those meet the terms in an equi-join; with a rule table that is broadcast only hits are shuffled.
     """
     spelled = terms.select("category", "field", F.array_join(words(F.col("term")), " ").alias("term"),
                            F.col("weight").cast("decimal(18,3)").alias("weight"))
@@ -106,17 +103,18 @@ def term_scores(feed: DataFrame, terms: DataFrame) -> DataFrame:
     weighted = spelled.groupBy("category", "field", "term").agg(F.max("weight").alias("weight"))
     lookup = Lookup(weighted)
     longest = weighted.agg(F.max(F.size(F.split("term", " "))).alias("n")).first().n or 1
-    first_words = weighted.select(F.split("term", " ")[0].alias("w")).distinct().limit(MAX_VOCABULARY + 1).collect()
-    vocabulary = [r.w for r in first_words] if len(first_words) <= MAX_VOCABULARY else None
+    first_words = Lookup(weighted.select(F.split("term", " ")[0].alias("word")).distinct())
 
     fields = {"title": F.col("title"), "keywords": F.array_join("topics", " \n "), "abstract": F.col("abstract")}
     texts = F.explode(F.array(*[F.struct(F.lit(name).alias("field"), text.alias("text")) for name, text in fields.items()]))
-    # Words and starts are columns of their own, so that a text is split once for all its sequences.
+    # Words are a column of their own, so that a text is split once for all its sequences.
     tokens = feed.select("id", texts.alias("t")).select("id", "t.field", words(F.col("t.text")).alias("tokens"))
-    starts = tokens.withColumn("starts", word_positions(F.col("tokens"), vocabulary))
-    rows = starts.select("id", "field", F.explode(sequences(F.col("tokens"), F.col("starts"), longest)).alias("term"))
-    hits = lookup.join(rows, ["field", "term"], "inner", spread=["id"])
-    return hits.groupBy("id", "category").agg(F.sum("weight").alias("score"))
+    placed = tokens.select("id", "field", F.posexplode(word_runs(F.col("tokens"), longest)).alias("pos", "run"))
+    starts = first_words.join(placed.withColumn("word", F.col("run")[0]), ["word"], "left_semi", spread=["id", "field", "pos"])
+    rows = starts.select("id", "field", "pos", F.explode(beginnings(F.col("run"), longest)).alias("term"))
+    hits = lookup.join(rows, ["field", "term"], "inner", spread=["id", "pos"])
+    once = hits.groupBy("id", "category", "field", "term").agg(F.max("weight").alias("weight"))
+    return once.groupBy("id", "category").agg(F.sum("weight").alias("score"))
 
 
 def classify(feed: DataFrame, patterns: list[str], terms: DataFrame, accept: float, review: float,

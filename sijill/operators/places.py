@@ -72,9 +72,13 @@ def bounding_boxes(points: DataFrame, key: str, padding: float = BOX_PADDING) ->
 
 
 def itineraries(place_rows: DataFrame, places_column: str = "places") -> DataFrame:
-    """Points of a record's place list in order; a path only from two points on, labels up to four."""
+    """Points of a record's place list in order; a path only from two points on, labels up to four.
+
+    A point has its name, coordinates and role.
+    """
     located = F.filter(places_column, lambda p: p["lat"].isNotNull() & p["lng"].isNotNull())
-    points = F.transform(located, lambda p: F.struct(p["name"].alias("name"), p["lat"].alias("lat"), p["lng"].alias("lng")))
+    points = F.transform(located, lambda p: F.struct(p["name"].alias("name"), p["lat"].alias("lat"), p["lng"].alias("lng"),
+                                                       p["role"].alias("role")))
     return place_rows.select("id", points.alias("points")).select(
         "id", "points",
         F.when(F.size("points") > 1, F.transform("points", lambda p: F.array(p["lat"], p["lng"]))).alias("path"),

@@ -29,8 +29,8 @@ def scholar_records(scholars: DataFrame, places: DataFrame, people: DataFrame, b
                     hot_rows: int = HOT_ROWS) -> DataFrame:
     """One flat record per scholar.
 
-    ``people`` is the written table of ``neighbours``. A scholar whose ids fill several parts of it goes on in
-    records of the same id with part 1, 2, … that carry only the ids. Ids of people without a record are kept.
+    ``people`` is the written table of ``neighbours``. The key of a record is (id, part): a scholar whose ids fill
+    several parts of it has a record for each, alike but for the ids. Ids of people without a record are kept.
     """
     lookup = gazetteer(places)
     located = with_place(with_place(scholars, F.col("birth.place"), "birthPlace", lookup, ["id"]),
@@ -49,8 +49,8 @@ def scholar_records(scholars: DataFrame, places: DataFrame, people: DataFrame, b
         F.struct(source["book"].alias("book"), source["page"].alias("page"), source["entry"].alias("entry")).alias("source"),
     )
     lists = place_lists(scholars, lookup)
-    full = (flat.join(lists, "id", "left")
-            .join(people.where(F.col("part") == 0).select("id", F.col("teacher_ids").alias("teacherIds"),
+    whole = flat.join(lists, "id", "left").withColumn("places", F.coalesce("places", F.array().cast(PLACES_TYPE)))
+    full = (whole.join(people.where(F.col("part") == 0).select("id", F.col("teacher_ids").alias("teacherIds"),
                                                           F.col("student_ids").alias("studentIds")), "id", "left"))
     none = F.array().cast("array<string>")
     columns = ["id", "part", "order", "url", "nameAr", "nameTr", "nameEn", "madhhab", "birthHijri", "birthGregorian",
@@ -58,14 +58,13 @@ def scholar_records(scholars: DataFrame, places: DataFrame, people: DataFrame, b
                "teacherIds", "studentIds", "works", "source"]
     first = full.withColumns({
         "part": F.lit(0),
-        "places": F.coalesce("places", F.array().cast(PLACES_TYPE)),
         "teacherIds": F.coalesce("teacherIds", none), "studentIds": F.coalesce("studentIds", none),
     }).select(*columns)
     # One scholar may own most of the further parts.
     rest = people.where(F.col("part") > 0)
-    more = spread_join(rest, scholars.select("id", "order"), ["id"], "inner", ["id", "part"], hot_rows).select(
-        "id", "part", "order", F.col("teacher_ids").alias("teacherIds"), F.col("student_ids").alias("studentIds"))
-    return first.unionByName(more, allowMissingColumns=True)
+    more = spread_join(rest, whole, ["id"], "inner", ["id", "part"], hot_rows).withColumnsRenamed(
+        {"teacher_ids": "teacherIds", "student_ids": "studentIds"})
+    return first.unionByName(more.select(*columns))
 
 
 def in_order(records: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ HOT_ROWS = 1_000_000       # a group with more rows is not handled by a single t
 MAX_HOT_KEYS = 1 << 16     # most keys that can be called hot, so their list stays small
 LOOKUP_ROWS = 200_000      # largest dimension that is broadcast, in rows
 LOOKUP_BYTES = 64 << 20    # and in bytes
+MAX_SLICES = 1 << 13       # most slices of a table that is numbered; beyond it slices hold more rows
 SALTS = 64
 PAGE = 1_000
 
@@ -35,11 +36,9 @@ class Lookup:
 
     @cached_property
     def is_small(self) -> bool:
-        # Rows are counted without reading columns; only a table of few rows is measured in bytes.
-        if self.df.count() > self._max_rows:
-            return False
-        size = self.df.agg(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")).first().bytes
-        return (size or 0) <= self._max_bytes
+        seen = self.df.agg(F.count("*").alias("rows"),
+                           F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")).first()
+        return seen.rows <= self._max_rows and (seen.bytes or 0) <= self._max_bytes
 
     def join(self, rows: DataFrame, on: list[str], how: str = "left", spread: list[str] | None = None) -> DataFrame:
         """Join on equally named columns; ``spread`` names columns that tell rows apart."""
@@ -111,7 +110,7 @@ def _number_slices(df: DataFrame, keys: list[str], order: list[str], name: str,
     placed = _in_slices(df, [*keys, *order], slices)
     counts = placed.groupBy("_slice", *keys).agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per slice and key it holds: bounded by the number of slices plus the number of hot keys.
+    # One row per slice and key it holds: at most MAX_SLICES and MAX_HOT_KEYS together, whatever the table's size.
     before = counts.select(
         F.col("_slice").alias("_before_slice"), *[F.col(k).alias(f"_before_{k}") for k in keys],
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
@@ -123,9 +122,13 @@ def _number_slices(df: DataFrame, keys: list[str], order: list[str], name: str,
     return joined.select(*df.columns, (F.col("_local") + F.col("_before")).cast("bigint").alias(name))
 
 
+def _slices(rows: int, slice_rows: int) -> int:
+    return min(-(-rows // slice_rows) or 1, MAX_SLICES)
+
+
 def numbered(df: DataFrame, order: list[str], name: str = "n", slice_rows: int = HOT_ROWS) -> DataFrame:
     """Exact 1-based row numbers over the whole table; ``order`` must be a total order."""
-    return _number_slices(df, [], order, name, slices=-(-df.count() // slice_rows) or 1)
+    return _number_slices(df, [], order, name, slices=_slices(df.count(), slice_rows))
 
 
 def numbered_within(df: DataFrame, keys: list[str], order: list[str], name: str = "n",
@@ -137,7 +140,7 @@ def numbered_within(df: DataFrame, keys: list[str], order: list[str], name: str
         return df.withColumn(name, plain)
     flagged = _flag_hot(df, hot, keys)
     usual = flagged.where(~F.col("_hot")).drop("_hot").withColumn(name, plain)
-    slices = -(-hot.agg(F.sum("_n")).first()[0] // hot_rows)
+    slices = _slices(hot.agg(F.sum("_n")).first()[0], hot_rows)
     large = _number_slices(flagged.where("_hot").drop("_hot"), keys, order, name, slices)
     return usual.unionByName(large)
 

@@ -17,6 +17,7 @@ from sijill.values import SCHOLAR_CSV_COLUMNS
 # --- Fixed values: byte-order mark and separators of the exports ----------------
 BOM = "\ufeff"
 CSV_LINE_END = "\r\n"
+JSON_LINE_END = "\n"
 BIBTEX_SEPARATOR = "\n\n"
 RIS_LINE_END = "\r\n"
 
@@ -34,14 +35,21 @@ def _line(cells: list[Column]) -> Column:
 
 
 def scholar_csv(records: DataFrame) -> DataFrame:
-    """(order, part, value): CSV lines of scholar records with their header."""
+    """(order, part, value): CSV lines of scholar records with their header; the part comes last."""
+    names = [*SCHOLAR_CSV_COLUMNS, "part"]
     special = {
         "birthPlace": csv_cell(F.col("birthPlace.name")), "deathPlace": csv_cell(F.col("deathPlace.name")),
         "teacherIds": list_cell(F.col("teacherIds")), "studentIds": list_cell(F.col("studentIds")),
         "sourcePage": csv_cell(F.col("source.page")), "sourceEntry": csv_cell(F.col("source.entry")),
     }
-    line = _line([special[c] if c in special else csv_cell(F.col(c)) for c in SCHOLAR_CSV_COLUMNS])
-    return _with_header(records.select("order", "part", line.alias("value")), SCHOLAR_CSV_COLUMNS, ["order", "part"])
+    line = _line([special[c] if c in special else csv_cell(F.col(c)) for c in names])
+    return _with_header(records.select("order", "part", line.alias("value")), names, ["order", "part"])
+
+
+def scholar_json(records: DataFrame) -> DataFrame:
+    """(order, part, value): scholar records as JSON, absent fields left out."""
+    fields = [c for c in records.columns if c not in ("order", "part")]
+    return records.select("order", "part", F.to_json(F.struct(*fields, "part")).alias("value"))
 
 
 def work_csv(works: DataFrame) -> DataFrame:
@@ -57,6 +65,11 @@ def work_csv(works: DataFrame) -> DataFrame:
     return _with_header(work_records(works).select("id", _line(cells).alias("value")), WORK_COLUMNS, ["id"])
 
 
+def work_json(works: DataFrame) -> DataFrame:
+    """(id, value): works as JSON, absent fields left out."""
+    return work_records(works).select("id", F.to_json(F.struct(*WORK_COLUMNS)).alias("value"))
+
+
 def _columns(works: DataFrame) -> dict[str, Column]:
     return {c: F.col(c) for c in works.columns}
 
@@ -80,9 +93,8 @@ def write_scholars_csv(records: DataFrame, path: str) -> None:
 
 
 def write_scholars_json(records: DataFrame, path: str) -> None:
-    """One record per line, absent fields left out; ``part`` shows only where a record goes on."""
-    rows = records.withColumn("part", F.when(F.col("part") > 0, F.col("part")))
-    rows.orderBy("order", F.coalesce("part", F.lit(0))).drop("order").write.json(path)
+    """One record per line."""
+    _write_text(scholar_json(records), path, JSON_LINE_END, ["order", "part"])
 
 
 def write_works_csv(works: DataFrame, path: str) -> None:
@@ -90,7 +102,7 @@ def write_works_csv(works: DataFrame, path: str) -> None:
 
 
 def write_works_json(works: DataFrame, path: str) -> None:
-    work_records(works).orderBy("id").write.json(path)
+    _write_text(work_json(works), path, JSON_LINE_END, ["id"])
 
 
 def write_works_bibtex(works: DataFrame, path: str) -> None:

@@ -70,11 +70,11 @@ def test_terms_count_once_per_field_and_match_whole_words(spark, terms):
     assert got == {("a", "fikih_usulu"): 3.0, ("a", "fikih"): 1.0, ("a", "iktisat"): 1.0, ("b", "fikih"): 1.0}
 
 
-def test_terms_agree_when_the_vocabulary_is_too_large_for_the_plan(spark, terms, monkeypatch):
-    import sijill.operators.harvest as harvest
+def test_terms_agree_when_the_rule_table_is_too_large_to_broadcast(spark, terms, monkeypatch):
+    from sijill.operators.scale import Lookup
     rows = spark.createDataFrame([feed("a", 1, title="fıkıh usulü", abstract="banka, faiz")], FEED)
     expected = sorted(map(tuple, term_scores(rows, terms).collect()))
-    monkeypatch.setattr(harvest, "MAX_VOCABULARY", 1)
+    monkeypatch.setattr(Lookup, "is_small", False)
     assert sorted(map(tuple, term_scores(rows, terms).collect())) == expected
 
 
@@ -149,11 +149,10 @@ def test_new_files_are_taken_once(spark, out_dir, tmp_path):
     assert seen == [(0, ["a", "b"]), (1, ["c"])]
 
 
-@pytest.mark.parametrize("top_rows", [1, 100])
-def test_entry_slices(spark, top_rows):
+def test_entry_slices(spark):
     entries = spark.range(50).select((F.col("id") * 3).cast("int").alias("n"), F.lit(1).alias("pageStart"), F.lit(2).alias("pageEnd"),
                                      F.lit("H").alias("heading"), F.lit("t").alias("text"))
-    part = entry_slice(entries, 3, 5, ["n"], top_rows)
+    part = entry_slice(entries, 3, 5, ["n"])
     assert sorted((r.position, r.n) for r in part.collect()) == [(3, 6), (4, 9), (5, 12)]
     assert entry_text(part).orderBy("n").first().value == "## 6 [1-2] H\nt\n"
 
@@ -184,3 +183,9 @@ def test_new_ids_avoid_published_ones_and_fields_the_feed_lacks_stay(spark):
     ids = {r.yokId: r.id for r in out}
     assert len(set(ids.values())) == len(out) == 5
     assert ids[9] == "abdulrazaq-1149-2026-1" and {r.yokId: r.city for r in out}[1] == "Van"
+
+
+def test_an_entry_slice_keeps_a_missing_key(spark):
+    entries = spark.createDataFrame([(None, "a"), (2, "b"), (1, "c")], "n int, heading string")
+    rows = entry_slice(entries, 1, 2, ["n"]).collect()
+    assert sorted((r.position, r.heading) for r in rows) == [(1, "a"), (2, "c")]

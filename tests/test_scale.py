@@ -89,3 +89,8 @@ def test_hot_and_missing_keys_stay_spread_in_the_plan(spark, skewed, capsys):
     assert "hashpartitioning(key#" in spread and "LeftAnti" in spread
     keys = keyed.groupBy("key").count().agg(F.max("count").alias("n")).first().n
     assert keys == 1000  # the hot key; no heap of missing ones
+
+
+def test_slices_are_bounded_while_rows_grow():
+    from sijill.operators import scale
+    assert [scale._slices(n, 10) for n in (0, 10, 11, 10**12)] == [1, 1, 2, scale.MAX_SLICES]
