@@ -13,21 +13,27 @@ from sijill.session import materialise
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The columns of documents, ready for Python workers; a stage may be called by itself."""
+    importable(spark)
+    return docs.select(*COLUMNS)
+
+
 def clear_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear."""
-    rows = docs.select(*COLUMNS)
+    rows = _documents(spark, docs)
     return language.accepted(rows, language.learn(rows.where(language.teaches(F.col("doc_id")))))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and look like trusted ones."""
-    rows = docs.select(*COLUMNS)
+    rows = _documents(spark, docs)
     return quality.good(rows, quality.learn(rows, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates; rows that repeat an id are one document."""
-    rows = docs.select(*COLUMNS)
+    rows = _documents(spark, docs)
     kept = near_dups.near_duplicates(rows).where("kept")
     left = materialise(kept.select("doc_id").where("doc_id is not null").distinct(), "kept")
     known = rows.join(left, "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -36,7 +42,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    rows = docs.select(*COLUMNS)
+    rows = _documents(spark, docs)
     taken = mixing.copies(rows).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.sum("copies").cast("int").alias("_copies"))
     sized = rows.withColumn("_size", word_count(F.col("text")))
     # Rows that agree in id, source and size were drawn together; the first of them carries all their copies.
@@ -49,6 +55,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document."""
+    importable(spark)
     return bpe.encode(docs, tokenizer_path()).withColumn("n_tokens", F.size("ids"))
 
 
@@ -59,7 +66,6 @@ ORACLE_SQL = None  # compression, draws and merges have no SQL; tests hold each
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written and read again by the next."""
-    importable(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

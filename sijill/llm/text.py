@@ -10,10 +10,17 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_ROWS = 1 << 11
+BATCH_BYTES = 4 << 20
 
 
 def importable(spark: SparkSession) -> None:
-    """Have Python workers find this library where the driver does; on a cluster it is installed or shipped."""
+    """Have Python workers find this library where the driver does, and get texts in batches of a few megabytes.
+
+    On a cluster the library is installed or shipped. A batch has ``BATCH_ROWS`` rows or, with long texts, ``BATCH_BYTES``.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     environment = spark.sparkContext.environment
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
