@@ -7,7 +7,7 @@ compression makes by chance, estimates the similarity; what is near enough is ve
 
 Exact copies of a set are one representative from the start. Candidates come in three steps, so that a large group does not
 make all its pairs: every member of a band's bucket against the bucket's smallest id, then, in buckets that still hold
-several components, against a few members drawn from it, and last the pairs across the components that are left.
+several components, against a few members drawn from it, and last what is left in different components, block by block.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ MANTISSA = 3              # bits kept after the leading one
 ZEROS = 30                # largest count of leading zeros that is told apart
 RANDOM_STEPS = 64         # tries of an empty bucket before it walks
 HUBS = 4                  # members of a bucket that all its others are compared with before the pairs across components
+BLOCK_ROWS = 256          # members of a block, on average; two blocks meet in a cell, which is one row
+BLOCK_SHINGLES = 200_000  # or so many shingles, with long texts
 
 _SKETCH = "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>"
 
@@ -91,6 +93,12 @@ def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarra
     return (share - chance) / np.maximum(1 - chance, 1e-9)
 
 
+def _lowest(least: float, smaller: np.ndarray) -> np.ndarray:
+    """The estimate five standard errors below ``least``, for pairs whose smaller set has ``smaller`` shingles."""
+    own = REGISTERS * (1 - np.exp(-smaller / REGISTERS))  # registers with a hash of their own; the others repeat them
+    return least - 5 * np.sqrt(least * (1 - least) / np.maximum(own, 1)) - 0.02
+
+
 def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, set_hi, set_lo, bands) of every row; two sums over the set name it, bands hold its registers."""
 
@@ -133,10 +141,7 @@ def _near(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
                 continue
             x, y = _registers_of(b.column("bands_a")), _registers_of(b.column("bands_b"))
             sizes = [b.column(f"size_{n}").to_numpy().astype(np.float64) for n in "ab"]
-            # Registers with a hash of their own; the others repeat them.
-            own = REGISTERS * (1 - np.exp(-np.minimum(*sizes) / REGISTERS))
-            slack = 5 * np.sqrt(least * (1 - least) / np.maximum(own, 1))
-            mask = pa.array(estimate(x, y, *sizes) >= least - slack - 0.02)
+            mask = pa.array(estimate(x, y, *sizes) >= _lowest(least, np.minimum(*sizes)))
             yield pa.RecordBatch.from_arrays([b.column(n).filter(mask) for n in "ab"], ["a", "b"])
 
     return rows.select("a", "b", "size_a", "size_b", "bands_a", "bands_b").mapInArrow(run, "a long, b long")
@@ -193,8 +198,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _placed(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, rep, component) of the buckets that hold several components."""
-    rows = (shared.select("key", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    """(key, band, rep, component) of the buckets that hold several components."""
+    rows = (shared.select("key", "band", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
             .withColumn("component", F.coalesce("component", "rep")))
     mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     return materialise(rows.join(mixed, "key"), "mixed-buckets")
@@ -209,26 +214,137 @@ def _to_hubs(placed: DataFrame, asked: DataFrame) -> DataFrame:
     return pairs.join(asked, ["a", "b"], "left_anti")
 
 
-def _across(placed: DataFrame, reps: DataFrame, asked: DataFrame, percent: int) -> DataFrame:
-    """All pairs in different components that share two buckets and were not asked for yet, each from the first it shares.
+_CELL = ["key", "band", "i", "j", "inner"]
+_CELL_TYPES = "key long, band int, i long, j long, inner boolean"
+
 
-    A pair at a similarity of 0.85 shares eleven bands on average, and only one or none five times in a hundred thousand.
+def _dealt(placed: DataFrame, reps: DataFrame) -> DataFrame:
+    """(cell, rep, component, side): the members of every bucket in blocks, and each block in the cells where it meets another.
+
+    The component with most members of a bucket has blocks of its own, as its members need not meet each other:
+    blocks of outsiders meet all blocks of the main component and one another. A block holds about ``BLOCK_ROWS`` members
+    or ``BLOCK_SHINGLES`` shingles, whichever is less, so no cell grows with its bucket.
+    """
+    sized = placed.join(reps.select("rep", "n_shingles"), "rep")
+    blocks = lambda n, w: F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(w / BLOCK_SHINGLES), F.lit(1))
+    sides = (sized.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+             .groupBy("key").agg(F.max(F.struct("n", "component", "w")).alias("most"), F.sum("n").alias("n"), F.sum("w").alias("w"),
+                                 F.count("*").alias("parts"))
+             .select("key", F.col("most.component").alias("main"), "parts",
+                     blocks(F.col("most.n"), F.col("most.w")).alias("mains"),
+                     blocks(F.col("n") - F.col("most.n"), F.col("w") - F.col("most.w")).alias("outs")))
+    rows = (sized.join(sides, "key").withColumn("inside", F.col("component") == F.col("main"))
+            .withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("inside"), F.col("mains")).otherwise(F.col("outs")))))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    cell = lambda i, j, inner, side: F.struct(i.alias("i"), j.alias("j"), F.lit(inner).alias("inner"),
+                                              side.cast("int").alias("side"))
+    own = F.col("own")
+    to_outs = F.transform(upto("outs"), lambda k: cell(F.least(own, k), F.greatest(own, k), False, own > k))
+    to_main = F.transform(upto("mains"), lambda k: cell(own, k, True, F.lit(0)))
+    from_main = F.transform(upto("outs"), lambda k: cell(k, own, True, F.lit(1)))
+    cells = F.when(F.col("inside"), from_main).when(F.col("parts") > 2, F.concat(to_main, to_outs)).otherwise(to_main)
+    return rows.select("key", "band", "rep", "component", F.explode(cells).alias("c")).select(
+        "key", "band", "c.i", "c.j", "c.inner", "rep", "component", "c.side")
+
+
+def _gathered(dealt: DataFrame, reps: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """One row per cell with its members."""
+    rows, columns = dealt.join(reps, "rep"), ["rep", "component", "side", "n_shingles", "bands"]
+    if texts is not None:
+        rows, columns = rows.join(texts, "rep"), [*columns, "_text"]
+    return rows.groupBy(*_CELL).agg(F.collect_list(F.struct(*columns)).alias("members")).where(F.size("members") > 1)
+
+
+def _likely(members: pa.StructArray, band: int, diagonal: bool, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(x, ys): members of a cell whose estimate with x comes near ``least``, in other components, from the first band they share."""
+    component, side, sizes = (members.field(n).to_numpy(zero_copy_only=False) for n in ("component", "side", "n_shingles"))
+    regs = _registers_of(members.field("bands"))
+    bands, sizes = regs.view(np.int64), sizes.astype(np.float64)
+    chance = _chance(sizes / REGISTERS)
+    right = np.arange(len(sizes)) if diagonal else np.flatnonzero(side == 1)
+    for x in (range(len(sizes)) if diagonal else np.flatnonzero(side == 0)):
+        ys = right[right > x] if diagonal else right
+        ys = ys[(component[ys] != component[x]) & (sizes[ys] >= least * sizes[x]) & (sizes[x] >= least * sizes[ys])]
+        ys = ys[~(bands[ys, :band] == bands[x, :band]).any(axis=1)]
+        if not len(ys):
+            continue
+        by_chance = chance[:, x] @ chance[:, ys]
+        share = (regs[ys] == regs[x]).mean(axis=1)
+        estimated = (share - by_chance) / np.maximum(1 - by_chance, 1e-9)
+        ys = ys[estimated >= _lowest(least, np.minimum(sizes[x], sizes[ys]))]
+        if len(ys):
+            yield int(x), ys
+
+
+def _cells_of(batch: pa.RecordBatch) -> Iterator[tuple[dict, pa.StructArray, bool]]:
+    lists = batch.column("members")
+    for k in range(batch.num_rows):
+        cell = {n: batch.column(n)[k].as_py() for n in _CELL}
+        yield cell, lists[k].values, not cell["inner"] and cell["i"] == cell["j"]
+
+
+def _across(placed: DataFrame, reps: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that join the components of a bucket.
+
+    Pairs are compared inside a cell and never become rows: the sketches say which members may be near another, and only those
+    come back with their texts. A cell gives at most one link per member, as more would join nothing new.
     """
-    keys = placed.groupBy("rep").agg(F.collect_set("key").alias("keys"))  # at most one per band
-    rows = placed.join(keys, "rep").join(reps.select("rep", "n_shingles"), "rep")
-    left = rows.select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("sa"), F.col("keys").alias("ka"))
-    right = rows.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("sb"), F.col("keys").alias("kb"))
-    pairs = left.join(right, "key").where(
-        (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-        & (100 * F.col("sa") >= percent * F.col("sb")) & (100 * F.col("sb") >= percent * F.col("sa"))
-        & (F.col("key") == F.array_min(F.array_intersect("ka", "kb"))) & (F.size(F.array_intersect("ka", "kb")) > 1))
-    return pairs.select("a", "b").join(asked, ["a", "b"], "left_anti")
+    dealt = materialise(_dealt(placed, reps), "cells")
+    least = percent / 100
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = {n: [] for n in [*_CELL, "rep", "component", "side"]}
+            for cell, members, diagonal in _cells_of(b):
+                met = set()
+                for x, ys in _likely(members, cell["band"], diagonal, least):
+                    met |= {x, *ys.tolist()}
+                kept = members.take(pa.array(sorted(met), pa.int64()))
+                for n in _CELL:
+                    columns[n] += [cell[n]] * len(met)
+                for n in ("rep", "component", "side"):
+                    columns[n] += kept.field(n).to_pylist()
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns.values(), types)], list(columns))
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            links = []
+            for cell, members, diagonal in _cells_of(b):
+                links += _joining(members, _likely(members, cell["band"], diagonal, least), percent)
+            yield pa.RecordBatch.from_arrays([pa.array([link[n] for link in links], pa.int64()) for n in (0, 1)], ["a", "b"])
+
+    met = materialise(_gathered(dealt, reps).mapInArrow(near, f"{_CELL_TYPES}, rep long, component long, side int"), "cells")
+    return _gathered(met, reps, texts).mapInArrow(linked, "a long, b long")
+
+
+def _joining(members: pa.StructArray, likely: Iterator[tuple[int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """Of the likely pairs that full sets confirm, those that join members not yet joined."""
+    texts, sets = members.field("_text").to_pylist(), []
+    for start, end in chunks(texts):
+        words, at = hashed_words(texts[start:end])
+        sets += [shingles(words[at[k]:at[k + 1]], SHINGLE) for k in range(end - start)]
+    sizes = np.array([len(s) for s in sets])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    known, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    rep = members.field("rep").to_pylist()
+    group = members.field("component").to_numpy(zero_copy_only=False).copy()
+    links = []
+    for x, ys in likely:
+        mark = np.zeros(len(known), dtype=bool)
+        mark[ids[starts[x]:starts[x + 1]]] = True
+        both = np.add.reduceat(mark[ids], starts[:-1], dtype=np.int64)[ys]
+        for y in ys[(both > 0) & (100 * both >= percent * (sizes[x] + sizes[ys] - both))]:
+            if group[x] != group[y]:
+                group[group == group[y]] = group[x]
+                links.append((rep[x], rep[y]))
+    return links
 
 
 def _banded(reps: DataFrame) -> DataFrame:
-    """(rep, key): one row per band that has a register in use; the key names band and registers."""
+    """(rep, band, key): one row per band that has a register in use; the key names band and registers."""
     return (reps.select("rep", F.posexplode("bands").alias("band", "registers")).where("registers <> 0")
-            .select("rep", F.xxhash64("band", "registers").alias("key")))
+            .select("rep", "band", F.xxhash64("band", "registers").alias("key")))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text") -> DataFrame:
@@ -258,11 +374,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text") -> D
     same_id = members.join(repeated.select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b"))
     links = materialise(_verified(likely, texts, percent).unionByName(same_id), "links")
     found = components(links)
-    for step in (_to_hubs, lambda placed, asked: _across(placed, reps, asked, percent)):
-        pairs = materialise(step(_placed(shared, found), asked), "asked")
-        more = materialise(_verified(_near(pairs, reps, percent / 100), texts, percent), "links")
+    drawn_pairs = materialise(_to_hubs(_placed(shared, found), asked), "asked")
+    for step in (lambda: _verified(_near(drawn_pairs, reps, percent / 100), texts, percent),
+                 lambda: _across(_placed(shared, found), reps, texts, percent)):
+        more = materialise(step(), "links")
         if not more.isEmpty():
-            links, asked = links.unionByName(more), asked.unionByName(pairs)
+            links = links.unionByName(more)
             found = components(links)
     placed = members.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))

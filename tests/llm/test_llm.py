@@ -167,6 +167,22 @@ def test_near_duplicates_against_all_pairs(spark):
     assert out.where("kept <> (doc_id = component_id)").count() == 0
 
 
+def test_near_duplicates_of_a_loose_group_in_small_blocks(spark, monkeypatch):
+    """Copies so far from each other that most of them are no links; blocks of three members."""
+    monkeypatch.setattr(near_dups, "BLOCK_ROWS", 3)
+    base, rows = words(70, 300).split(), []
+    for i in range(70):
+        rng, copy = random.Random(i), list(base)
+        for k in rng.sample(range(0, 300, 10), 2 + i % 5):
+            copy[k] = f"own{i}x{k}"
+        rows.append((100 - i, " ".join(copy)))
+    out = near_dups.near_duplicates(table(spark, [(i, t, "en", "s") for i, t in rows]))
+    got = {r.doc_id: r.component_id for r in out.collect()}
+    want = {i: component for i, (_, component) in plain_components(rows).items()}
+    assert 10 < len(set(want.values())) < 60
+    assert got == want
+
+
 def test_near_duplicates_awkward(spark):
     out = near_dups.near_duplicates(table(spark, AWKWARD)).collect()
     assert len(out) == len(AWKWARD)
