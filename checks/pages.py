@@ -76,21 +76,20 @@ SELECT doc_id, CASE WHEN lang IN ('tr', 'en', 'ar') THEN lang ELSE 'tr' END AS p
 # --- posts and fixed pages ------------------------------------------------------
 
 def _posts(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    lang = F.when(F.col("lang") == "en", "en").when(F.col("lang") == "fr", "ar").otherwise("tr")
-    rows = d.select(lang.alias("lang"), F.concat(F.lit("p"), F.floor(F.col("doc_id") / 3).cast("string")).alias("slug"), "doc_id", "source", "text")
-    # One post per language and slug.
-    best = rows.groupBy("lang", "slug").agg(F.min_by(F.struct("doc_id", "source", "text"), "doc_id").alias("p")).select("lang", "slug", "p.*")
-    return best.select("lang", "slug", F.col("source").alias("title"), F.col("text").alias("summary"),
-                       F.date_add(F.lit("2026-01-01").cast("date"), (F.col("doc_id") % 300).cast("int")).alias("date"),
-                       F.array("source", "lang").alias("tags"), F.col("text").alias("body"))
-
-
-_POSTS = """ranked_posts AS (
-  SELECT CASE lang WHEN 'en' THEN 'en' WHEN 'fr' THEN 'ar' ELSE 'tr' END AS lang, 'p' || doc_id // 3 AS slug, doc_id, source, text FROM documents),
-posts AS (
-  SELECT lang, slug, source AS title, text AS body, CAST(DATE '2026-01-01' + CAST(doc_id % 300 AS INTEGER) AS DATE) AS date FROM (
-    SELECT *, row_number() OVER (PARTITION BY lang, slug ORDER BY doc_id) AS rn FROM ranked_posts) WHERE rn = 1)"""
+    # Every document is a post: three ids in a row are one slug in three languages, and each seventh has a slug of its own.
+    k = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select(
+        F.when(k % 3 == 0, "tr").when(k % 3 == 1, "en").otherwise("ar").alias("lang"),
+        F.when(k % 7 == 0, F.concat(F.lit("q"), k.cast("string"))).otherwise(F.concat(F.lit("p"), F.floor(k / 3).cast("string"))).alias("slug"),
+        F.col("source").alias("title"), F.col("text").alias("summary"),
+        F.date_add(F.lit("2026-01-01").cast("date"), (k % 300).cast("int")).alias("date"),
+        F.array("source", F.when(k % 3 == 0, "tr").when(k % 3 == 1, "en").otherwise("ar")).alias("tags"), F.col("text").alias("body"))
+
+
+_POSTS = """posts AS (
+  SELECT CASE doc_id % 3 WHEN 0 THEN 'tr' WHEN 1 THEN 'en' ELSE 'ar' END AS lang,
+    CASE WHEN doc_id % 7 = 0 THEN 'q' || doc_id ELSE 'p' || doc_id // 3 END AS slug, source AS title, text AS body,
+    CAST(DATE '2026-01-01' + CAST(doc_id % 300 AS INTEGER) AS DATE) AS date FROM documents)"""
 
 QUERIES["post_fallback"] = lambda spark, sf_dir: posts_with_fallback(_posts(spark, sf_dir)).select(
     "lang", "slug", "shown", "fallback", "title", "body", F.array_join("tags", ", ").alias("tags"))

@@ -107,19 +107,19 @@ ORACLE["edges_distinct"] = f"WITH {EDGES} SELECT * FROM edges"
 
 
 def link_flatten(spark, sf_dir):
-    # Nested maps per order: the key of the inner map is the line number, so a map is as small as its domain.
-    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("s"))
-    entry = F.struct(F.col("l_linenumber").cast("string"), F.concat(F.lit("s"), F.col("s").cast("string")))
-    inner = li.groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(entry)).alias("m"))
-    links = inner.select(F.create_map(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")),
-                                      F.create_map(F.lit("teachers"), "m")).alias("links"))
-    return flatten_links(links)
+    # Nested maps per order: its lines are two lists, numbered from 0, so a map is as small as its domain.
+    role = F.when(F.col("l_linenumber") % 2 == 1, "teachers").otherwise("students").alias("role")
+    lists = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", role).agg(F.array_sort(F.collect_list("l_suppkey")).alias("ids"))
+    numbered = F.map_from_entries(F.transform("ids", lambda s, i: F.struct(i.cast("string"), F.concat(F.lit("s"), s.cast("string")))))
+    roles = lists.groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("role", numbered))).alias("m"))
+    return flatten_links(roles.select(F.create_map(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")), "m").alias("links")))
 
 
 QUERIES["link_flatten"] = link_flatten
 ORACLE["link_flatten"] = """
-SELECT 'o' || l_orderkey AS id, 'teachers' AS role, l_linenumber AS idx, 's' || min(l_suppkey) AS other
-FROM lineitem GROUP BY l_orderkey, l_linenumber"""
+WITH lines AS (SELECT l_orderkey, l_suppkey, CASE WHEN l_linenumber % 2 = 1 THEN 'teachers' ELSE 'students' END AS role FROM lineitem)
+SELECT 'o' || l_orderkey AS id, role, CAST(row_number() OVER (PARTITION BY l_orderkey, role ORDER BY l_suppkey) - 1 AS INTEGER) AS idx,
+  's' || l_suppkey AS other FROM lines"""
 
 
 def _joined(df, *lists):

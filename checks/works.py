@@ -126,18 +126,19 @@ FROM d LEFT JOIN t ON t.k = type AND t.l = language LEFT JOIN s ON s.k = school
 
 
 def work_scholar_link(spark, sf_dir):
-    # Part sizes give the links; a third of them lead to one scholar.
+    # Parts give two links to every work; a third of them lead to one scholar.
     k = F.col("p_partkey")
+    half = F.floor(k / 2)
     link = table(spark, sf_dir, "part").select(
-        F.concat(F.lit("w"), (k % 700).cast("string")).alias("work"),
-        F.concat(F.lit("c"), F.when(k % 3 == 0, 1).otherwise(k).cast("string")).alias("scholar"))
+        F.concat(F.lit("w"), half.cast("string")).alias("work"),
+        F.concat(F.lit("c"), F.when(k % 3 == 0, 1).otherwise(half + 1).cast("string")).alias("scholar"))
     return linked_scholars(works(spark, sf_dir), link, scholars(spark, sf_dir)).select("work", "scholar", "title", F.col("name.tr").alias("name"))
 
 
 QUERIES["work_scholar_link"] = work_scholar_link
 ORACLE["work_scholar_link"] = f"""
 WITH {WORKS}, {PEOPLE}, link AS (
-  SELECT 'w' || p_partkey % 700 AS work, 'c' || CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE p_partkey END AS scholar FROM part)
+  SELECT 'w' || p_partkey // 2 AS work, 'c' || CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE p_partkey // 2 + 1 END AS scholar FROM part)
 SELECT work, scholar, title, nm AS name FROM link JOIN works w ON w.id = work JOIN scholars s ON s.id = scholar"""
 
 QUERIES["slug_ids"] = lambda spark, sf_dir: with_slugs(works(spark, sf_dir), ["yokId", "id"]).select("id", "slug")

@@ -12,6 +12,7 @@ from sijill.operators.bibliography import filter_works
 from sijill.operators.graph import edges, neighbours
 from sijill.operators.pages import catalogue, posts_with_fallback
 from sijill.operators.records import scholar_records
+from sijill.session import materialise
 from sijill.sinks import exports
 from sijill.sources.posts import read_pages, read_posts
 from sijill.sources.scholars import read_scholars
@@ -27,22 +28,24 @@ def table(spark: SparkSession, archive: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(archive, name))
 
 
-def build_archive(spark: SparkSession, content: str, links: str, gazetteer: str, archive: str) -> None:
+def build_archive(spark: SparkSession, content: str, links: str, gazetteer: str, archive: str, links_per_line: bool = False) -> None:
     """Read every record file once and write the tables all other jobs start from.
 
-    ``content`` holds the folders scholars, works, posts and pages.
+    ``content`` holds the folders scholars, works, posts and pages. With ``links_per_line`` a line of the links is an object of
+    its own, so one large file is read by many tasks.
     """
     def write(df: DataFrame, name: str) -> None:
         df.write.mode("errorifexists").parquet(os.path.join(archive, name))
 
     write(read_scholars(spark, os.path.join(content, "scholars")), "scholars")
-    works = read_works(spark, os.path.join(content, "works"))
-    # The id ends the order, so one large language or year is split over many files.
+    # Written as parsed, since a layout by range first samples its input; the id ends
+    # the order, so one large language or year is split over many files.
+    works = materialise(read_works(spark, os.path.join(content, "works")), "parsed-works")
     write(works.repartitionByRange(*WORK_LAYOUT).sortWithinPartitions(*WORK_LAYOUT), "works")
     write(read_posts(spark, os.path.join(content, "posts")), "posts")
     write(read_pages(spark, os.path.join(content, "pages")), "pages")
     write(read_places(spark, gazetteer), "places")
-    write(read_links(spark, links), "mentions")
+    write(read_links(spark, links, links_per_line), "mentions")
     write(edges(table(spark, archive, "mentions")), "edges")
     write(neighbours(table(spark, archive, "edges")), "neighbours")
 
