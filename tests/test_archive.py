@@ -11,6 +11,7 @@ from sijill.operators.graph import edges, matched_names, neighbours, neighbours_
 from sijill.operators.pages import fixed_pages, posts_with_fallback, with_alternates
 from sijill.plans.archive import build_archive, export_bibliography, export_scholars, site_catalogue, table
 from sijill.sources.files import whole_files
+from sijill.sources.tables import read_links
 from sijill.sources.works import harvested_ids
 
 
@@ -27,6 +28,16 @@ def read(spark, archive):
     return lambda name: table(spark, str(archive / "tables"), name)
 
 
+def test_links_per_line_are_those_of_whole_files(spark, tmp_path):
+    links = {"a": {"teachers": {"0": "b", "1": "c"}}, "b": {"students": {"0": "a"}}, "d": {}}
+    (tmp_path / "whole").mkdir()
+    (tmp_path / "whole" / "links.json").write_text(json.dumps(links, indent=1))
+    (tmp_path / "lines.json").write_text("\n".join(json.dumps({k: v}) for k, v in links.items()))
+    whole = sorted(read_links(spark, str(tmp_path / "whole")).collect())
+    assert whole == sorted(read_links(spark, str(tmp_path / "lines.json"), per_line=True).collect())
+    assert len(whole) == 3
+
+
 def by_id(df):
     return {r.id: r for r in df.collect()}
 
