@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sijill.llm import bpe, language, mixing, near_dups, quality
 from sijill.llm.queries import tokenizer_path
-from sijill.llm.text import importable, word_count
+from sijill.llm.text import importable, row_name
 from sijill.session import materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -43,14 +43,10 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     rows = _documents(spark, docs)
-    taken = mixing.copies(rows).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.sum("copies").cast("int").alias("_copies"))
-    sized = rows.withColumn("_size", word_count(F.col("text")))
-    # Rows that agree in id, source and size were drawn together; the first of them carries all their copies.
-    first = sized.dropDuplicates(["doc_id", "source", "_size"]).alias("d")
-    same = (F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source"))
-            & (F.col("d._size") == F.col("t.size")))
-    met = first.join(taken.alias("t"), same)
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[f"d.{c}" for c in COLUMNS])
+    taken = mixing.copies(rows).where("copies > 0").groupBy("row").agg(F.sum("copies").cast("int").alias("_copies"))
+    # Rows that agree in every column are one text; the first of them carries all their copies.
+    met = rows.withColumn("row", row_name(rows)).dropDuplicates(["row"]).join(taken, "row")
+    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sijill.llm.text import word_count
+from sijill.llm.text import row_name, word_count
 from sijill.operators.scale import Lookup, numbered
 from sijill.session import materialise
 
@@ -19,8 +19,9 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3
 GROUP = 64  # fractions that one step of the tree takes together, on average
 
-_UNIT = "struct<doc_id: bigint, no: bigint, size: bigint, p: double>"
-_DONE = "array<struct<doc_id: bigint, no: bigint, size: bigint, up: boolean>>"
+_ROW = "struct<hi: bigint, lo: bigint>"
+_UNIT = f"struct<doc_id: bigint, row: {_ROW}, no: bigint, size: bigint, p: double>"
+_DONE = f"array<struct<doc_id: bigint, row: {_ROW}, no: bigint, size: bigint, up: boolean>>"
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
@@ -73,7 +74,7 @@ def _pair(state: Column, unit: Column) -> Column:
     a, b = state["left"], unit
     up = F.least(a["size"] * (1 - a["p"]), b["size"] * b["p"])
     down = F.least(a["size"] * a["p"], b["size"] * (1 - b["p"]))
-    rises = _draw(a["doc_id"], a["no"], b["doc_id"], b["no"], a["size"], b["size"]) * (up + down) < down
+    rises = _draw(a["doc_id"], a["row"], a["no"], b["doc_id"], b["row"], b["no"], a["size"], b["size"]) * (up + down) < down
     move = F.when(rises, up).otherwise(-down)
     pa_, pb_ = a["p"] + move / a["size"], b["p"] - move / b["size"]
     # Which of the two gets whole is decided by the lengths, not by rounded sums.
@@ -81,10 +82,10 @@ def _pair(state: Column, unit: Column) -> Column:
     inside = lambda p: F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))
 
     def done(u: Column, is_up: Column) -> Column:
-        return F.array(F.struct(u["doc_id"].alias("doc_id"), u["no"].alias("no"), u["size"].alias("size"), is_up.alias("up")))
+        return F.array(F.struct(*[u[c].alias(c) for c in ("doc_id", "row", "no", "size")], is_up.alias("up")))
 
     def left(u: Column, p: Column) -> Column:
-        return F.struct(u["doc_id"].alias("doc_id"), u["no"].alias("no"), u["size"].alias("size"), inside(p).alias("p"))
+        return F.struct(*[u[c].alias(c) for c in ("doc_id", "row", "no", "size")], inside(p).alias("p"))
 
     decided = F.when(a_whole, done(a, rises)).otherwise(done(b, ~rises))
     rest = F.when(a_whole, left(b, pb_)).otherwise(left(a, pa_))
@@ -100,7 +101,7 @@ def _folded(groups: DataFrame) -> DataFrame:
 
 
 def rounded(units: DataFrame, group: int = GROUP) -> DataFrame:
-    """(source, doc_id, no, size, up) from (source, doc_id, no, size, p): fractions rounded to all or nothing.
+    """(source, doc_id, row, no, size, up) from (source, doc_id, row, no, size, p): fractions rounded to all or nothing.
 
     ``source`` is a key without nulls, sizes are above 0. Nodes of the tree are hashes of the rows, cut to fewer at each
     level, and a level's groups hold ``group`` units on average, however large a source is.
@@ -110,51 +111,52 @@ def rounded(units: DataFrame, group: int = GROUP) -> DataFrame:
     levels, left = 0, largest
     while left > 1:
         levels, left = levels + 1, -(-left // group) if left > group else 1
-    unit = F.struct("doc_id", "no", "size", "p").cast(_UNIT)
+    unit = F.struct("doc_id", "row", "no", "size", "p").cast(_UNIT)
     # As many groups at the lowest level as the source needs; each level divides the node by ``group``.
-    rows = Lookup(materialise(counts, "unit-counts")).join(units, ["source"], "inner", spread=["doc_id", "no"]).select(
-        "source", F.pmod(F.xxhash64("doc_id", "no", F.lit(3)), F.ceil(F.col("n") / group)).alias("node"), unit.alias("unit"))
+    rows = Lookup(materialise(counts, "unit-counts")).join(units, ["source"], "inner", spread=["doc_id", "row", "no"]).select(
+        "source", F.pmod(F.xxhash64("doc_id", "row", "no", F.lit(3)), F.ceil(F.col("n") / group)).alias("node"), unit.alias("unit"))
     results = []
     for level in range(max(levels, 1)):
         groups = rows.groupBy("source", "node").agg(F.array_sort(F.collect_list("unit")).alias("units"))
         folded = materialise(_folded(groups), "rounded")
         results.append(folded.select("source", F.explode("done").alias("d")).select("source", "d.*"))
         rows = folded.select("source", F.floor(F.col("node") / group).cast("bigint").alias("node"), F.col("left").alias("unit"))
-    last = rows.select("source", "unit.doc_id", "unit.no", "unit.size",
-                       (_draw(F.col("source"), F.col("unit.doc_id"), F.col("unit.no")) < F.col("unit.p")).alias("up"))
+    last = rows.select("source", "unit.doc_id", "unit.row", "unit.no", "unit.size",
+                       (_draw(F.col("source"), F.col("unit.doc_id"), F.col("unit.row"), F.col("unit.no")) < F.col("unit.p")).alias("up"))
     for r in results:
         last = last.unionByName(r)
     return last
 
 
 def copies(docs: DataFrame, text: str = "text", weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) of every row.
+    """(doc_id, source, row, size, source_size, target, copies, taken) of every row; ``row`` is its name by all its columns.
 
     A row without words has size 0 and is taken as often as whole copies go. Rows that repeat are drawn for one by one, a null
-    source is one source, and the same rows give the same draw. An empty table gives no rows.
+    source is one source, and the same rows give the same draw. Only rows that agree in every column share a name, so copies go
+    back to their own text. An empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-                       word_count(F.col(text)).alias("size"))
+                       row_name(docs).alias("row"), word_count(F.col(text)).alias("size"))
     sized = materialise(rows, "sizes")
     sources = materialise(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
     key = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), "source"))
     by_key = Lookup(sources.withColumn("key", key).drop("source"))
-    met = by_key.join(sized.withColumn("key", key), ["key"], "inner", spread=["doc_id", "size"])
+    met = by_key.join(sized.withColumn("key", key), ["key"], "inner", spread=["doc_id", "row"])
     want = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     wanted = met.withColumn("want", want).withColumn("whole", F.least(F.floor("want"), F.lit(most)).cast("bigint"))
     # Equal rows are told apart by a running number.
-    equal = (wanted.groupBy("key", "doc_id", "source", "size", "source_size", "target", "want", "whole").agg(F.count("*").alias("n"))
+    equal = (wanted.groupBy("key", "doc_id", "source", "row", "size", "source_size", "target", "want", "whole").agg(F.count("*").alias("n"))
              .withColumn("no", F.explode(F.sequence(F.lit(1), F.col("n")))).drop("n"))
     equal = materialise(equal, "wanted")
     part = F.col("want") - F.col("whole")
     fractions = equal.where((F.col("size") > 0) & (part > 1e-12)).select(
-        F.col("key").alias("source"), "doc_id", "no", "size", part.alias("p"))
-    drawn = rounded(fractions).select(F.col("source").alias("key"), "doc_id", "no", "size", "up")
+        F.col("key").alias("source"), "doc_id", "row", "no", "size", part.alias("p"))
+    drawn = rounded(fractions).select(F.col("source").alias("key"), "doc_id", "row", "no", "size", "up")
     flat = equal.where(~((F.col("size") > 0) & (part > 1e-12))).withColumn("up", F.lit(False))
-    info = by_key.join(drawn, ["key"], "inner", spread=["doc_id", "size"])
-    split = info.select("key", "doc_id", F.when(F.col("key") != "-", F.substring("key", 2, 1 << 30)).alias("source"), "size", "source_size",
+    info = by_key.join(drawn, ["key"], "inner", spread=["doc_id", "row", "no"])
+    split = info.select("key", "doc_id", F.when(F.col("key") != "-", F.substring("key", 2, 1 << 30)).alias("source"), "row", "size", "source_size",
                         "target", F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size"))).alias("whole"), "up")
     both = split.unionByName(flat.select(*split.columns))
     n = F.least(F.coalesce("whole", F.lit(0)) + F.col("up").cast("bigint"), F.lit(most))
     return both.withColumn("copies", n.cast("int")).select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).cast("bigint").alias("taken"))
+        "doc_id", "source", "row", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).cast("bigint").alias("taken"))

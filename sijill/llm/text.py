@@ -6,7 +6,7 @@ import os
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,6 +33,16 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
+def row_name(df: DataFrame, *columns: str) -> Column:
+    """Two hashes over the columns, or all of them in the order of their names; only rows that agree in them share it.
+
+    A hash skips nulls, so which columns are null goes in as well.
+    """
+    parts = [F.col(c).cast("string") for c in columns or sorted(df.columns)]
+    missing = [p.isNull() for p in parts]
+    return F.struct(F.xxhash64(*missing, *parts).alias("hi"), F.xxhash64(F.lit(7), *missing, *parts).alias("lo"))
+
+
 def remainder(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; null for a null id."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts))

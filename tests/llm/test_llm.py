@@ -440,3 +440,17 @@ def test_stages_take_awkward_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, table(spark, AWKWARD), SF_DIR).count() >= 0
         assert stage(spark, table(spark, AWKWARD).limit(0), SF_DIR).count() == 0
+
+
+def test_mixing_stage_keeps_texts_apart(spark):
+    """Rows without an id, and rows that share one, with as many words each: every text has its own copies."""
+    rows = [(None, words(i, 10), "en", "a") for i in range(60)] + [(7, words(100 + i, 10), "en", "a") for i in range(4)]
+    rows += [(None, words(0, 10), "de", "a"), (None, None, None, None), *[(200 + i, words(300 + i, 40), "en", "b") for i in range(30)]]
+    docs = table(spark, rows)
+    out = Counter((r.doc_id, r.text, r.lang) for r in corpus_pipeline.mixed(spark, docs, SF_DIR).collect())
+    given = Counter((i, t, lang) for i, t, lang, _ in rows)
+    assert all(n <= mixing.MOST_COPIES * given[k] for k, n in out.items())
+    target = {r.source: r.target for r in mixing.copies(docs.select(*corpus_pipeline.COLUMNS)).collect()}["a"]
+    texts = [t for (_, t, _), n in out.items() for _ in range(n) if len(t.split()) == 10]
+    assert abs(10 * len(texts) - target) <= 11
+    assert len(set(texts)) >= min(64, target // 10) - 1
