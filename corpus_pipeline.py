@@ -31,13 +31,22 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.good(rows, quality.learn(rows, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def _first_rows(rows: DataFrame, key: str) -> DataFrame:
+    """One row per key, the one with the smallest name, so that the same rows give the same one."""
+    first = rows.withColumn("_row", row_name(rows.select(*COLUMNS))).groupBy(key).agg(F.min_by(F.struct(*COLUMNS), "_row").alias("d"))
+    return first.select("d.*")
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates; rows that repeat an id are one document."""
+    """One document of each group of near-duplicates; rows that repeat an id are one document, rows without an id each their own."""
     rows = _documents(spark, docs)
-    kept = near_dups.near_duplicates(rows).where("kept")
-    left = materialise(kept.select("doc_id").where("doc_id is not null").distinct(), "kept")
-    known = rows.join(left, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(rows.where("doc_id is null")).select(*COLUMNS)
+    found = near_dups.named_near_duplicates(rows).where("kept")
+    left = materialise(found.select("doc_id", "name", (F.col("n_shingles") == 0).alias("empty")).distinct(), "kept")
+    known = _first_rows(rows.join(left.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi"), "doc_id")
+    nameless = rows.where("doc_id is null").withColumn("name", row_name(rows, "text")).join(
+        left.where("doc_id is null").select("name", "empty"), "name")
+    # A text without words is a duplicate of nothing; of other equal texts the operator keeps one at most.
+    return known.unionByName(_first_rows(nameless.where("not empty"), "name")).unionByName(nameless.where("empty").select(*COLUMNS))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

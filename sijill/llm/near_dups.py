@@ -5,8 +5,9 @@ bucket keeps its smallest hash, compressed to one byte: leading zeros and the bi
 a band, and documents that agree in a band are candidates. The share of equal registers, less the collisions that
 compression makes by chance, estimates the similarity; what is near enough is verified on the full sets.
 
-Exact copies of a set are one representative from the start. Candidates come in three steps, so that a large group does not
-make all its pairs: every member of a band's bucket against the bucket's smallest id, then, in buckets that still hold
+A set is one representative, whoever owns it: its number, in the order of the smallest ids that own a set. Ids that own several sets
+link these, and rows without an id own their sets like any other. Candidates come in three steps, so that a large group does not
+make all its pairs: every member of a band's bucket against the bucket's smallest number, then, in buckets that still hold
 several components, against a few members drawn from it, and last what is left in different components, block by block.
 """
 
@@ -19,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sijill.llm.text import chunks, hashed_words, mix, shingles
+from sijill.llm.text import chunks, hashed_words, mix, row_name, shingles
+from sijill.operators.scale import Lookup, numbered
 from sijill.session import materialise
 
 SHINGLE = 5
@@ -33,7 +35,7 @@ HUBS = 4                  # members of a bucket that all its others are compared
 BLOCK_ROWS = 256          # members of a block, on average; two blocks meet in a cell, which is one row
 BLOCK_SHINGLES = 200_000  # or so many shingles, with long texts
 
-_SKETCH = "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>"
+_SKETCH = "doc_id long, name struct<hi: bigint, lo: bigint>, n_shingles long, set_hi long, set_lo long, bands array<long>"
 
 
 def _probes() -> np.ndarray:
@@ -100,11 +102,12 @@ def _lowest(least: float, smaller: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, set_hi, set_lo, bands) of every row; two sums over the set name it, bands hold its registers."""
+    """(doc_id, name, n_shingles, set_hi, set_lo, bands) of every row; ``name`` is the text's own, two sums over
+    the set name the set, bands hold its registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
+            texts = b.column(2).to_pylist()
             for start, end in chunks(texts):
                 words, at = hashed_words(texts[start:end])
                 sizes, names, sets = [], [], []
@@ -117,10 +120,10 @@ def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(bands) + 1, BANDS, dtype=np.int32)), bands)
                 pair = np.array(names, dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(start, end - start), pa.array(sizes, pa.int64()), pa.array(pair[:, 0].copy()),
-                     pa.array(pair[:, 1].copy()), lists], ["doc_id", "n_shingles", "set_hi", "set_lo", "bands"])
+                    [b.column(0).slice(start, end - start), b.column(1).slice(start, end - start), pa.array(sizes, pa.int64()), pa.array(pair[:, 0].copy()),
+                     pa.array(pair[:, 1].copy()), lists], ["doc_id", "name", "n_shingles", "set_hi", "set_lo", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("_text")).mapInArrow(run, _SKETCH)
+    return docs.select(F.col("doc_id").cast("long"), row_name(docs, text).alias("name"), F.col(text).alias("_text")).mapInArrow(run, _SKETCH)
 
 
 def _registers_of(column: pa.Array) -> np.ndarray:
@@ -347,31 +350,52 @@ def _banded(reps: DataFrame) -> DataFrame:
             .select("rep", "band", F.xxhash64("band", "registers").alias("key")))
 
 
+def _texts(rows: DataFrame, owners: DataFrame) -> DataFrame:
+    """(rep, _text): a text of each set, the one of its owner (rep, doc_id, name)."""
+    named = rows.withColumn("name", row_name(rows, "_text"))
+    known = named.where("doc_id is not null").join(owners.where("doc_id is not null"), ["doc_id", "name"])
+    # Texts without an id meet by their name alone, so equal ones become one first.
+    nameless = named.where("doc_id is null").dropDuplicates(["name"]).join(owners.where("doc_id is null").drop("doc_id"), "name")
+    return known.select("rep", "_text").unionByName(nameless.select("rep", "_text")).dropDuplicates(["rep"])
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row: documents linked by sets of similarity ``percent`` or more.
 
     A row without words has an empty set, is linked with nothing and kept. Rows that share an id are linked, as are equal
-    sets. A row with a null id belongs to the documents with an equal set; without such its component is null and it is kept.
+    sets. A row with a null id belongs to the documents whose sets are linked with its own; where no row of these has an id,
+    the component is null and one of the rows is kept.
     """
+    return named_near_duplicates(docs, percent, text).drop("name")
+
+
+def named_near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text") -> DataFrame:
+    """``near_duplicates`` with the name of the text, ``row_name`` of it, which tells rows without an id apart; null for the others."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("_text"))
     drawn = materialise(sketches(rows, "_text"), "sketches")
     filled = drawn.where("n_shingles > 0")
-    groups = filled.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"))
-    members = materialise(filled.select("doc_id", "n_shingles", "set_hi", "set_lo").join(groups, ["set_hi", "set_lo"])
-                          .select("doc_id", "rep", "n_shingles"), "members")
-    owners = groups.select(F.col("rep").alias("doc_id"), "set_hi", "set_lo")
-    banded = _banded(filled.join(owners, ["doc_id", "set_hi", "set_lo"], "left_semi").withColumnRenamed("doc_id", "rep"))
+    owner = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "name"))
+    groups = filled.groupBy("set_hi", "set_lo").agg(owner.alias("owner"))
+    sets = materialise(numbered(groups.select("set_hi", "set_lo", "owner"), ["owner", "set_hi", "set_lo"], "rep"), "sets")
+    sets = sets.select("set_hi", "set_lo", "rep", F.col("owner.doc_id").alias("own_id"), F.col("owner.name").alias("own_name"))
+    members = materialise(filled.select("doc_id", "name", "n_shingles", "set_hi", "set_lo").join(sets, ["set_hi", "set_lo"]).select(
+        "doc_id", F.when(F.col("doc_id").isNull(), F.col("name")).alias("name"), "n_shingles", "rep", "own_id",
+        (F.col("name") == F.col("own_name")).alias("first")), "members")
+    sketched = filled.select("set_hi", "set_lo", "n_shingles", "bands").dropDuplicates(["set_hi", "set_lo"])
+    every = materialise(sketched.join(sets.select("set_hi", "set_lo", "rep"), ["set_hi", "set_lo"]).select("rep", "n_shingles", "bands"),
+                        "representatives")
+    banded = _banded(every)
     hubs = banded.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub <> last").drop("last")
     shared = materialise(banded.join(hubs, "key"), "buckets")
-    met = materialise(shared.select(F.col("rep").alias("doc_id")).distinct(), "met")
-    # Of rows that share an id one stands for all; the id is linked with their other sets below.
-    reps = materialise(filled.join(met, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-                       .select(F.col("doc_id").alias("rep"), "n_shingles", "bands"), "representatives")
-    texts = materialise(rows.join(met, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "_text").dropDuplicates(["rep"]), "texts")
+    met = materialise(shared.select("rep").distinct(), "met")
+    reps = materialise(every.join(met, "rep", "left_semi"), "representatives")
+    owners = sets.join(met, "rep", "left_semi").select("rep", F.col("own_id").alias("doc_id"), F.col("own_name").alias("name"))
+    texts = materialise(_texts(rows, owners), "texts")
     asked = materialise(shared.where("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "asked")
     likely = materialise(_near(asked, reps, percent / 100), "likely")
-    repeated = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a <> last")
-    same_id = members.join(repeated.select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b"))
+    known = members.where("doc_id is not null")
+    repeated = known.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a <> last")
+    same_id = known.join(repeated.select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b"))
     links = materialise(_verified(likely, texts, percent).unionByName(same_id), "links")
     found = components(links)
     drawn_pairs = materialise(_to_hubs(_placed(shared, found), asked), "asked")
@@ -381,8 +405,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text") -> D
         if not more.isEmpty():
             links = links.unionByName(more)
             found = components(links)
-    placed = members.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    empty = drawn.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return placed.unionByName(empty).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    # A component's smallest number belongs to its smallest id, or to a set without one if it has none.
+    label = sets.select(F.col("rep").alias("component"), F.col("own_id").alias("component_id"))
+    ids = Lookup(materialise(label.join(found.select("component").distinct(), "component", "left_semi"), "component-ids"))
+    labelled = ids.join(found.withColumnRenamed("node", "rep"), ["component"], "inner", spread=["rep"])
+    placed = members.join(labelled, "rep", "left").withColumn(
+        "component_id", F.when(F.col("component").isNull(), F.col("own_id")).otherwise(F.col("component_id")))
+    leads = F.col("component_id").isNull() & F.col("first") & (F.coalesce("component", "rep") == F.col("rep"))
+    with_id = placed.where("doc_id is not null").select(
+        "doc_id", "name", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    # Equal rows without an id are told apart by a running number.
+    without = (placed.where("doc_id is null").groupBy("doc_id", "name", "n_shingles", "component_id", leads.alias("leads"))
+               .agg(F.count("*").alias("n")).withColumn("no", F.explode(F.sequence(F.lit(1), F.col("n"))))
+               .select("doc_id", "name", "n_shingles", "component_id", (F.col("leads") & (F.col("no") == 1)).alias("kept")))
+    empty = drawn.where("n_shingles = 0").select("doc_id", F.when(F.col("doc_id").isNull(), F.col("name")).alias("name"), "n_shingles",
+                                                 F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return with_id.unionByName(without).unionByName(empty)

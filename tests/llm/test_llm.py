@@ -454,3 +454,33 @@ def test_mixing_stage_keeps_texts_apart(spark):
     texts = [t for (_, t, _), n in out.items() for _ in range(n) if len(t.split()) == 10]
     assert abs(10 * len(texts) - target) <= 11
     assert len(set(texts)) >= min(64, target // 10) - 1
+
+
+def repeated_rows():
+    """Rows that share an id but not a text, and rows without an id, near others and near each other."""
+    near = lambda seed, k: " ".join([*words(seed, 200).split()[:-1], f"end{k}"])
+    rows = [(9, words(500 + i, 200)) for i in range(8)] + [(20 + i, near(500 + i, i)) for i in range(8)]
+    rows += [(None, near(600, 0)), (40, near(600, 1)), (41, words(601, 200)), (None, words(601, 200))]
+    rows += [(None, near(602, k)) for k in (0, 1, 2, 2, 2)] + [(None, near(603, 0).upper()), (None, near(603, 0)), (None, near(603, 0))]
+    return rows + [(None, words(604, 200)), (None, ""), (None, ""), (None, None)]
+
+
+def test_near_duplicates_of_every_set(spark):
+    rows = repeated_rows()
+    docs = table(spark, [(i, t, "en", "s") for i, t in rows])
+    out = near_dups.near_duplicates(docs).collect()
+    assert len(out) == len(rows)
+    assert {r.component_id for r in out if r.doc_id in (9, *range(20, 28))} == {9}
+    assert sorted(r.component_id for r in out if r.doc_id is None and r.component_id is not None) == [40, 41]
+    # One row each of the three groups without any id, and the three texts without words.
+    assert sum(r.kept for r in out if r.doc_id is None) == 6
+    assert sorted(r.doc_id for r in out if r.kept and r.doc_id is not None) == [9] * 8 + [40, 41]
+
+
+def test_near_duplicates_stage_decides_rows_without_an_id(spark):
+    rows = [(i, t, "en", "s") for i, t in repeated_rows()]
+    left = [tuple(r) for r in corpus_pipeline.one_of_each(spark, table(spark, rows), SF_DIR).collect()]
+    again = [tuple(r) for r in corpus_pipeline.one_of_each(spark, table(spark, rows[::-1]), SF_DIR).collect()]
+    assert sorted(map(str, left)) == sorted(map(str, again))
+    assert sorted(r[0] for r in left if r[0] is not None) == [9, 40, 41]
+    assert sorted(str(r[1])[:1] for r in left if r[0] is None)[:2] == ["", ""] and sum(r[0] is None for r in left) == 6
