@@ -1,6 +1,7 @@
 """Language of texts by compression: the language whose dictionary packs a text smallest.
 
-Each language has a zstandard dictionary of raw content, taken from a bounded sample of its texts. A text is
+Each language has a zstandard dictionary of raw content, taken from a bounded sample of its texts: pieces that are drawn by their
+hash from all positions of a text, a first one of every text before any second. A text is
 cut into blocks, so that the dictionary stays the reference of every part of it, and all blocks are compressed.
 """
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 SAMPLES = 512            # texts a language is learned from, at most
 DICTIONARY = 200 << 10   # bytes of a dictionary; a model has one per language
+PIECE = 256              # characters of a piece of a sampled text
 BLOCK = 512              # bytes that are compressed at once
 LEVEL = 3
 MARGIN = 0.004           # smaller relative leads over the second language are rejected
@@ -28,26 +30,44 @@ Model = tuple[tuple[str, bytes], ...]
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """A dictionary per language, the commonest first, from texts chosen by their hash alone.
 
-    Rows without text, letters or language teach nothing. Of each language at most ``SAMPLES`` texts reach the driver, and
-    of each at most an equal share of the dictionary.
+    Rows without text, letters or language teach nothing. Of each language at most ``SAMPLES`` texts are read, whole, and pieces of
+    about four dictionaries reach the driver.
     """
+    count, pieces = sampled(labelled, text, lang)
+    content: dict[str, list[bytes]] = {}
+    for r in pieces:
+        content.setdefault(r.lang, []).append(letters(r.piece) + b" ")
+    return tuple((k, _filled(content[k])) for k in sorted(content, key=lambda k: (-count[k], k)))
+
+
+def _filled(pieces: list[bytes]) -> bytes:
+    """The first of the pieces that a dictionary has room for, each once."""
+    return b"".join(dict.fromkeys(pieces))[:DICTIONARY]
+
+
+def sampled(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[dict[str, int], list]:
+    """Texts of each language, and drawn pieces (lang, h, draw, piece) of a sample of them, in the order they are taken."""
     h = F.xxhash64(F.col(text))
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"), h.alias("h"))
     chosen = (rows.groupBy("lang", F.pmod("h", F.lit(SAMPLES)).alias("slot"))
               .agg(F.min("h").alias("h"), F.count("*").alias("n")).collect())
     if not chosen:
-        return ()
+        return {}, []
     count: dict[str, int] = {}
+    texts: dict[str, int] = {}
     for r in chosen:
         count[r.lang] = count.get(r.lang, 0) + r.n
-    part = 4 * DICTIONARY // SAMPLES
-    texts = (rows.where(F.col("h").isin([r.h for r in chosen])).where(F.col("text").rlike(r"\p{L}"))
-             .select("lang", "h", F.substring("text", 1, part).alias("text")).distinct().collect())
-    content: dict[str, bytes] = {}
-    for r in sorted(texts, key=lambda r: (r.lang, r.h)):
-        content[r.lang] = content.get(r.lang, b"") + letters(r.text) + b" "
-    return tuple((k, v[-DICTIONARY:]) for k, v in sorted(content.items(), key=lambda x: (-count[x[0]], x[0])))
+        texts[r.lang] = texts.get(r.lang, 0) + 1
+    # As many pieces of a text as fill four dictionaries with those of the others.
+    most = F.create_map(*[F.lit(x) for k, n in texts.items() for x in (k, -(-4 * DICTIONARY // (n * PIECE)))])
+    worded = F.regexp_replace("text", r"[\x00-\x40\x5B-\x60\x7B-\x7F]+", " ")
+    cut = F.filter(F.regexp_extract_all(worded, F.lit(rf"(?s)(.{{1,{PIECE}}})"), F.lit(1)), lambda p: p.rlike(r"\p{L}"))
+    drawn = F.array_sort(F.transform(F.array_distinct(cut), lambda p: F.struct(F.xxhash64(p).alias("at"), p.alias("piece"))))
+    some = (rows.where(F.col("h").isin([r.h for r in chosen])).dropDuplicates(["lang", "h"])
+            .select("lang", "h", F.posexplode(F.slice(drawn, F.lit(1), most[F.col("lang")])).alias("draw", "p"))
+            .select("lang", "h", "draw", "p.piece").collect())
+    return count, sorted(some, key=lambda r: (r.lang, r.draw, r.h))
 
 
 # Digits, marks and blanks of ASCII tell nothing of a language; letters and all other bytes stay.

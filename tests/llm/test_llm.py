@@ -484,3 +484,16 @@ def test_near_duplicates_stage_decides_rows_without_an_id(spark):
     assert sorted(map(str, left)) == sorted(map(str, again))
     assert sorted(r[0] for r in left if r[0] is not None) == [9, 40, 41]
     assert sorted(str(r[1])[:1] for r in left if r[0] is None)[:2] == ["", ""] and sum(r[0] is None for r in left) == 6
+
+
+def test_language_is_learned_from_all_positions(spark):
+    """Every text opens with the same long passage; only what follows tells the languages apart."""
+    rng = random.Random(8)
+    parts = {"aa": ["tion", "the", "ing", "and"], "bb": ["keit", "sch", "ung", "ein"]}
+    make = lambda k, n: " ".join(rng.choice(parts[k]) + rng.choice(parts[k]) for _ in range(n))
+    opening = "lorem ipsum dolor sit amet " * 100 + "1 2 3 " * 400
+    rows = [(i, opening + make(k, 300), k, "s") for i, k in enumerate(["aa", "bb"] * 20)]
+    model = language.learn(table(spark, rows))
+    assert {language.judge(make(k, 60), model)[0] == k for k in parts for _ in range(10)} == {True}
+    _, pieces = language.sampled(table(spark, rows))
+    assert len({r.h for r in pieces}) == len(rows) and all(len(v) <= language.DICTIONARY for _, v in model)
