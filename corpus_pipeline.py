@@ -59,9 +59,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document."""
+    """Ids of every document, and the text they decode to."""
     importable(spark)
-    return bpe.encode(docs, tokenizer_path()).withColumn("n_tokens", F.size("ids"))
+    return bpe.coded(docs, tokenizer_path()).withColumn("n_tokens", F.size("ids"))
 
 
 STAGES = [("language", clear_language), ("quality", good_quality), ("near_duplicates", one_of_each), ("mixing", mixed), ("tokens", tokens)]

@@ -222,6 +222,38 @@ def decode(encoded: DataFrame, pieces: DataFrame, id_column: str = "doc_id", ids
     return one.select(f"r.{id_column}", F.coalesce(joined, F.lit("")).alias("text"))
 
 
+def _with_pieces(words: list[bytes], known: dict[int, str]) -> list[tuple[bytes, str]]:
+    """Ids of each word, and the text of their pieces."""
+    return [(x, " ".join([known[i] for i in np.frombuffer(x, "<u4").tolist() if i in known])) for x in words]
+
+
+def _spelled(found: list[tuple[bytes, str]]) -> str:
+    return " ".join([f[1] for f in found if f[1]])
+
+
+def _shared_pieces(spark: SparkSession, path: str):
+    return spark.sparkContext.broadcast({r.id: r.piece for r in vocabulary(spark, path).collect()})
+
+
+def coded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """(doc_id, ids, decoded) of every row: its ids as ``encode`` gives them, and the text that they decode to."""
+    chunks, encoded = _joined(docs, path, text)
+    names = _shared_pieces(docs.sparkSession, path)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        by_place = _with_pieces(_by_place(right) if right.num_rows else [], names.value)
+        doc_ids, lists, texts = [], [], []
+        for chunk in left.to_pylist():
+            for i, found in _texts_of(chunk, by_place):
+                doc_ids.append(i)
+                lists.append(np.frombuffer(b"".join([f[0] for f in found]), "<i4"))
+                texts.append(_spelled(found))
+        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array(lists, pa.list_(pa.int32())),
+                         "decoded": pa.array(texts, pa.string())})
+
+    return chunks.groupBy("chunk").cogroup(encoded.groupBy("of_chunk")).applyInArrow(run, "doc_id long, ids array<int>, decoded string")
+
+
 def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row: encoded, and decoded again.
 

@@ -497,3 +497,15 @@ def test_language_is_learned_from_all_positions(spark):
     assert {language.judge(make(k, 60), model)[0] == k for k in parts for _ in range(10)} == {True}
     _, pieces = language.sampled(table(spark, rows))
     assert len({r.h for r in pieces}) == len(rows) and all(len(v) <= language.DICTIONARY for _, v in model)
+
+
+def test_tokens_stage_decodes(spark):
+    path = queries.tokenizer_path()
+    library = tokenizers.Tokenizer.from_file(path)
+    docs = table(spark, [(i, t, None, None) for i, t in enumerate(TEXTS)])
+    out = {r.doc_id: r for r in corpus_pipeline.tokens(spark, docs, SF_DIR).collect()}
+    assert len(out) == len(TEXTS)
+    for i, t in enumerate(TEXTS):
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        assert out[i].ids == ids and out[i].n_tokens == len(ids)
+        assert out[i].decoded == library.decode(ids, skip_special_tokens=False)
