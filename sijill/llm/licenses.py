@@ -8,6 +8,8 @@ agree in a band only where the band's smallest shingle of a template stands, sig
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,16 +19,17 @@ from sijill.session import materialise
 SHINGLE = 5
 BANDS = 20
 CONTAINED = 0.8
+WHOLE = 8  # templates of up to so many shingles are found whole only: in them one word can be another version or license
 MOST_TEMPLATE_SHINGLES = 100_000
 
-# Wording of common public notices.
-TEMPLATES = (
+# Wording of common public notices. A short one names its version, see ``WHOLE``.
+_OPENINGS = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance "
                    "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
-                "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "under the GNU General Public License, version 3"),
+    ("GPL-3.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of "
+                "the License"),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
             "documentation files (the \"Software\"), to deal in the Software without restriction"),
@@ -38,6 +41,15 @@ TEMPLATES = (
 )
 
 
+def _notices() -> tuple[tuple[str, str], ...]:
+    """(license, text) of the file beside this module: notices, short forms, and licence texts in sections of about 60 words."""
+    with open(os.path.join(os.path.dirname(os.path.abspath(__file__)), "license_notices.tsv"), encoding="utf-8") as lines:
+        return tuple(tuple(line.rstrip("\n").split("\t", 1)) for line in lines)
+
+
+TEMPLATES = _OPENINGS + _notices()
+
+
 def template_table(spark: SparkSession, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     rows = [(i, name, text) for i, (name, text) in enumerate(templates)]
     return spark.createDataFrame(rows, "template int, license string, text string")
@@ -105,8 +117,9 @@ def found(docs: DataFrame, templates: DataFrame, text: str = "text") -> DataFram
     agreeing = windows.where(F.exists(F.arrays_zip(_smallest(F.col("window")).alias("a"), F.col("bands").alias("b")),
                                       lambda x: x["a"] == x["b"]))
     share = F.size(F.array_intersect("shingles", "window")) / F.size("shingles")
-    verified = agreeing.select("doc_id", "license", F.greatest("start", F.lit(0)).alias("start"), share.alias("containment")).where(
-        F.col("containment") >= CONTAINED).distinct()
+    verified = agreeing.select("doc_id", "license", F.greatest("start", F.lit(0)).alias("start"), share.alias("containment"),
+                               F.when(F.size("shingles") <= WHOLE, F.lit(1.0)).otherwise(F.lit(CONTAINED)).alias("least")).where(
+        F.col("containment") >= F.col("least")).drop("least").distinct()
     return verified.groupBy("doc_id", "license").agg(
         F.min_by("start", F.struct(-F.col("containment"), F.col("start"))).cast("long").alias("start_word"),
         F.max("containment").alias("containment"), F.count("*").alias("windows"))

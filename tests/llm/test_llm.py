@@ -509,3 +509,21 @@ def test_tokens_stage_decodes(spark):
         ids = library.encode(t or "", add_special_tokens=False).ids
         assert out[i].ids == ids and out[i].n_tokens == len(ids)
         assert out[i].decoded == library.decode(ids, skip_special_tokens=False)
+
+
+def test_licenses_of_all_templates(spark):
+    """Every template is found as its own license and no other, also with words around it."""
+    rows = [(i, f"{words(i, 7)} {t} {words(i + 1, 7)}", None, None) for i, (_, t) in enumerate(licenses.TEMPLATES)]
+    notice = "This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free " \
+             "Software Foundation; either version {} of the License, or (at your option) any later version."
+    more = {"GPL-2.0": notice.format("program", "General Public License", "2"), "LGPL-2.1": notice.format("library", "Lesser General Public License", "2.1"),
+            "GPL-3.0": notice.format("program", "General Public License", "3"), "AGPL-3.0": notice.format("program", "Affero General Public License", "3"),
+            "MIT": "This project is licensed under the MIT License, see LICENSE.", "CC-BY-SA-4.0": "Text is under CC BY-SA 4.0 unless stated otherwise."}
+    rows += [(10_000 + i, t, None, None) for i, t in enumerate(more.values())]
+    want = {i: {name} for i, (name, _) in enumerate(licenses.TEMPLATES)} | {10_000 + i: {name} for i, name in enumerate(more)}
+    got = {}
+    for r in licenses.found(table(spark, rows), licenses.template_table(spark)).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    assert {i: (got.get(i), want[i], rows[k][1]) for k, i in enumerate(want) if got.get(i) != want[i]} == {}
+    assert {"GPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "ISC", "EPL-2.0", "CC0-1.0", "CC-BY-SA-4.0", "CC-BY-NC-SA-4.0", "Unlicense"} <= {
+        name for name, _ in licenses.TEMPLATES}
