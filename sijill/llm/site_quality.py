@@ -45,8 +45,8 @@ def properties(text: str | None) -> list[int]:
             _bin(marks / size), _bin(symbols / size), _bin(dup / lines), _bin(repeats / max(n, 1))]
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, site, section, bins) of every row, from source and lang."""
+def measured(docs: DataFrame, text: str = "text", site: str = "source", section: str = "lang") -> DataFrame:
+    """(doc_id, site, section, bins) of every row; site and section are columns, such as a host and a path where a table has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -54,8 +54,8 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(bins, pa.list_(pa.int32()))],
                                              ["doc_id", "site", "section", "bins"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string").alias("site"),
-                       F.col("lang").cast("string").alias("section"), F.col(text).alias("_text")).mapInArrow(
+    return docs.select(F.col("doc_id").cast("long"), F.col(site).cast("string").alias("site"),
+                       F.col(section).cast("string").alias("section"), F.col(text).alias("_text")).mapInArrow(
         run, "doc_id long, site string, section string, bins array<int>")
 
 
@@ -86,14 +86,14 @@ def _strength(groups: DataFrame, mean: float) -> float:
     return 1000.0 if not spread else float(min(1000.0, max(1.0, most / spread - 1)))
 
 
-def judged(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, text: str = "text", site: str = "source", section: str = "lang") -> DataFrame:
     """(doc_id, text_score, site_rate, section_rate, score, kept) of every row.
 
     A missing source or language is a site or section of its own. A document's own probability is left out of
     the rates it is judged by. Without labels of both kinds all evidence is 0. Null and empty texts are judged as texts
     without words, rows that repeat each for itself.
     """
-    rows = materialise(measured(docs, text), "properties")
+    rows = materialise(measured(docs, text, site, section), "properties")
     weights, prior = evidence(rows, labels)
     table = F.array(*[F.array(*map(F.lit, w)) for w in weights])
     total = F.aggregate(F.sequence(F.lit(1), F.lit(len(PROPERTIES))), F.lit(0.0),

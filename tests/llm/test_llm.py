@@ -527,3 +527,12 @@ def test_licenses_of_all_templates(spark):
     assert {i: (got.get(i), want[i], rows[k][1]) for k, i in enumerate(want) if got.get(i) != want[i]} == {}
     assert {"GPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "ISC", "EPL-2.0", "CC0-1.0", "CC-BY-SA-4.0", "CC-BY-NC-SA-4.0", "Unlicense"} <= {
         name for name, _ in licenses.TEMPLATES}
+
+
+def test_site_quality_by_host_and_path(spark):
+    docs, labels = quality_rows(spark)
+    pages = docs.withColumn("host", F.concat(F.lit("h"), F.col("doc_id") % 5)).withColumn("path", F.concat(F.lit("/"), F.col("doc_id") % 2))
+    want = site_quality.judged(pages.withColumn("source", F.col("host")).withColumn("lang", F.col("path")), labels)
+    got = site_quality.judged(pages, labels, site="host", section="path")
+    rates = lambda df: {r.doc_id: (round(r.site_rate, 9), round(r.section_rate, 9)) for r in df.collect()}
+    assert rates(got) == rates(want) != rates(site_quality.judged(pages, labels))
