@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sijill.llm.quality import bounded_labels
+from sijill.operators.scale import Lookup
 from sijill.session import materialise
 
 TRAINING_ROWS = 100_000   # labelled documents to learn from, at most (on average)
-LEXICON = 50_000          # tokens, and as many token beginnings, with the clearest log-odds
 PREFIX = 4                # characters of a token's beginning
 PRIOR = 4.0               # documents that the prior of a token's log-odds stands for
 LEAST_SCORE = 2.0         # smaller log-odds count as telling nothing
@@ -106,7 +106,7 @@ def score_of(text: str | None, model: Model) -> tuple[float, list[tuple[int, int
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
     """Token scores and the two constants of chance, from labelled rows (doc_id, toxic).
 
-    What reaches the driver is the lexicon, which is bounded, and single values. Without toxic or
+    What reaches the driver is the lexicon, whole, and single values; the training rows bound it. Without toxic or
     without clean documents nothing is toxic.
     """
     bounded = F.broadcast(bounded_labels(labels, "toxic", TRAINING_ROWS))  # bounded, so it goes to every task
@@ -128,15 +128,16 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
     beginnings = (counts.where(F.length("word") > PREFIX).groupBy(F.substring("word", 1, PREFIX).alias("begin"))
                   .agg(F.sum(kind).alias("bad"), F.count("*").alias("n")))
     by_begin = beginnings.select("begin", ((F.col("bad") + PRIOR * base) / (F.col("n") + PRIOR)).alias("share"))
-    strong = materialise(by_begin.where(F.col("share") > 0.6).orderBy(F.desc("share"), "begin").limit(LEXICON), "beginnings")
+    strong = materialise(by_begin.where(F.col("share") > 0.6), "beginnings")
     prior = F.coalesce("share", F.lit(base))
-    # Both sides are bounded by the lexicon's size or are joined by their key.
-    judged = (counts.where("bad > 0").withColumn("begin", F.substring("word", 1, PREFIX)).join(F.broadcast(strong), "begin", "left")
+    known = Lookup(strong)
+    begun = counts.withColumn("begin", F.substring("word", 1, PREFIX))
+    judged = (known.join(begun.where("bad > 0"), ["begin"], "left", spread=["word"])
               .select("word", odds((F.col("bad") + PRIOR * prior) / (F.col("n") + PRIOR)).alias("score")))
-    clean = counts.where("bad = 0").withColumn("begin", F.substring("word", 1, PREFIX)).join(F.broadcast(strong), "begin", "left_semi")
-    words = judged.where(F.col("score") >= LEAST_SCORE).orderBy(F.desc("score"), "word").limit(LEXICON).collect()
+    clean = known.join(begun.where("bad = 0"), ["begin"], "left_semi", spread=["word"])
+    words = judged.where(F.col("score") >= LEAST_SCORE).select("word", "score").collect()
     # Words that were seen in clean texts alone don't get the score of their beginning.
-    quiet = clean.orderBy(F.desc("n"), "word").limit(LEXICON).collect()
+    quiet = clean.select("word").collect()
     lexicon = {r.word: 0.0 for r in quiet} | {r.word: float(r.score) for r in words}
     begins = {r.begin: float(math.log(r.share / (1 - r.share)) - math.log(base / (1 - base))) for r in strong.collect()}
     lam, k = chance(others.where("toxic = 0"), lexicon, begins)

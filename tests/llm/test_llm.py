@@ -536,3 +536,13 @@ def test_site_quality_by_host_and_path(spark):
     got = site_quality.judged(pages, labels, site="host", section="path")
     rates = lambda df: {r.doc_id: (round(r.site_rate, 9), round(r.section_rate, 9)) for r in df.collect()}
     assert rates(got) == rates(want) != rates(site_quality.judged(pages, labels))
+
+
+def test_toxicity_keeps_a_rich_vocabulary(spark):
+    letters = lambda n: "".join(chr(97 + int(c)) for c in f"{n:06d}")
+    bad = [" ".join("vile" + letters(10_000 * i + k) for k in range(10_000)) for i in range(8)]
+    rows = [(i, t, "en", "s") for i, t in enumerate(bad)] + [(100 + i, " ".join("mild" + letters(50 * i + k) for k in range(50)), "en", "s")
+                                                             for i in range(60)]
+    labels = spark.createDataFrame([(r[0], 1, int(r[0] < 100)) for r in rows], "doc_id long, quality int, toxic int")
+    lexicon = toxicity.learn(table(spark, rows), labels)[0]
+    assert sum(score > 0 for score in lexicon.values()) > 50_000
