@@ -8,7 +8,8 @@ compression makes by chance, estimates the similarity; what is near enough is ve
 A set is one representative, whoever owns it: its number, in the order of the smallest ids that own a set. Ids that own several sets
 link these, and rows without an id own their sets like any other. Candidates come in three steps, so that a large group does not
 make all its pairs: every member of a band's bucket against the bucket's smallest number, then, in buckets that still hold
-several components, against a few members drawn from it, and last what is left in different components, block by block.
+several components, against a few members drawn from it, and last what is left in different components, by the rarest shingles that
+two sets so similar must share.
 """
 
 from __future__ import annotations
@@ -17,11 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sijill.llm.text import chunks, hashed_words, mix, row_name, shingles
-from sijill.operators.scale import Lookup, numbered
+from sijill.operators.scale import Lookup, numbered, spread_join
 from sijill.session import materialise
 
 SHINGLE = 5
@@ -32,8 +34,9 @@ MANTISSA = 3              # bits kept after the leading one
 ZEROS = 30                # largest count of leading zeros that is told apart
 RANDOM_STEPS = 64         # tries of an empty bucket before it walks
 HUBS = 4                  # members of a bucket that all its others are compared with before the pairs across components
-BLOCK_ROWS = 256          # members of a block, on average; two blocks meet in a cell, which is one row
-BLOCK_SHINGLES = 200_000  # or so many shingles, with long texts
+HOT_ROWS = 200_000        # rows of a key with registers that one task takes
+HOT_TEXTS = 20_000        # and with texts
+HOT_MEETING = 2_000       # and members of a shingle that meet others
 
 _SKETCH = "doc_id long, name struct<hi: bigint, lo: bigint>, n_shingles long, set_hi long, set_lo long, bands array<long>"
 
@@ -134,7 +137,7 @@ def _near(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     """Candidate pairs whose estimate lies within five standard errors of ``least`` or above."""
     side = lambda n: reps.select(F.col("rep").alias(n), F.col("n_shingles").alias(f"size_{n}"),
                                  F.col("bands").alias(f"bands_{n}"))
-    rows = pairs.join(side("a"), "a").join(side("b"), "b")
+    rows = spread_join(spread_join(pairs, side("a"), ["a"], "inner", ["b"], HOT_ROWS), side("b"), ["b"], "inner", ["a"], HOT_ROWS)
     # Sets of too different sizes cannot be similar.
     rows = rows.where((F.col("size_a") >= F.lit(least) * F.col("size_b")) & (F.col("size_b") >= F.lit(least) * F.col("size_a")))
 
@@ -153,7 +156,8 @@ def _near(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs with 100 * intersection >= ``percent`` * union of their full sets."""
     side = lambda n: texts.select(F.col("rep").alias(n), F.col("_text").alias(f"text_{n}"))
-    rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
+    rows = spread_join(spread_join(pairs, side("a"), ["a"], "inner", ["b"], HOT_TEXTS), side("b"), ["b"], "inner", ["a"], HOT_TEXTS)
+    rows = rows.select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -205,143 +209,82 @@ def _placed(shared: DataFrame, found: DataFrame) -> DataFrame:
     rows = (shared.select("key", "band", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
             .withColumn("component", F.coalesce("component", "rep")))
     mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    return materialise(rows.join(mixed, "key"), "mixed-buckets")
+    return materialise(spread_join(rows, mixed, ["key"], "inner", ["rep"]), "mixed-buckets")
 
 
 def _to_hubs(placed: DataFrame, asked: DataFrame) -> DataFrame:
     """Pairs of every member of a bucket with a few members drawn from it, where their components differ."""
     drawn = [F.min_by(F.struct("rep", "component"), F.xxhash64("rep", F.lit(seed))) for seed in range(HUBS)]
     hubs = placed.groupBy("key").agg(F.array_distinct(F.array(*drawn)).alias("hubs"))
-    rows = placed.join(hubs, "key").select("rep", F.explode(F.filter("hubs", lambda h: h["component"] != F.col("component"))).alias("h"))
+    rows = spread_join(placed, hubs, ["key"], "inner", ["rep"]).select("rep", F.explode(F.filter("hubs", lambda h: h["component"] != F.col("component"))).alias("h"))
     pairs = rows.select(F.least("rep", "h.rep").alias("a"), F.greatest("rep", "h.rep").alias("b")).distinct()
     return pairs.join(asked, ["a", "b"], "left_anti")
 
 
-_CELL = ["key", "band", "i", "j", "inner"]
-_CELL_TYPES = "key long, band int, i long, j long, inner boolean"
+_SHINGLED = pa.schema([("rep", pa.int64()), ("component", pa.int64()), ("n", pa.int64()), ("h", pa.int64())])
 
 
-def _dealt(placed: DataFrame, reps: DataFrame) -> DataFrame:
-    """(cell, rep, component, side): the members of every bucket in blocks, and each block in the cells where it meets another.
+def _shingled(left: DataFrame, texts: DataFrame) -> DataFrame:
+    """(rep, component, n, h): one row per shingle of the sets in ``left`` (rep, component)."""
 
-    The component with most members of a bucket has blocks of its own, as its members need not meet each other:
-    blocks of outsiders meet all blocks of the main component and one another. A block holds about ``BLOCK_ROWS`` members
-    or ``BLOCK_SHINGLES`` shingles, whichever is less, so no cell grows with its bucket.
-    """
-    sized = placed.join(reps.select("rep", "n_shingles"), "rep")
-    blocks = lambda n, w: F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(w / BLOCK_SHINGLES), F.lit(1))
-    sides = (sized.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
-             .groupBy("key").agg(F.max(F.struct("n", "component", "w")).alias("most"), F.sum("n").alias("n"), F.sum("w").alias("w"),
-                                 F.count("*").alias("parts"))
-             .select("key", F.col("most.component").alias("main"), "parts",
-                     blocks(F.col("most.n"), F.col("most.w")).alias("mains"),
-                     blocks(F.col("n") - F.col("most.n"), F.col("w") - F.col("most.w")).alias("outs")))
-    rows = (sized.join(sides, "key").withColumn("inside", F.col("component") == F.col("main"))
-            .withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("inside"), F.col("mains")).otherwise(F.col("outs")))))
-    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    cell = lambda i, j, inner, side: F.struct(i.alias("i"), j.alias("j"), F.lit(inner).alias("inner"),
-                                              side.cast("int").alias("side"))
-    own = F.col("own")
-    to_outs = F.transform(upto("outs"), lambda k: cell(F.least(own, k), F.greatest(own, k), False, own > k))
-    to_main = F.transform(upto("mains"), lambda k: cell(own, k, True, F.lit(0)))
-    from_main = F.transform(upto("outs"), lambda k: cell(k, own, True, F.lit(1)))
-    cells = F.when(F.col("inside"), from_main).when(F.col("parts") > 2, F.concat(to_main, to_outs)).otherwise(to_main)
-    return rows.select("key", "band", "rep", "component", F.explode(cells).alias("c")).select(
-        "key", "band", "c.i", "c.j", "c.inner", "rep", "component", "c.side")
-
-
-def _gathered(dealt: DataFrame, reps: DataFrame, texts: DataFrame | None = None) -> DataFrame:
-    """One row per cell with its members."""
-    rows, columns = dealt.join(reps, "rep"), ["rep", "component", "side", "n_shingles", "bands"]
-    if texts is not None:
-        rows, columns = rows.join(texts, "rep"), [*columns, "_text"]
-    return rows.groupBy(*_CELL).agg(F.collect_list(F.struct(*columns)).alias("members")).where(F.size("members") > 1)
-
-
-def _likely(members: pa.StructArray, band: int, diagonal: bool, least: float) -> Iterator[tuple[int, np.ndarray]]:
-    """(x, ys): members of a cell whose estimate with x comes near ``least``, in other components, from the first band they share."""
-    component, side, sizes = (members.field(n).to_numpy(zero_copy_only=False) for n in ("component", "side", "n_shingles"))
-    regs = _registers_of(members.field("bands"))
-    bands, sizes = regs.view(np.int64), sizes.astype(np.float64)
-    chance = _chance(sizes / REGISTERS)
-    right = np.arange(len(sizes)) if diagonal else np.flatnonzero(side == 1)
-    for x in (range(len(sizes)) if diagonal else np.flatnonzero(side == 0)):
-        ys = right[right > x] if diagonal else right
-        ys = ys[(component[ys] != component[x]) & (sizes[ys] >= least * sizes[x]) & (sizes[x] >= least * sizes[ys])]
-        ys = ys[~(bands[ys, :band] == bands[x, :band]).any(axis=1)]
-        if not len(ys):
-            continue
-        by_chance = chance[:, x] @ chance[:, ys]
-        share = (regs[ys] == regs[x]).mean(axis=1)
-        estimated = (share - by_chance) / np.maximum(1 - by_chance, 1e-9)
-        ys = ys[estimated >= _lowest(least, np.minimum(sizes[x], sizes[ys]))]
-        if len(ys):
-            yield int(x), ys
-
-
-def _cells_of(batch: pa.RecordBatch) -> Iterator[tuple[dict, pa.StructArray, bool]]:
-    lists = batch.column("members")
-    for k in range(batch.num_rows):
-        cell = {n: batch.column(n)[k].as_py() for n in _CELL}
-        yield cell, lists[k].values, not cell["inner"] and cell["i"] == cell["j"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = b.column("_text").to_pylist()
+            for start, end in chunks(found):
+                words, at = hashed_words(found[start:end])
+                sets = [shingles(words[at[i]:at[i + 1]], SHINGLE) for i in range(end - start)]
+                sizes = np.array([len(s) for s in sets])
+                each = lambda n: np.repeat(b.column(n).slice(start, end - start).to_numpy(), sizes)  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (each("rep"), each("component"), np.repeat(sizes, sizes),
+                                                                        np.concatenate(sets).view(np.int64))], schema=_SHINGLED)
 
+    return left.join(texts, "rep").select("rep", "component", "_text").mapInArrow(run, "rep long, component long, n long, h long")
 
-def _across(placed: DataFrame, reps: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links that join the components of a bucket.
 
-    Pairs are compared inside a cell and never become rows: the sketches say which members may be near another, and only those
-    come back with their texts. A cell gives at most one link per member, as more would join nothing new.
-    """
-    dealt = materialise(_dealt(placed, reps), "cells")
-    least = percent / 100
+def _needed(total: Column, percent: int) -> Column:
+    """Shingles that two sets of together ``total`` must share."""
+    return F.ceil(total * percent / (100 + percent) - F.lit(1e-9))
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            columns = {n: [] for n in [*_CELL, "rep", "component", "side"]}
-            for cell, members, diagonal in _cells_of(b):
-                met = set()
-                for x, ys in _likely(members, cell["band"], diagonal, least):
-                    met |= {x, *ys.tolist()}
-                kept = members.take(pa.array(sorted(met), pa.int64()))
-                for n in _CELL:
-                    columns[n] += [cell[n]] * len(met)
-                for n in ("rep", "component", "side"):
-                    columns[n] += kept.field(n).to_pylist()
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns.values(), types)], list(columns))
-
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            links = []
-            for cell, members, diagonal in _cells_of(b):
-                links += _joining(members, _likely(members, cell["band"], diagonal, least), percent)
-            yield pa.RecordBatch.from_arrays([pa.array([link[n] for link in links], pa.int64()) for n in (0, 1)], ["a", "b"])
 
-    met = materialise(_gathered(dealt, reps).mapInArrow(near, f"{_CELL_TYPES}, rep long, component long, side int"), "cells")
-    return _gathered(met, reps, texts).mapInArrow(linked, "a long, b long")
+def _prefixes(rows: DataFrame, percent: int) -> DataFrame:
+    """(h, rep, component, n, after, short): the shingles by which a set can meet one of another component.
 
+    Shingles that one component has for itself come first, the others from the rarest to the commonest. Of two sets that
+    are similar enough, the first shingle they share in this order leaves as many ``after`` it, itself included, as they must
+    share. So a set of n shingles is found by those that leave enough for a partner of ``percent`` per cent of its size, and by fewer
+    (``short``) where the partner is the larger one. A common line falls out, as its shingles come last.
+    """
+    many = rows.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("f")).where("lo <> hi")
+    # Sets that share nothing else meet nobody, so only shared shingles are placed; the others stand before them.
+    known = Lookup(materialise(many.select("h", "f"), "shared-shingles"))
+    shared = known.join(rows, ["h"], "inner", spread=["rep"])
+    back = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("f"), F.desc("h")))
+    placed = shared.withColumn("after", back.cast("long"))
+    return placed.where(F.col("after") >= F.ceil(F.col("n") * percent / 100 - F.lit(1e-9))).select(
+        "h", "rep", "component", "n", "after", (F.col("after") >= _needed(2 * F.col("n"), percent)).alias("short"))
+
+
+def _meetings(prefixes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs of sets of different components that may be similar enough, from what follows a shingle they share."""
+    side = lambda n: [F.col(c).alias(f"{c}_{n}") for c in ("rep", "component", "n", "after", "short")]
+    smaller, larger = prefixes.where("short").select("h", *side("x")), prefixes.select("h", *side("y"))
+    met = spread_join(larger, smaller, ["h"], "inner", ["rep_y"], hot_rows=HOT_MEETING)
+    size = F.col("n_x") + F.col("n_y")
+    once = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (~F.col("short_y") | (F.col("rep_x") < F.col("rep_y"))))
+    near = (F.col("component_x") != F.col("component_y")) & once & (F.least("after_x", "after_y") >= _needed(size, percent))
+    return met.where(near).select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
 
-def _joining(members: pa.StructArray, likely: Iterator[tuple[int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
-    """Of the likely pairs that full sets confirm, those that join members not yet joined."""
-    texts, sets = members.field("_text").to_pylist(), []
-    for start, end in chunks(texts):
-        words, at = hashed_words(texts[start:end])
-        sets += [shingles(words[at[k]:at[k + 1]], SHINGLE) for k in range(end - start)]
-    sizes = np.array([len(s) for s in sets])
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    known, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    rep = members.field("rep").to_pylist()
-    group = members.field("component").to_numpy(zero_copy_only=False).copy()
-    links = []
-    for x, ys in likely:
-        mark = np.zeros(len(known), dtype=bool)
-        mark[ids[starts[x]:starts[x + 1]]] = True
-        both = np.add.reduceat(mark[ids], starts[:-1], dtype=np.int64)[ys]
-        for y in ys[(both > 0) & (100 * both >= percent * (sizes[x] + sizes[ys] - both))]:
-            if group[x] != group[y]:
-                group[group == group[y]] = group[x]
-                links.append((rep[x], rep[y]))
-    return links
+
+def _across(placed: DataFrame, reps: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all links between sets of different components that are left in one bucket with another component.
+
+    They are searched by exact prefixes of their shingles, so rows grow with the shingles of what is left, and a pair becomes a
+    row only where what follows a shared rare shingle could make it a link.
+    """
+    left = materialise(placed.select("rep", "component").distinct(), "left-apart")
+    rows = materialise(_shingled(left, texts), "shingles")
+    pairs = materialise(_meetings(materialise(_prefixes(rows, percent), "prefixes"), percent), "meetings")
+    return _verified(_near(pairs, reps, percent / 100), texts, percent)
 
 
 def _banded(reps: DataFrame) -> DataFrame:
@@ -378,7 +321,8 @@ def named_near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text"
     groups = filled.groupBy("set_hi", "set_lo").agg(owner.alias("owner"))
     sets = materialise(numbered(groups.select("set_hi", "set_lo", "owner"), ["owner", "set_hi", "set_lo"], "rep"), "sets")
     sets = sets.select("set_hi", "set_lo", "rep", F.col("owner.doc_id").alias("own_id"), F.col("owner.name").alias("own_name"))
-    members = materialise(filled.select("doc_id", "name", "n_shingles", "set_hi", "set_lo").join(sets, ["set_hi", "set_lo"]).select(
+    owned = spread_join(filled.select("doc_id", "name", "n_shingles", "set_hi", "set_lo"), sets, ["set_hi", "set_lo"], "inner", ["doc_id", "name"])
+    members = materialise(owned.select(
         "doc_id", F.when(F.col("doc_id").isNull(), F.col("name")).alias("name"), "n_shingles", "rep", "own_id",
         (F.col("name") == F.col("own_name")).alias("first")), "members")
     sketched = filled.select("set_hi", "set_lo", "n_shingles", "bands").dropDuplicates(["set_hi", "set_lo"])
@@ -386,7 +330,7 @@ def named_near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text"
                         "representatives")
     banded = _banded(every)
     hubs = banded.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub <> last").drop("last")
-    shared = materialise(banded.join(hubs, "key"), "buckets")
+    shared = materialise(spread_join(banded, hubs, ["key"], "inner", ["rep"]), "buckets")
     met = materialise(shared.select("rep").distinct(), "met")
     reps = materialise(every.join(met, "rep", "left_semi"), "representatives")
     owners = sets.join(met, "rep", "left_semi").select("rep", F.col("own_id").alias("doc_id"), F.col("own_name").alias("name"))

@@ -130,6 +130,27 @@ best AS (
 SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, b.rule AS rule, coalesce(b.verdict, 'allow') AS verdict FROM best
 """
 
+_NEAR_DUPLICATES = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, unnest(x) AS w, generate_subscripts(x, 1) AS i FROM (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS x
+    FROM documents)),
+runs AS (SELECT doc_id, w, lead(w, 1) OVER q AS w2, lead(w, 2) OVER q AS w3, lead(w, 3) OVER q AS w4, lead(w, 4) OVER q AS w5
+         FROM words WINDOW q AS (PARTITION BY doc_id ORDER BY i)),
+shingles AS (
+  SELECT DISTINCT doc_id, w || ' ' || w2 || ' ' || w3 || ' ' || w4 || ' ' || w5 AS s FROM runs WHERE w5 IS NOT NULL UNION ALL
+  SELECT doc_id, string_agg(w, ' ' ORDER BY i) FROM words GROUP BY doc_id HAVING count(*) < 5),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM common c JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c.n >= 85 * (p.n + q.n - c.n)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached AS (SELECT x AS node, y AS other FROM both_ways UNION SELECT r.node, b.y FROM reached r JOIN both_ways b ON b.x = r.other),
+found AS (SELECT node, min(other) AS least FROM reached GROUP BY node)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, coalesce(f.least, d.doc_id)) AS component_id,
+       d.doc_id <= coalesce(f.least, d.doc_id) AS kept
+FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN found f ON f.node = d.doc_id
+"""
+
 # A backslash goes in after the < of each <|, so the length grows by one for each.
 _CHAT = r"""
 WITH t AS (
@@ -179,4 +200,5 @@ ranked AS (
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """
 
-ORACLE: dict[str, str] = {"op1_nearest": _NEAREST, "op3_urls": _URLS, "op12_chat": _CHAT, "op13_phrases": _PHRASES}
+ORACLE: dict[str, str] = {"op1_nearest": _NEAREST, "op3_urls": _URLS, "op4_near_duplicates": _NEAR_DUPLICATES,
+                          "op12_chat": _CHAT, "op13_phrases": _PHRASES}

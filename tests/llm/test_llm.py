@@ -167,9 +167,8 @@ def test_near_duplicates_against_all_pairs(spark):
     assert out.where("kept <> (doc_id = component_id)").count() == 0
 
 
-def test_near_duplicates_of_a_loose_group_in_small_blocks(spark, monkeypatch):
-    """Copies so far from each other that most of them are no links; blocks of three members."""
-    monkeypatch.setattr(near_dups, "BLOCK_ROWS", 3)
+def test_near_duplicates_of_a_loose_group(spark):
+    """Copies so far from each other that most of them are no links."""
     base, rows = words(70, 300).split(), []
     for i in range(70):
         rng, copy = random.Random(i), list(base)
