@@ -1,9 +1,12 @@
 """BPE encoding and decoding over a table of distinct words.
 
-Texts are normalised and split into words in chunks of bounded size; a chunk keeps its distinct words and every text as
-positions in them. The words of all chunks meet in a table by word, and each distinct one is encoded once. Its ids are joined back
-to the chunks' words, and the positions put every text's ids in order. Decoding joins ids with the vocabulary's pieces; the
-vocabulary is bounded, so it goes to every task.
+A word is what stands between white space. Texts are split in chunks of bounded size; a chunk keeps every text as positions among its
+distinct words, and these words go by a checksum to the parts of the table. There each distinct word is encoded once, its ids are
+joined with the vocabulary's pieces, and ids and pieces go back to the chunks that have the word, where positions put every text in order.
+Words travel packed, one row per chunk and part.
+
+This is what the library does to whole texts where nothing it does reaches over white space: normalisers that change single letters and
+white space only, and a pattern of words without white space or a look around. Other tokenizers are refused.
 """
 
 from __future__ import annotations
@@ -12,7 +15,8 @@ import hashlib
 import json
 import os
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -24,10 +28,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sijill.session import shared_folder
+from sijill.session import materialise, shared_folder
+
+RARE = 255           # a chunk's words from this rank on take more than a byte in its texts
+CHUNK = 16 << 20     # characters of the texts of a chunk, unless one text is longer
+PARTS = (64, 4_096)  # fewest and most parts of the table of words
 
-RARE = 255        # a chunk's words from this rank on take more than a byte in its texts
-CHUNK = 8 << 20   # characters of the texts of a chunk, unless one text is longer
+_LOCAL = {"NFC", "NFD", "Lowercase", "StripAccents"}
+_ODD = regex.compile("[\x1c-\x1f]")
+_WORD = regex.compile(r"[^\p{White_Space}]+")
 
 
 @lru_cache(maxsize=2)
@@ -38,32 +47,29 @@ def _tokenizer(spec: str) -> Tokenizer:
     return t
 
 
+def _steps(parsed: dict | None, kind: str) -> list[dict]:
+    return [] if not parsed else parsed[kind] if parsed["type"] == "Sequence" else [parsed]
+
+
 @lru_cache(maxsize=2)
-def _splitter(spec: str) -> tuple[regex.Pattern, regex.Pattern | None]:
-    """Pattern of the words of a normalised text, and of the added tokens, which are found before that."""
+def checked(spec: str) -> str:
+    """The tokenizer's text, if words between white space can be encoded and decoded one by one."""
     parsed = json.loads(spec)
-    pre = parsed["pre_tokenizer"]
-    steps = pre["pretokenizers"] if pre["type"] == "Sequence" else [pre]
-    split = next(s for s in steps if s["type"] == "Split")
-    if not (split["invert"] and split["behavior"] == "Removed"):
-        raise ValueError("only tokenizers whose pattern gives the words themselves")
-    # White space as Unicode has it, without the separators 0x1C to 0x1F that Python adds.
-    pattern = split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")
-    added = sorted((t["content"] for t in parsed.get("added_tokens", [])), key=len, reverse=True)
-    return regex.compile(pattern), regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
-
-
-def words_of(text: str, spec: str) -> list[str]:
-    """The words that are encoded one by one; an added token that stands in the text is one."""
-    pattern, added = _splitter(spec)
-    normal = _tokenizer(spec).normalizer
-    find = lambda part: pattern.findall(normal.normalize_str(part) if normal else part)
-    if added is None or not added.search(text):
-        return find(text) if text else []
-    found: list[str] = []
-    for i, part in enumerate(added.split(text)):
-        found.extend([part] if i % 2 else find(part) if part else [])
-    return found
+    blanks = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    split = [s for s in _steps(parsed["pre_tokenizer"], "pretokenizers") if s["type"] == "Split"]
+    pattern = split[0]["pattern"].get("Regex", "") if len(split) == 1 else ""
+    apart = split and split[0]["invert"] and split[0]["behavior"] == "Removed" and not regex.search(r"\(\?|\\[bBAzZG]|[$\t\n ]", pattern)
+    added = all(not any((t["lstrip"], t["rstrip"], t["single_word"], t["normalized"])) and _WORD.fullmatch(t["content"])
+                for t in parsed.get("added_tokens", []))
+    local = all(s["type"] in _LOCAL or s == blanks for s in _steps(parsed["normalizer"], "normalizers"))
+    if not (apart and added and local and parsed["decoder"] is None and not parsed["post_processor"]):
+        raise ValueError("only tokenizers that treat each word between white space by itself")
+    return spec
+
+
+def words_of(text: str) -> list[str]:
+    """What stands between white space as Unicode has it, to which Python adds the separators 0x1C to 0x1F."""
+    return _WORD.findall(text) if _ODD.search(text) else text.split()
 
 
 def vocabulary(spark: SparkSession, path: str) -> DataFrame:
@@ -81,38 +87,54 @@ class _Places(dict):
         return place
 
 
-def _packed(chunk: int, ids: list, texts: list[np.ndarray], places: _Places) -> dict:
-    """A chunk: its distinct words, the commonest first, and its texts as positions among them."""
+def _pack(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _unpack(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def _part_of(word: str, parts: int) -> int:
+    return zlib.crc32(word.encode()) % parts
+
+
+def _packed(chunk: int, ids: list, texts: list[np.ndarray], places: _Places, parts: int) -> dict:
+    """A chunk: its texts as ranks of words, the commonest first, and its words by part and in order; ``at`` leads from one to the other."""
     flat = np.concatenate(texts) if texts else np.zeros(0, np.uint32)
     order = np.argsort(-np.bincount(flat, minlength=len(places)), kind="stable")
     rank = np.empty(len(places), np.uint32)
     rank[order] = np.arange(len(places), dtype=np.uint32)
     flat = rank[flat]
     # A byte per word for the commonest; rarer ones go on in planes of their own. Each plane compresses well.
-    pack = zstandard.ZstdCompressor(level=3).compress
     rare = flat[flat >= RARE] - np.uint32(RARE)
     planes = {"first": np.minimum(flat, RARE).astype(np.uint8), "low": (rare & 0xFF).astype(np.uint8),
               "mid": (rare >> 8 & 0xFF).astype(np.uint8), "high": (rare >> 16).astype(np.uint16)}
-    words = list(places)
-    return {"chunk": chunk, "doc_ids": ids, "sizes": list(map(len, texts)), "words": [words[i] for i in order.tolist()],
-            **{k: pack(v.tobytes()) for k, v in planes.items()}}
+    placed = sorted((_part_of(w, parts), w, p) for w, p in places.items())
+    at = np.empty(len(placed), np.uint32)
+    at[rank[np.fromiter((p for _, _, p in placed), np.int64, len(placed))]] = np.arange(len(placed), dtype=np.uint32)
+    lists: list[list[str]] = [[] for _ in range(parts)]
+    for part, word, _ in placed:
+        lists[part].append(word)
+    return {"chunk": chunk, "doc_ids": ids, "sizes": list(map(len, texts)), "at": _pack(at.tobytes()),
+            "words": [_pack("\n".join(x).encode()) if x else None for x in lists], **{k: _pack(v.tobytes()) for k, v in planes.items()}}
 
 
-_CHUNK = "chunk long, doc_ids array<long>, sizes array<int>, first binary, low binary, mid binary, high binary, words array<string>"
+_CHUNK = "chunk long, doc_ids array<long>, sizes array<int>, first binary, low binary, mid binary, high binary, at binary, words array<binary>"
 _CHUNK_ARROW = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())),
-                          ("first", pa.binary()), ("low", pa.binary()), ("mid", pa.binary()), ("high", pa.binary()), ("words", pa.list_(pa.string()))])
+                          *[(n, pa.binary()) for n in ("first", "low", "mid", "high", "at")], ("words", pa.list_(pa.binary()))])
 
 
-def chunked(docs: DataFrame, spec: str, text: str = "text") -> DataFrame:
+def chunked(docs: DataFrame, text: str = "text", parts: int = PARTS[0]) -> DataFrame:
     """One row per chunk of texts (see ``_packed``); a null text is an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, ids, texts, places, size = TaskContext.get().partitionId() << 32, [], [], _Places(), 0
-        pack = lambda: pa.RecordBatch.from_pylist([_packed(n, ids, texts, places)], schema=_CHUNK_ARROW)
+        pack = lambda: pa.RecordBatch.from_pylist([_packed(n, ids, texts, places, parts)], schema=_CHUNK_ARROW)
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1)):
                 t = t.as_py() or ""
-                words = words_of(t, spec)
+                words = words_of(t)
                 ids.append(i)
                 texts.append(np.fromiter(map(places.__getitem__, words), np.uint32, len(words)))
                 size += len(t)
@@ -125,66 +147,126 @@ def chunked(docs: DataFrame, spec: str, text: str = "text") -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("_text")).mapInArrow(run, _CHUNK)
 
 
-def encoded_words(placed: DataFrame, spec: str) -> DataFrame:
-    """(of_chunk, place, ids) of (chunk, place, word): the table of distinct words, each encoded once.
+def encoded_words(packed: DataFrame, spec: str) -> DataFrame:
+    """(part, word, ids): the table of distinct words, each encoded once, from lists of words (part, packed)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, seen = None, set()
+        for b in batches:
+            for part, data in zip(b.column("part").to_pylist(), b.column("packed")):
+                if part != current:
+                    current, seen = part, set()
+                new = [w for w in _unpack(data.as_py()).decode().split("\n") if w not in seen]
+                seen.update(new)
+                ids = [e.ids for e in _tokenizer(spec).encode_batch(new, add_special_tokens=False)]
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(new), pa.int32()), pa.array(new, pa.string()),
+                                                  pa.array(ids, pa.list_(pa.int32()))], ["part", "word", "ids"])
+
+    rows = packed.select("part", "packed").repartition("part").sortWithinPartitions("part")
+    return rows.mapInArrow(run, "part int, word string, ids array<int>")
+
+
+def spelled_words(words: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(part, word, ids, spelled): each distinct word's ids joined with their pieces, which are a vocabulary and so bounded.
+
+    Ids without a piece are left out of ``spelled``, where a blank stands between two pieces.
+    """
+    each = words.select("part", "word", F.posexplode("ids").alias("pos", "id")).join(F.broadcast(pieces), "id", "left")
+    found = each.groupBy("part", "word").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "piece"))).alias("x"))
+    return found.select("part", "word", F.transform("x", lambda x: x["id"]).alias("ids"),
+                        F.array_join(F.transform("x", lambda x: x["piece"]), " ").alias("spelled"))
+
+
+def _returned(packed: DataFrame, table: DataFrame) -> DataFrame:
+    """(of_chunk, part, sizes, ids, spelled): what the table has for the words of each packed list, in their order.
 
-    All rows of a word meet in one partition and follow each other there, so a word's ids are made for the first of them and
-    joined to the rest. A word has one row per chunk, however often it stands there. ids are little-endian 32-bit integers.
+    The table's rows of a part come first, then the lists of that part one by one, so only a part of the table is held.
     """
+    none = lambda **kinds: [F.lit(None).cast(k).alias(n) for n, k in kinds.items()]
+    rows = table.select("part", "word", "ids", "spelled", *none(chunk="long", packed="binary")).unionByName(
+        packed.select("part", *none(word="string", ids="array<int>", spelled="string"), "chunk", "packed"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_ids = None, b""
+        current, known = None, {}
         for b in batches:
-            words = b.column(2).dictionary_encode()
-            distinct = words.dictionary.to_pylist()
-            new = [w for w in distinct if w != last]
-            ids = {w: np.array(e.ids, "<u4").tobytes()
-                   for w, e in zip(new, _tokenizer(spec).encode_batch(new, add_special_tokens=False))}
-            if last is not None:
-                ids.setdefault(last, last_ids)
-            column = pa.array([ids[w] for w in distinct], pa.binary()).take(words.indices)
-            if len(words):
-                last = b.column(2)[len(words) - 1].as_py()
-                last_ids = ids[last]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), column], ["of_chunk", "place", "ids"])
-
-    rows = placed.select("chunk", "place", "word").repartition("word").sortWithinPartitions("word")
-    return rows.mapInArrow(run, "of_chunk long, place int, ids binary")
-
-
-def _texts_of(chunk: dict, by_place: list) -> Iterator[tuple[int | None, list]]:
+            out = []
+            words, lists = b.column("word").to_pylist(), b.column("ids")
+            for k, (part, word, spelled, chunk, data) in enumerate(zip(b.column("part").to_pylist(), words, b.column("spelled").to_pylist(),
+                                                                       b.column("chunk").to_pylist(), b.column("packed"))):
+                if part != current:
+                    current, known = part, {}
+                if word is not None:
+                    known[word] = (lists[k].values.to_numpy().astype("<u4").tobytes(), spelled)
+                    continue
+                found = [known.get(w, (b"", "")) for w in _unpack(data.as_py()).decode().split("\n")]
+                ids = np.frombuffer(b"".join([f[0] for f in found]), "<u4")
+                small = ids.astype("<u2") if not len(ids) or ids.max() < 1 << 16 else ids
+                out.append({"of_chunk": chunk, "part": part, "wide": small.itemsize,
+                            "sizes": _pack(np.array([len(f[0]) // 4 for f in found], "<u4").tobytes()),
+                            "ids": _pack(small.tobytes()), "spelled": _pack("\n".join([f[1] for f in found]).encode())})
+            yield pa.RecordBatch.from_pylist(out, schema=_RETURNED)
+
+    placed = rows.repartition("part").sortWithinPartitions("part", F.asc_nulls_first("chunk"))
+    return placed.mapInArrow(run, "of_chunk long, part int, wide int, sizes binary, ids binary, spelled binary")
+
+
+_RETURNED = pa.schema([("of_chunk", pa.int64()), ("part", pa.int32()), ("wide", pa.int32()), ("sizes", pa.binary()), ("ids", pa.binary()),
+                       ("spelled", pa.binary())])
+
+
+def _entries(lists: pa.Table, at: np.ndarray) -> list[tuple[bytes, int, str]]:
+    """(ids, number of ids, pieces) of a chunk's words in the order of their ranks."""
+    found = []
+    for r in sorted(lists.to_pylist(), key=lambda r: r["part"]):
+        sizes = np.frombuffer(_unpack(r["sizes"]), "<u4")
+        ids = np.frombuffer(_unpack(r["ids"]), f"<u{r['wide']}").astype("<u4").tobytes()
+        ends = (np.cumsum(sizes) * 4).tolist()
+        spelled = _unpack(r["spelled"]).decode().split("\n")
+        found += zip([ids[i:j] for i, j in zip([0, *ends], ends)], sizes.tolist(), spelled)
+    return [found[i] for i in at.tolist()]
+
+
+def _texts_of(chunk: dict, lists: pa.Table) -> Iterator[tuple[int | None, list]]:
     """(doc_id, entry of every word in order) of the chunk's texts."""
-    unpack = zstandard.ZstdDecompressor().decompress
-    places, low, mid, high = (np.frombuffer(unpack(chunk[k]), kind).astype(np.uint32)
-                              for k, kind in (("first", np.uint8), ("low", np.uint8), ("mid", np.uint8), ("high", np.uint16)))
-    places[places == RARE] = (low | mid << 8 | high << 16) + np.uint32(RARE)
-    at = 0
+    ranks, low, mid, high = (np.frombuffer(_unpack(chunk[k]), kind).astype(np.uint32)
+                             for k, kind in (("first", np.uint8), ("low", np.uint8), ("mid", np.uint8), ("high", np.uint16)))
+    ranks[ranks == RARE] = (low | mid << 8 | high << 16) + np.uint32(RARE)
+    by_rank, start = _entries(lists, np.frombuffer(_unpack(chunk["at"]), np.uint32)), 0
     for i, size in zip(chunk["doc_ids"], chunk["sizes"]):
-        yield i, [by_place[p] for p in places[at:at + size].tolist()]
-        at += size
+        yield i, [by_rank[p] for p in ranks[start:start + size].tolist()]
+        start += size
 
 
-def _bucketed(df: DataFrame, key: str) -> DataFrame:
-    """``df`` written once to the shared folder in buckets of ``key``, so that grouping by it later moves no rows."""
-    spark = df.sparkSession
-    name = f"{key}_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (df.write.format("parquet").bucketBy(buckets, key).option("path", os.path.join(shared_folder(spark), name)).saveAsTable(name))
-    return spark.table(name)
+def _finished(docs: DataFrame, path: str, text: str, row: Callable[[int | None, list], dict], schema: pa.Schema, kinds: str) -> DataFrame:
+    """``row`` of every text and its words' entries. Written, so that nothing of the way there stays in the catalog.
 
+    Chunks are written in buckets, as their texts need not move again when words come back.
+    """
+    spark, spec = docs.sparkSession, checked(open(path, encoding="utf-8").read())
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(max(2 * partitions, PARTS[0]), PARTS[1])
+    name = f"chunk_{uuid.uuid4().hex}"
+    (chunked(docs, text, parts).write.format("parquet").bucketBy(partitions, "chunk")
+     .option("path", os.path.join(shared_folder(spark), name)).saveAsTable(name))
+    try:
+        chunks = spark.table(name)
+        packed = chunks.select("chunk", F.posexplode("words").alias("part", "packed")).where("packed is not null")
+        back = _returned(packed, spelled_words(encoded_words(packed, spec), vocabulary(spark, path)))
 
-def _joined(docs: DataFrame, path: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """The written chunks, and (of_chunk, place, ids) for each of their words."""
-    spec = open(path, encoding="utf-8").read()
-    chunks = _bucketed(chunked(docs, spec, text), "chunk")
-    placed = chunks.select("chunk", F.posexplode("words").alias("place", "word"))
-    return chunks.drop("words"), encoded_words(placed, spec)
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            return pa.Table.from_pylist([row(i, found) for chunk in left.to_pylist() for i, found in _texts_of(chunk, right)], schema=schema)
+
+        return materialise(chunks.drop("words").groupBy("chunk").cogroup(back.groupBy("of_chunk")).applyInArrow(run, kinds), "coded")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def _by_place(words: pa.Table) -> list[bytes]:
-    """ids of a chunk's words in the order of their places."""
-    order = np.argsort(words.column("place").to_numpy())
-    return words.column("ids").combine_chunks().take(pa.array(order)).to_pylist()
+def _ids(found: list) -> np.ndarray:
+    return np.frombuffer(b"".join([f[0] for f in found]), "<i4")
+
+
+def _spelled(found: list) -> str:
+    return " ".join([f[2] for f in found if f[2]])
 
 
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -192,18 +274,8 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     Special tokens that stand in a text are found as the library does; none are added.
     """
-    chunks, encoded = _joined(docs, path, text)
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, lists = [], []
-        by_place = _by_place(right) if right.num_rows else []
-        for chunk in left.to_pylist():
-            for i, found in _texts_of(chunk, by_place):
-                ids.append(i)
-                lists.append(np.frombuffer(b"".join(found), "<i4"))
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "ids": pa.array(lists, pa.list_(pa.int32()))})
-
-    return chunks.groupBy("chunk").cogroup(encoded.groupBy("of_chunk")).applyInArrow(run, "doc_id long, ids array<int>")
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    return _finished(docs, path, text, lambda i, found: {"doc_id": i, "ids": _ids(found)}, schema, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, pieces: DataFrame, id_column: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -222,61 +294,20 @@ def decode(encoded: DataFrame, pieces: DataFrame, id_column: str = "doc_id", ids
     return one.select(f"r.{id_column}", F.coalesce(joined, F.lit("")).alias("text"))
 
 
-def _with_pieces(words: list[bytes], known: dict[int, str]) -> list[tuple[bytes, str]]:
-    """Ids of each word, and the text of their pieces."""
-    return [(x, " ".join([known[i] for i in np.frombuffer(x, "<u4").tolist() if i in known])) for x in words]
-
-
-def _spelled(found: list[tuple[bytes, str]]) -> str:
-    return " ".join([f[1] for f in found if f[1]])
-
-
-def _shared_pieces(spark: SparkSession, path: str):
-    return spark.sparkContext.broadcast({r.id: r.piece for r in vocabulary(spark, path).collect()})
-
-
 def coded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """(doc_id, ids, decoded) of every row: its ids as ``encode`` gives them, and the text that they decode to."""
-    chunks, encoded = _joined(docs, path, text)
-    names = _shared_pieces(docs.sparkSession, path)
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        by_place = _with_pieces(_by_place(right) if right.num_rows else [], names.value)
-        doc_ids, lists, texts = [], [], []
-        for chunk in left.to_pylist():
-            for i, found in _texts_of(chunk, by_place):
-                doc_ids.append(i)
-                lists.append(np.frombuffer(b"".join([f[0] for f in found]), "<i4"))
-                texts.append(_spelled(found))
-        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array(lists, pa.list_(pa.int32())),
-                         "decoded": pa.array(texts, pa.string())})
-
-    return chunks.groupBy("chunk").cogroup(encoded.groupBy("of_chunk")).applyInArrow(run, "doc_id long, ids array<int>, decoded string")
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
+    return _finished(docs, path, text, lambda i, found: {"doc_id": i, "ids": _ids(found), "decoded": _spelled(found)}, schema,
+                     "doc_id long, ids array<int>, decoded string")
 
 
 def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row: encoded, and decoded again.
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row: encoded, and decoded again."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
-    The pieces of each word of a chunk are joined to its ids once, so that a text's decoding is a row of such pieces.
-    """
-    chunks, encoded = _joined(docs, path, text)
-    pieces = vocabulary(docs.sparkSession, path)
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = dict(zip(names.value["id"], names.value["piece"]))
-        ids = _by_place(right) if right.num_rows else []
-        # A word's ids, their number, and the text of their pieces.
-        entry = [(x, len(x) // 4, " ".join([known[i] for i in np.frombuffer(x, "<u4").tolist() if i in known])) for x in ids]
-        rows = []
-        for chunk in left.to_pylist():
-            for i, found in _texts_of(chunk, entry):
-                rows.append((i, sum([f[1] for f in found]), hashlib.sha256(b"".join([f[0] for f in found])).hexdigest(),
-                             hashlib.sha256(" ".join([f[2] for f in found if f[2]]).encode()).hexdigest()))
-        cols = list(zip(*rows)) if rows else [(), (), (), ()]
-        return pa.table({"doc_id": pa.array(cols[0], pa.int64()), "n_tokens": pa.array(cols[1], pa.int64()),
-                         "ids_sha256": pa.array(cols[2], pa.string()), "decoded_sha256": pa.array(cols[3], pa.string())})
-
-    table = pieces.toPandas()
-    names = docs.sparkSession.sparkContext.broadcast({"id": table["id"].tolist(), "piece": table["piece"].tolist()})
-    return chunks.groupBy("chunk").cogroup(encoded.groupBy("of_chunk")).applyInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def row(i: int | None, found: list) -> dict:
+        ids = b"".join([f[0] for f in found])
+        return {"doc_id": i, "n_tokens": len(ids) // 4, "ids_sha256": hashlib.sha256(ids).hexdigest(),
+                "decoded_sha256": hashlib.sha256(_spelled(found).encode()).hexdigest()}
+
+    return _finished(docs, path, text, row, schema, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

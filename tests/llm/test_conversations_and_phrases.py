@@ -312,14 +312,3 @@ def test_thresholds_fall_until_enough_survive(spark, monkeypatch):
 def test_phrases_of_nothing(spark):
     df = spark.createDataFrame([(1, None, None, "x", 1, 2)], DOCS)
     assert phrases.phrases(df).count() == 0 and phrases.phrases(df.limit(0)).count() == 0
-
-
-@pytest.mark.parametrize("name", ["op12_chat", "op13_phrases"])
-def test_queries_against_sql(spark, name):
-    con = duckdb.connect()
-    for t in ("conversations", "documents"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF_DIR}/{t}.parquet'")
-    want = con.execute(queries.ORACLE[name]).fetchall()
-    df = queries.QUERIES[name](spark, SF_DIR)
-    assert df.columns == [c[0] for c in con.execute(queries.ORACLE[name]).description]
-    assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, want)) and want

@@ -394,7 +394,7 @@ def test_bpe_as_the_library_does(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("pages", "embeddings"):
+    for t in ("pages", "embeddings", "documents", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_DIR}/{t}.parquet')")
     got = queries.QUERIES[name](spark, SF_DIR)
     want = con.execute(queries.ORACLE[name])

@@ -1,17 +1,13 @@
 """Links left between components: found by exact prefixes, with rows in proportion to the documents."""
 
-import os
 import random
 
-import duckdb
 import pytest
 
-from sijill.llm import near_dups, queries
+from sijill.llm import near_dups
 from sijill.llm.text import importable
 from sijill.session import materialise
 
-SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-
 
 @pytest.fixture(scope="module", autouse=True)
 def shipped(spark):
@@ -85,10 +81,3 @@ def test_one_line_in_all_documents(spark):
     assert len(out) == 300 and all(r.kept for r in out)
     placed, _, kept = tables(spark, texts, range(300))
     assert near_dups._meetings(near_dups._prefixes(near_dups._shingled(placed, kept), 85), 85).count() == 0
-
-
-def test_near_duplicates_query_against_sql(spark):
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF_DIR}/documents.parquet'")
-    want = con.execute(queries.ORACLE["op4_near_duplicates"]).fetchall()
-    assert sorted(map(tuple, queries.op4_near_duplicates(spark, SF_DIR).collect())) == sorted(want)
