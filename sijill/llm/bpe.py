@@ -18,6 +18,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ from tokenizers import Tokenizer
 from sijill.session import materialise, shared_folder
 
 RARE = 255           # a chunk's words from this rank on take more than a byte in its texts
+RANKED = 1 << 16     # a chunk's words that are ranked by how common they are
 CHUNK = 16 << 20     # characters of the texts of a chunk, unless one text is longer
 PARTS = (64, 4_096)  # fewest and most parts of the table of words
 
@@ -100,23 +102,29 @@ def _part_of(word: str, parts: int) -> int:
 
 
 def _packed(chunk: int, ids: list, texts: list[np.ndarray], places: _Places, parts: int) -> dict:
-    """A chunk: its texts as ranks of words, the commonest first, and its words by part and in order; ``at`` leads from one to the other."""
+    """A chunk: its texts as ranks of words, and its words by part and in order; ``at`` leads from one to the other, as differences.
+
+    The commonest words have the first ranks, all others follow as they stand in the lists.
+    """
     flat = np.concatenate(texts) if texts else np.zeros(0, np.uint32)
+    placed = sorted((_part_of(w, parts), w, p) for w, p in places.items())
+    position = np.empty(len(placed), np.int32)
+    position[np.fromiter((p for _, _, p in placed), np.int64, len(placed))] = np.arange(len(placed), dtype=np.int32)
     order = np.argsort(-np.bincount(flat, minlength=len(places)), kind="stable")
+    rest = order[RANKED:]
+    order = np.concatenate([order[:RANKED], rest[np.argsort(position[rest])]])
     rank = np.empty(len(places), np.uint32)
     rank[order] = np.arange(len(places), dtype=np.uint32)
     flat = rank[flat]
     # A byte per word for the commonest; rarer ones go on in planes of their own. Each plane compresses well.
     rare = flat[flat >= RARE] - np.uint32(RARE)
     planes = {"first": np.minimum(flat, RARE).astype(np.uint8), "low": (rare & 0xFF).astype(np.uint8),
-              "mid": (rare >> 8 & 0xFF).astype(np.uint8), "high": (rare >> 16).astype(np.uint16)}
-    placed = sorted((_part_of(w, parts), w, p) for w, p in places.items())
-    at = np.empty(len(placed), np.uint32)
-    at[rank[np.fromiter((p for _, _, p in placed), np.int64, len(placed))]] = np.arange(len(placed), dtype=np.uint32)
+              "mid": (rare >> 8 & 0xFF).astype(np.uint8), "high": (rare >> 16).astype(np.uint16),
+              "at": np.diff(position[order], prepend=np.int32(0))}
     lists: list[list[str]] = [[] for _ in range(parts)]
     for part, word, _ in placed:
         lists[part].append(word)
-    return {"chunk": chunk, "doc_ids": ids, "sizes": list(map(len, texts)), "at": _pack(at.tobytes()),
+    return {"chunk": chunk, "doc_ids": ids, "sizes": list(map(len, texts)),
             "words": [_pack("\n".join(x).encode()) if x else None for x in lists], **{k: _pack(v.tobytes()) for k, v in planes.items()}}
 
 
@@ -147,67 +155,75 @@ def chunked(docs: DataFrame, text: str = "text", parts: int = PARTS[0]) -> DataF
     return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("_text")).mapInArrow(run, _CHUNK)
 
 
+_NUMBERED = pa.schema([("part", pa.int32()), ("k", pa.int32()), ("ids", pa.list_(pa.int32())), ("chunk", pa.int64()), ("refs", pa.binary())])
+
+
 def encoded_words(packed: DataFrame, spec: str) -> DataFrame:
-    """(part, word, ids): the table of distinct words, each encoded once, from lists of words (part, packed)."""
+    """(part, k, ids, chunk, refs) of lists of words (chunk, part, packed): the table of distinct words, and the lists as numbers in it.
+
+    A word gets a row with its number ``k`` in its part and its ids before the first list that has it, and is encoded only there. A
+    list's row has its chunk and ``refs``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, seen = None, set()
+        current, known = None, _Places()
         for b in batches:
-            for part, data in zip(b.column("part").to_pylist(), b.column("packed")):
+            for chunk, part, data in zip(b.column("chunk").to_pylist(), b.column("part").to_pylist(), b.column("packed")):
                 if part != current:
-                    current, seen = part, set()
-                new = [w for w in _unpack(data.as_py()).decode().split("\n") if w not in seen]
-                seen.update(new)
+                    current, known = part, _Places()
+                words, before = _unpack(data.as_py()).decode().split("\n"), len(known)
+                new = [w for w in words if w not in known]
+                refs = np.fromiter(map(known.__getitem__, words), np.uint32, len(words))
                 ids = [e.ids for e in _tokenizer(spec).encode_batch(new, add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([pa.array([part] * len(new), pa.int32()), pa.array(new, pa.string()),
-                                                  pa.array(ids, pa.list_(pa.int32()))], ["part", "word", "ids"])
+                n = len(new)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([part] * (n + 1), pa.int32()), pa.array([*range(before, before + n), None], pa.int32()),
+                    pa.array([*ids, None], pa.list_(pa.int32())), pa.array([None] * n + [chunk], pa.int64()),
+                    pa.array([None] * n + [_pack(refs.tobytes())], pa.binary())], schema=_NUMBERED)
 
-    rows = packed.select("part", "packed").repartition("part").sortWithinPartitions("part")
-    return rows.mapInArrow(run, "part int, word string, ids array<int>")
+    rows = packed.select("chunk", "part", "packed").repartition("part").sortWithinPartitions("part", "chunk")
+    return rows.mapInArrow(run, "part int, k int, ids array<int>, chunk long, refs binary")
 
 
-def spelled_words(words: DataFrame, pieces: DataFrame) -> DataFrame:
-    """(part, word, ids, spelled): each distinct word's ids joined with their pieces, which are a vocabulary and so bounded.
+def spelled_lists(numbered: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(of_chunk, part, wide, sizes, ids, spelled): what the words of each list have, in their order.
 
-    Ids without a piece are left out of ``spelled``, where a blank stands between two pieces.
+    Each distinct word's ids are joined with their pieces, a vocabulary and so bounded. Neither that nor the numbering moves rows, so
+    a part's words stand before the lists that name them. Ids without a piece are left out of ``spelled``, where a blank stands between two.
     """
-    each = words.select("part", "word", F.posexplode("ids").alias("pos", "id")).join(F.broadcast(pieces), "id", "left")
-    found = each.groupBy("part", "word").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "piece"))).alias("x"))
-    return found.select("part", "word", F.transform("x", lambda x: x["id"]).alias("ids"),
-                        F.array_join(F.transform("x", lambda x: x["piece"]), " ").alias("spelled"))
-
-
-def _returned(packed: DataFrame, table: DataFrame) -> DataFrame:
-    """(of_chunk, part, sizes, ids, spelled): what the table has for the words of each packed list, in their order.
-
-    The table's rows of a part come first, then the lists of that part one by one, so only a part of the table is held.
-    """
-    none = lambda **kinds: [F.lit(None).cast(k).alias(n) for n, k in kinds.items()]
-    rows = table.select("part", "word", "ids", "spelled", *none(chunk="long", packed="binary")).unionByName(
-        packed.select("part", *none(word="string", ids="array<int>", spelled="string"), "chunk", "packed"))
+    each = numbered.select("part", "k", "chunk", "refs", F.posexplode_outer("ids").alias("pos", "id")).join(F.broadcast(pieces), "id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, known = None, {}
+        current, ids, spelled = None, [], []
         for b in batches:
             out = []
-            words, lists = b.column("word").to_pylist(), b.column("ids")
-            for k, (part, word, spelled, chunk, data) in enumerate(zip(b.column("part").to_pylist(), words, b.column("spelled").to_pylist(),
-                                                                       b.column("chunk").to_pylist(), b.column("packed"))):
+            for part, k, i, piece, chunk, refs in zip(*[b.column(n).to_pylist() for n in ("part", "k", "id", "piece", "chunk", "refs")]):
                 if part != current:
-                    current, known = part, {}
-                if word is not None:
-                    known[word] = (lists[k].values.to_numpy().astype("<u4").tobytes(), spelled)
+                    current, ids, spelled = part, [], []
+                if k is None:
+                    out.append({"of_chunk": chunk, "part": part, **_list_of(np.frombuffer(_unpack(refs), np.uint32).tolist(), ids, spelled)})
                     continue
-                found = [known.get(w, (b"", "")) for w in _unpack(data.as_py()).decode().split("\n")]
-                ids = np.frombuffer(b"".join([f[0] for f in found]), "<u4")
-                small = ids.astype("<u2") if not len(ids) or ids.max() < 1 << 16 else ids
-                out.append({"of_chunk": chunk, "part": part, "wide": small.itemsize,
-                            "sizes": _pack(np.array([len(f[0]) // 4 for f in found], "<u4").tobytes()),
-                            "ids": _pack(small.tobytes()), "spelled": _pack("\n".join([f[1] for f in found]).encode())})
+                if k == len(ids):
+                    ids.append([])
+                    spelled.append("")
+                elif k != len(ids) - 1:
+                    raise ValueError("words of a part are out of order")
+                if i is not None:
+                    ids[k].append(i)
+                if piece:
+                    spelled[k] = f"{spelled[k]} {piece}" if spelled[k] else piece
             yield pa.RecordBatch.from_pylist(out, schema=_RETURNED)
 
-    placed = rows.repartition("part").sortWithinPartitions("part", F.asc_nulls_first("chunk"))
-    return placed.mapInArrow(run, "of_chunk long, part int, wide int, sizes binary, ids binary, spelled binary")
+    return each.select("part", "k", "id", "piece", "chunk", "refs").mapInArrow(
+        run, "of_chunk long, part int, wide int, sizes binary, ids binary, spelled binary")
+
+
+def _list_of(refs: list[int], ids: list[list[int]], spelled: list[str]) -> dict:
+    found = [ids[r] for r in refs]
+    flat = np.fromiter(chain.from_iterable(found), np.uint32)
+    small = flat.astype("<u2") if not len(flat) or flat.max() < 1 << 16 else flat
+    return {"wide": small.itemsize, "sizes": _pack(np.array([len(x) for x in found], "<u4").tobytes()), "ids": _pack(small.tobytes()),
+            "spelled": _pack("\n".join([spelled[r] for r in refs]).encode())}
 
 
 _RETURNED = pa.schema([("of_chunk", pa.int64()), ("part", pa.int32()), ("wide", pa.int32()), ("sizes", pa.binary()), ("ids", pa.binary()),
@@ -231,7 +247,7 @@ def _texts_of(chunk: dict, lists: pa.Table) -> Iterator[tuple[int | None, list]]
     ranks, low, mid, high = (np.frombuffer(_unpack(chunk[k]), kind).astype(np.uint32)
                              for k, kind in (("first", np.uint8), ("low", np.uint8), ("mid", np.uint8), ("high", np.uint16)))
     ranks[ranks == RARE] = (low | mid << 8 | high << 16) + np.uint32(RARE)
-    by_rank, start = _entries(lists, np.frombuffer(_unpack(chunk["at"]), np.uint32)), 0
+    by_rank, start = _entries(lists, np.cumsum(np.frombuffer(_unpack(chunk["at"]), np.int32))), 0
     for i, size in zip(chunk["doc_ids"], chunk["sizes"]):
         yield i, [by_rank[p] for p in ranks[start:start + size].tolist()]
         start += size
@@ -251,7 +267,7 @@ def _finished(docs: DataFrame, path: str, text: str, row: Callable[[int | None,
     try:
         chunks = spark.table(name)
         packed = chunks.select("chunk", F.posexplode("words").alias("part", "packed")).where("packed is not null")
-        back = _returned(packed, spelled_words(encoded_words(packed, spec), vocabulary(spark, path)))
+        back = spelled_lists(encoded_words(packed, spec), vocabulary(spark, path))
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             return pa.Table.from_pylist([row(i, found) for chunk in left.to_pylist() for i, found in _texts_of(chunk, right)], schema=schema)
