@@ -6,10 +6,9 @@ a band, and documents that agree in a band are candidates. The share of equal re
 compression makes by chance, estimates the similarity; what is near enough is verified on the full sets.
 
 A set is one representative, whoever owns it: its number, in the order of the smallest ids that own a set. Ids that own several sets
-link these, and rows without an id own their sets like any other. Candidates come in three steps, so that a large group does not
+link these, and rows without an id own their sets like any other. Candidates come in two steps, so that a large group does not
 make all its pairs: every member of a band's bucket against the bucket's smallest number, then, in buckets that still hold
-several components, against a few members drawn from it, and last what is left in different components, by the rarest shingles that
-two sets so similar must share.
+several components, what is left in different ones, by the rarest shingles that two sets so similar must share.
 """
 
 from __future__ import annotations
@@ -33,7 +32,6 @@ REGISTERS = ROWS * BANDS
 MANTISSA = 3              # bits kept after the leading one
 ZEROS = 30                # largest count of leading zeros that is told apart
 RANDOM_STEPS = 64         # tries of an empty bucket before it walks
-HUBS = 4                  # members of a bucket that all its others are compared with before the pairs across components
 HOT_ROWS = 200_000        # rows of a key with registers that one task takes
 HOT_TEXTS = 20_000        # and with texts
 HOT_MEETING = 2_000       # and members of a shingle that meet others
@@ -212,15 +210,6 @@ def _placed(shared: DataFrame, found: DataFrame) -> DataFrame:
     return materialise(spread_join(rows, mixed, ["key"], "inner", ["rep"]), "mixed-buckets")
 
 
-def _to_hubs(placed: DataFrame, asked: DataFrame) -> DataFrame:
-    """Pairs of every member of a bucket with a few members drawn from it, where their components differ."""
-    drawn = [F.min_by(F.struct("rep", "component"), F.xxhash64("rep", F.lit(seed))) for seed in range(HUBS)]
-    hubs = placed.groupBy("key").agg(F.array_distinct(F.array(*drawn)).alias("hubs"))
-    rows = spread_join(placed, hubs, ["key"], "inner", ["rep"]).select("rep", F.explode(F.filter("hubs", lambda h: h["component"] != F.col("component"))).alias("h"))
-    pairs = rows.select(F.least("rep", "h.rep").alias("a"), F.greatest("rep", "h.rep").alias("b")).distinct()
-    return pairs.join(asked, ["a", "b"], "left_anti")
-
-
 _SHINGLED = pa.schema([("rep", pa.int64()), ("component", pa.int64()), ("n", pa.int64()), ("h", pa.int64())])
 
 
@@ -342,13 +331,9 @@ def named_near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text"
     same_id = known.join(repeated.select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b"))
     links = materialise(_verified(likely, texts, percent).unionByName(same_id), "links")
     found = components(links)
-    drawn_pairs = materialise(_to_hubs(_placed(shared, found), asked), "asked")
-    for step in (lambda: _verified(_near(drawn_pairs, reps, percent / 100), texts, percent),
-                 lambda: _across(_placed(shared, found), reps, texts, percent)):
-        more = materialise(step(), "links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            found = components(links)
+    more = materialise(_across(_placed(shared, found), reps, texts, percent), "links")
+    if not more.isEmpty():
+        found = components(links.unionByName(more))
     # A component's smallest number belongs to its smallest id, or to a set without one if it has none.
     label = sets.select(F.col("rep").alias("component"), F.col("own_id").alias("component_id"))
     ids = Lookup(materialise(label.join(found.select("component").distinct(), "component", "left_semi"), "component-ids"))
