@@ -145,3 +145,9 @@ QUERIES["ordinal_slice_deep"] = lambda spark, sf_dir: entry_slice(
     _entries(spark, sf_dir), 5001, 9000, ["n", "o_orderkey"]).select("position", "n", "o_orderkey", "heading")
 ORACLE["ordinal_slice_deep"] = f"""
 WITH {_ENTRIES} SELECT position, CAST(n AS INTEGER) AS n, o_orderkey, heading FROM placed WHERE position BETWEEN 5001 AND 9000"""
+
+QUERIES["ordinal_slice_ties"] = lambda spark, sf_dir: entry_slice(
+    table(spark, sf_dir, "orders").select(F.expr("nullif(o_custkey % 40, 7)").alias("n"), "o_orderstatus"), 201, 900, ["n"]).select("position", "n")
+ORACLE["ordinal_slice_ties"] = """
+WITH placed AS (SELECT nullif(o_custkey % 40, 7) AS n, row_number() OVER (ORDER BY nullif(o_custkey % 40, 7) NULLS FIRST) AS position FROM orders)
+SELECT position, n FROM placed WHERE position BETWEEN 201 AND 900"""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.data import (PEOPLE, WORKS, scholars, sql_cell, sql_excerpt, sql_fold, sql_list, sql_snippet, table, works)
@@ -9,6 +12,8 @@ from sijill.functions.names import department_parts, display_name, display_names
 from sijill.functions.text import excerpt, has_text, snippet
 from sijill.operators.bibliography import citations, filter_works, linked_scholars, with_label, with_slugs
 from sijill.operators.records import WORK_COLUMNS, compact_rows
+from sijill.operators.search import search_titles, write_search_index
+from sijill.session import shared_path
 from sijill.sinks.exports import BOM, work_bibtex, work_csv, work_json, work_ris
 from sijill.values import SCHOOLS, WORK_TYPES
 
@@ -86,6 +91,21 @@ SELECT id, title FROM works, queries
 WHERE contains({sql_fold('title')}, {sql_fold('q')}) OR contains({sql_fold('translation')}, {sql_fold('q')})"""
 
 
+def title_search_index(spark, sf_dir):
+    """Four searches of one index: several words, a rare sequence, two letters, and letters that no title has in a row."""
+    folder = shared_path(spark, "search-index")
+    write_search_index(works(spark, sf_dir), folder, buckets=16)
+    return reduce(DataFrame.unionByName, [search_titles(spark, folder, q).select("id", F.lit(q).alias("query")) for q in _SEARCHES])
+
+
+_SEARCHES = ["İLMİ SRC1", "the THAT", "th", "zzqzz"]
+QUERIES["title_search_index"] = title_search_index
+ORACLE["title_search_index"] = f"""
+WITH {WORKS}, queries AS (SELECT unnest({_SEARCHES}) AS q)
+SELECT DISTINCT id, q AS query FROM works, queries
+WHERE contains({sql_fold('title')}, {sql_fold('q')}) OR contains({sql_fold('translation')}, {sql_fold('q')})"""
+
+
 # --- references and labels ------------------------------------------------------
 
 _FORMS = [("B0", "en", "First {page}.", "Short {page}.", "Book zero."), ("B0", "fr", "Premier {page}.", "Court {page}.", "Livre zéro."),

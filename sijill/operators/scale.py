@@ -122,13 +122,14 @@ def _number_slices(df: DataFrame, keys: list[str], order: list[str], name: str,
     return joined.select(*df.columns, (F.col("_local") + F.col("_before")).cast("bigint").alias(name))
 
 
-def _slices(rows: int, slice_rows: int) -> int:
+def slices_of(rows: int, slice_rows: int) -> int:
+    """How many slices a table of so many rows is numbered in."""
     return min(-(-rows // slice_rows) or 1, MAX_SLICES)
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "n", slice_rows: int = HOT_ROWS) -> DataFrame:
     """Exact 1-based row numbers over the whole table; ``order`` must be a total order."""
-    return _number_slices(df, [], order, name, slices=_slices(df.count(), slice_rows))
+    return _number_slices(df, [], order, name, slices=slices_of(df.count(), slice_rows))
 
 
 def numbered_within(df: DataFrame, keys: list[str], order: list[str], name: str = "n",
@@ -140,7 +141,7 @@ def numbered_within(df: DataFrame, keys: list[str], order: list[str], name: str
         return df.withColumn(name, plain)
     flagged = _flag_hot(df, hot, keys)
     usual = flagged.where(~F.col("_hot")).drop("_hot").withColumn(name, plain)
-    slices = _slices(hot.agg(F.sum("_n")).first()[0], hot_rows)
+    slices = slices_of(hot.agg(F.sum("_n")).first()[0], hot_rows)
     large = _number_slices(flagged.where("_hot").drop("_hot"), keys, order, name, slices)
     return usual.unionByName(large)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -40,12 +41,17 @@ def shared_folder(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new name in the shared folder."""
+    return os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
@@ -53,6 +59,6 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     reads prune columns, and a lost executor costs a re-read instead of the lineage.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
+    path = shared_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

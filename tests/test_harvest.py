@@ -6,6 +6,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from sijill.operators import entries as entries_module
 from sijill.operators.entries import entry_slice, entry_text
 from sijill.operators.harvest import (cap_results, classify, correct_types, in_department, merge_feeds, publishable, recent,
                                       restricted_due, term_scores, unit_due, upsert, with_subjects)
@@ -185,6 +186,30 @@ def test_new_ids_avoid_published_ones_and_fields_the_feed_lacks_stay(spark):
     assert ids[9] == "abdulrazaq-1149-2026-1" and {r.yokId: r.city for r in out}[1] == "Van"
 
 
+@pytest.mark.parametrize("front", [10_000, 0])
+def test_a_slice_of_equal_keys_has_its_number_of_rows(spark, monkeypatch, front):
+    monkeypatch.setattr(entries_module, "FRONT", front)
+    rows = [(k, f"h{k}{c}", {"a": "b"}) for k in (3, 1, 2, None) for c in "abc"] + [(2, "same", None)] * 3
+    entries = spark.createDataFrame(rows, "n int, heading string, `odd.name` map<string, string>")
+    whole = sorted((r.position, r.n, r.heading) for r in entry_slice(entries, 1, 15, ["n"]).collect())
+    assert [p for p, _, _ in whole] == list(range(1, 16)) and [n for _, n, _ in whole] == [None] * 3 + [1] * 3 + [2] * 6 + [3] * 3
+    assert sorted(h for _, _, h in whole) == sorted(h for _, h, _ in rows)
+    for first, last in ((1, 3), (1, 2), (5, 5), (6, 13), (14, 40), (16, 20), (3, 2)):
+        part = sorted((r.position, r.n, r.heading) for r in entry_slice(entries, first, last, ["n"]).collect())
+        assert part == whole[first - 1:last]
+
+
+def test_a_ranked_table_reads_the_slices_it_needs(spark, out_dir):
+    entries = spark.range(5000).select((F.col("id") * 7 % 5000).cast("int").alias("n"), F.col("id").cast("string").alias("text"))
+    entries_module.write_ranked(entries, ["n"], out_dir + "/ranked", slice_rows=500)
+    part = entries_module.ranked_slice(spark, out_dir + "/ranked", ["n"], 1201, 1204)
+    assert sorted((r.position, r.n) for r in part.collect()) == [(1201 + k, 1200 + k) for k in range(4)]
+    files = {f for f in part.inputFiles() if "/rows/" in f}
+    slices = spark.read.parquet(out_dir + "/ranked/slices").count()
+    assert slices == 10 and "PartitionFilters" in part._jdf.queryExecution().toString() and len(files) >= 1
+    assert spark.read.parquet(out_dir + "/ranked/rows").where("_slice = 2").count() <= 1000
+
+
 def test_an_entry_slice_keeps_a_missing_key(spark):
     entries = spark.createDataFrame([(None, "a"), (2, "b"), (1, "c")], "n int, heading string")
     rows = entry_slice(entries, 1, 2, ["n"]).collect()
