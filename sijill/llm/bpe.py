@@ -11,6 +11,7 @@ white space only, and a pattern of words without white space or a look around. O
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import json
 import os
@@ -31,6 +32,8 @@ from tokenizers import Tokenizer
 
 from sijill.session import materialise, shared_folder
 
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+
 RARE = 255           # a chunk's words from this rank on take more than a byte in its texts
 RANKED = 1 << 16     # a chunk's words that are ranked by how common they are
 CHUNK = 16 << 20     # characters of the texts of a chunk, unless one text is longer
@@ -97,6 +100,14 @@ def _unpack(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def _released() -> None:
+    """Hand freed memory back: a worker goes on with other tasks, and what each step held would add up."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def _part_of(word: str, parts: int) -> int:
     return zlib.crc32(word.encode()) % parts
 
@@ -107,9 +118,13 @@ def _packed(chunk: int, ids: list, texts: list[np.ndarray], places: _Places, par
     The commonest words have the first ranks, all others follow as they stand in the lists.
     """
     flat = np.concatenate(texts) if texts else np.zeros(0, np.uint32)
-    placed = sorted((_part_of(w, parts), w, p) for w, p in places.items())
-    position = np.empty(len(placed), np.int32)
-    position[np.fromiter((p for _, _, p in placed), np.int64, len(placed))] = np.arange(len(placed), dtype=np.int32)
+    lists: list[list[str]] = [[] for _ in range(parts)]
+    for word in places:
+        lists[_part_of(word, parts)].append(word)
+    for words in lists:
+        words.sort()
+    position = np.empty(len(places), np.int32)
+    position[np.fromiter(map(places.__getitem__, chain.from_iterable(lists)), np.int64, len(places))] = np.arange(len(places), dtype=np.int32)
     order = np.argsort(-np.bincount(flat, minlength=len(places)), kind="stable")
     rest = order[RANKED:]
     order = np.concatenate([order[:RANKED], rest[np.argsort(position[rest])]])
@@ -121,9 +136,6 @@ def _packed(chunk: int, ids: list, texts: list[np.ndarray], places: _Places, par
     planes = {"first": np.minimum(flat, RARE).astype(np.uint8), "low": (rare & 0xFF).astype(np.uint8),
               "mid": (rare >> 8 & 0xFF).astype(np.uint8), "high": (rare >> 16).astype(np.uint16),
               "at": np.diff(position[order], prepend=np.int32(0))}
-    lists: list[list[str]] = [[] for _ in range(parts)]
-    for part, word, _ in placed:
-        lists[part].append(word)
     return {"chunk": chunk, "doc_ids": ids, "sizes": list(map(len, texts)),
             "words": [_pack("\n".join(x).encode()) if x else None for x in lists], **{k: _pack(v.tobytes()) for k, v in planes.items()}}
 
@@ -149,8 +161,11 @@ def chunked(docs: DataFrame, text: str = "text", parts: int = PARTS[0]) -> DataF
                 if size >= CHUNK:
                     yield pack()
                     n, ids, texts, places, size = n + 1, [], [], _Places(), 0
+                    _released()
         if ids:
             yield pack()
+        ids, texts, places = [], [], _Places()
+        _released()
 
     return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("_text")).mapInArrow(run, _CHUNK)
 
@@ -230,31 +245,33 @@ _RETURNED = pa.schema([("of_chunk", pa.int64()), ("part", pa.int32()), ("wide",
                        ("spelled", pa.binary())])
 
 
-def _entries(lists: pa.Table, at: np.ndarray) -> list[tuple[bytes, int, str]]:
-    """(ids, number of ids, pieces) of a chunk's words in the order of their ranks."""
-    found = []
-    for r in sorted(lists.to_pylist(), key=lambda r: r["part"]):
-        sizes = np.frombuffer(_unpack(r["sizes"]), "<u4")
-        ids = np.frombuffer(_unpack(r["ids"]), f"<u{r['wide']}").astype("<u4").tobytes()
-        ends = (np.cumsum(sizes) * 4).tolist()
-        spelled = _unpack(r["spelled"]).decode().split("\n")
-        found += zip([ids[i:j] for i, j in zip([0, *ends], ends)], sizes.tolist(), spelled)
-    return [found[i] for i in at.tolist()]
-
-
-def _texts_of(chunk: dict, lists: pa.Table) -> Iterator[tuple[int | None, list]]:
-    """(doc_id, entry of every word in order) of the chunk's texts."""
+def _texts_of(chunk: dict, lists: pa.Table) -> Iterator[tuple[int | None, np.ndarray, str]]:
+    """(doc_id, ids, pieces with a blank between two) of the chunk's texts, from what has come back for its words."""
     ranks, low, mid, high = (np.frombuffer(_unpack(chunk[k]), kind).astype(np.uint32)
                              for k, kind in (("first", np.uint8), ("low", np.uint8), ("mid", np.uint8), ("high", np.uint16)))
     ranks[ranks == RARE] = (low | mid << 8 | high << 16) + np.uint32(RARE)
-    by_rank, start = _entries(lists, np.cumsum(np.frombuffer(_unpack(chunk["at"]), np.int32))), 0
-    for i, size in zip(chunk["doc_ids"], chunk["sizes"]):
-        yield i, [by_rank[p] for p in ranks[start:start + size].tolist()]
-        start += size
-
-
-def _finished(docs: DataFrame, path: str, text: str, row: Callable[[int | None, list], dict], schema: pa.Schema, kinds: str) -> DataFrame:
-    """``row`` of every text and its words' entries. Written, so that nothing of the way there stays in the catalog.
+    del low, mid, high
+    at = np.cumsum(np.frombuffer(_unpack(chunk["at"]), np.int32))
+    sizes, ids, spelled = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], []
+    for k in np.argsort(lists.column("part").to_numpy()).tolist():
+        get = lambda n: lists.column(n)[k].as_py()  # noqa: E731, B023
+        sizes.append(np.frombuffer(_unpack(get("sizes")), "<u4").astype(np.int64))
+        ids.append(np.frombuffer(_unpack(get("ids")), f"<u{get('wide')}").astype("<i4"))
+        spelled += _unpack(get("spelled")).decode().split("\n")
+    sizes, ids = np.concatenate(sizes), np.concatenate(ids)
+    starts, sizes, spelled = (np.cumsum(sizes) - sizes)[at], sizes[at], [spelled[i] for i in at.tolist()]
+    begin = 0
+    for i, n in zip(chunk["doc_ids"], chunk["sizes"]):
+        words = ranks[begin:begin + n]
+        begin += n
+        lengths = sizes[words]
+        # Where each word's ids start, less the ids before it, plus a running number.
+        places = np.repeat(starts[words] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+        yield i, ids[places], " ".join([x for x in map(spelled.__getitem__, words.tolist()) if x])
+
+
+def _finished(docs: DataFrame, path: str, text: str, row: Callable[[int | None, np.ndarray, str], tuple], schema: pa.Schema, kinds: str) -> DataFrame:
+    """``row`` of every text's id, ids and decoded text. Written, so that nothing of the way there stays in the catalog.
 
     Chunks are written in buckets, as their texts need not move again when words come back.
     """
@@ -270,28 +287,28 @@ def _finished(docs: DataFrame, path: str, text: str, row: Callable[[int | None,
         back = spelled_lists(encoded_words(packed, spec), vocabulary(spark, path))
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            return pa.Table.from_pylist([row(i, found) for chunk in left.to_pylist() for i, found in _texts_of(chunk, right)], schema=schema)
+            columns: list[list] = [[] for _ in schema]
+            for chunk in left.to_pylist():
+                for found in _texts_of(chunk, right):
+                    for column, value in zip(columns, row(*found)):
+                        column.append(value)
+            made = pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+            columns.clear()
+            _released()
+            return made
 
         return materialise(chunks.drop("words").groupBy("chunk").cogroup(back.groupBy("of_chunk")).applyInArrow(run, kinds), "coded")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def _ids(found: list) -> np.ndarray:
-    return np.frombuffer(b"".join([f[0] for f in found]), "<i4")
-
-
-def _spelled(found: list) -> str:
-    return " ".join([f[2] for f in found if f[2]])
-
-
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """(doc_id, ids) of every row; a null or empty text has no ids. Rows that repeat are encoded each for itself.
 
     Special tokens that stand in a text are found as the library does; none are added.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    return _finished(docs, path, text, lambda i, found: {"doc_id": i, "ids": _ids(found)}, schema, "doc_id long, ids array<int>")
+    return _finished(docs, path, text, lambda i, ids, _: (i, ids), schema, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, pieces: DataFrame, id_column: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -313,17 +330,14 @@ def decode(encoded: DataFrame, pieces: DataFrame, id_column: str = "doc_id", ids
 def coded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """(doc_id, ids, decoded) of every row: its ids as ``encode`` gives them, and the text that they decode to."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
-    return _finished(docs, path, text, lambda i, found: {"doc_id": i, "ids": _ids(found), "decoded": _spelled(found)}, schema,
-                     "doc_id long, ids array<int>, decoded string")
+    return _finished(docs, path, text, lambda *found: found, schema, "doc_id long, ids array<int>, decoded string")
 
 
 def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row: encoded, and decoded again."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
-    def row(i: int | None, found: list) -> dict:
-        ids = b"".join([f[0] for f in found])
-        return {"doc_id": i, "n_tokens": len(ids) // 4, "ids_sha256": hashlib.sha256(ids).hexdigest(),
-                "decoded_sha256": hashlib.sha256(_spelled(found).encode()).hexdigest()}
+    def row(i: int | None, ids: np.ndarray, text: str) -> tuple:
+        return i, len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
 
     return _finished(docs, path, text, row, schema, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
