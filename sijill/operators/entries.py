@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sijill.operators.scale import HOT_ROWS, slices_of
+from sijill.operators.scale import HOT_ROWS, _slices
 from sijill.session import shared_path
 
 FRONT = 10_000  # a slice that ends by this position is the front of a sorted table, which needs no layout
@@ -31,7 +31,7 @@ def write_ranked(entries: DataFrame, order: list[str], folder: str, slice_rows:
     Equal keys are ordered by a hash of the whole row, so only equal rows are interchangeable. A missing key comes first.
     """
     spark, columns = entries.sparkSession, [*order, *_TIE]
-    slices = slices_of(entries.count(), slice_rows)
+    slices = _slices(entries.count(), slice_rows)
     placed = entries.select("*", *_identity(entries)).repartitionByRange(slices, *columns).withColumn("_slice", F.spark_partition_id())
     placed.sortWithinPartitions(*columns).write.partitionBy("_slice").parquet(os.path.join(folder, "rows"))
     placed.limit(0).coalesce(1).write.parquet(os.path.join(folder, "columns"))  # what an empty table leaves
