@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sijill.operators.scale import Lookup
+from sijill.operators.scale import Lookup, spread_join
 from sijill.session import materialise
 
 ALLOW, BLOCK = "allow", "block"
+HOT_ROWS = 100_000  # rows of one address that one task takes
 
 RULES = (("com/", ALLOW), ("example.com/en/", BLOCK), ("www.example.com/en/", ALLOW), ("net/es/", BLOCK), ("net/fr/", BLOCK))
 
@@ -76,7 +77,10 @@ def judged(pages: DataFrame, rules: DataFrame, url: str = "url", keep: tuple[str
     asked = distinct.withColumn("token", F.explode(F.concat(tokens(F.col("host"), F.col("path")), F.array(F.lit("")))))
     candidates = index.join(asked, ["token"], "inner", spread=["host", "path"])
     best = _longest(candidates.where(F.regexp_like(F.concat("host", "path"), F.col("pattern"))))
-    return rows.join(best, ["host", "path"], "left").select(
+    # Rows without a host fit nothing and meet nobody; a popular page is split over tasks.
+    known = spread_join(rows.where(F.col("host") != ""), best, ["host", "path"], "left", [*keep], HOT_ROWS)
+    nowhere = rows.where(F.coalesce(F.col("host") == "", F.lit(True))).withColumn("_rule", F.lit(None).cast(best.schema["_rule"].dataType))
+    return known.unionByName(nowhere).select(
         *keep, "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", F.lit(default)).alias("verdict"))
 
 
