@@ -104,14 +104,3 @@ def words(text: Column) -> Column:
     """Folded words of a text, in order."""
     # Letters, marks and digits make words in any script; plain ones are tested first.
     return F.array_remove(F.split(fold(F.coalesce(text, F.lit(""))), r"[^a-z0-9\p{L}\p{M}\p{N}]+"), "")
-
-
-def word_runs(tokens: Column, longest: int) -> Column:
-    """Each word with up to ``longest`` - 1 words after it; ``tokens`` should be a plain column."""
-    return F.transform(tokens, lambda w, i: F.slice(tokens, i + 1, longest))
-
-
-def beginnings(run: Column, longest: int) -> Column:
-    """The first word, the first two, … of a run as texts; shorter runs have fewer."""
-    sizes = F.sequence(F.lit(1), F.least(F.size(run), F.lit(longest)))
-    return F.transform(sizes, lambda n: F.array_join(F.slice(run, 1, n), " "))

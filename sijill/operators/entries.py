@@ -67,7 +67,7 @@ def entry_slice(entries: DataFrame, first: int, last: int, order: list[str]) ->
         return front.withColumn("position", position).where(F.col("position").between(first, last)).drop(*_TIE)
     folder = shared_path(entries.sparkSession, "ranked")
     write_ranked(entries, order, folder)
-    return ranked_slice(entries.sparkSession, folder, order, first, last).select(*entries.columns, "position")
+    return ranked_slice(entries.sparkSession, folder, order, first, last).select(*[f"`{c}`" for c in entries.columns], "position")
 
 
 def entry_text(entries: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sijill.functions.names import work_slug
-from sijill.functions.text import beginnings, fold, word_runs, words
+from sijill.functions.text import fold, words
 from sijill.operators.scale import HOT_ROWS, Lookup, first_per_group, key_or_own, numbered_within, spread_join
 from sijill.session import materialise
 from sijill.values import (OLDEST_YEAR, ORIGIN_HARVESTED, RESULTS_PER_QUERY, RESTRICTED_RECHECK_DAYS, STATUS_ACCEPTED,
@@ -94,27 +94,39 @@ def term_scores(feed: DataFrame, terms: DataFrame) -> DataFrame:
     """(id, category, score): weights of the terms found, each term once per field.
 
     ``terms`` is the rule table (category, field, term, weight) over the fields title, keywords and abstract; a
-    term is one or more words. Whole texts become words with those that follow, the ones that start a term become
-    word sequences, and those meet the terms in an equi-join; with a rule table that is broadcast only hits are shuffled.
+    term is one or more words. Of the feed's words only those of some term are kept, with their place. Each term is
+    filed under its word that occurs least in this feed; where that word stands, the term's other words are looked up at their places.
+    Null and empty texts have no words, terms without words find nothing, and rows that share an id add up their terms.
     """
-    spelled = terms.select("category", "field", F.array_join(words(F.col("term")), " ").alias("term"),
-                           F.col("weight").cast("decimal(18,3)").alias("weight"))
+    spelled = terms.select("category", "field", words(F.col("term")).alias("words"),
+                           F.col("weight").cast("decimal(18,3)").alias("weight")).where(F.size("words") > 0)
     # Spellings that fold to the same words are one term.
-    weighted = spelled.groupBy("category", "field", "term").agg(F.max("weight").alias("weight"))
-    lookup = Lookup(weighted)
-    longest = weighted.agg(F.max(F.size(F.split("term", " "))).alias("n")).first().n or 1
-    first_words = Lookup(weighted.select(F.split("term", " ")[0].alias("word")).distinct())
+    weighted = spelled.groupBy("category", "field", "words").agg(F.max("weight").alias("weight"))
+    known = weighted.select("field", "words").distinct()
+    vocabulary = Lookup(known.select("field", F.explode("words").alias("word")).distinct())
 
     fields = {"title": F.col("title"), "keywords": F.array_join("topics", " \n "), "abstract": F.col("abstract")}
     texts = F.explode(F.array(*[F.struct(F.lit(name).alias("field"), text.alias("text")) for name, text in fields.items()]))
-    # Words are a column of their own, so that a text is split once for all its sequences.
-    tokens = feed.select("id", texts.alias("t")).select("id", "t.field", words(F.col("t.text")).alias("tokens"))
-    placed = tokens.select("id", "field", F.posexplode(word_runs(F.col("tokens"), longest)).alias("pos", "run"))
-    starts = first_words.join(placed.withColumn("word", F.col("run")[0]), ["word"], "left_semi", spread=["id", "field", "pos"])
-    rows = starts.select("id", "field", "pos", F.explode(beginnings(F.col("run"), longest)).alias("term"))
-    hits = lookup.join(rows, ["field", "term"], "inner", spread=["id", "pos"])
-    once = hits.groupBy("id", "category", "field", "term").agg(F.max("weight").alias("weight"))
-    return once.groupBy("id", "category").agg(F.sum("weight").alias("score"))
+    # A number of its own keeps places of rows apart that share an id. An inner explode would have Spark test the words for
+    # emptiness first, splitting the text again for that.
+    tokens = feed.select("id", texts.alias("t")).select("id", "t.field", F.monotonically_increasing_id().alias("source"), words(F.col("t.text")).alias("tokens"))
+    rows = tokens.select("id", "field", "source", F.posexplode_outer("tokens").alias("pos", "word"))
+    marks = materialise(vocabulary.join(rows, ["field", "word"], "left_semi", spread=["id", "pos"]), "term-words")
+
+    often = marks.groupBy("field", "word").agg(F.count("*").alias("n"))
+    parts = known.select("*", F.posexplode("words").alias("at", "word"))
+    rarity = F.struct(F.coalesce("n", F.lit(0)), "at")
+    filed = parts.join(often, ["field", "word"], "left").groupBy("field", "words").agg(
+        F.min_by(F.struct("at", "word"), rarity).alias("anchor")).select("field", "words", "anchor.at", "anchor.word")
+    hits = Lookup(filed).join(marks, ["field", "word"], "inner", spread=["id", "pos"]).withColumn("start", F.col("pos") - F.col("at"))
+    alone = hits.where(F.size("words") == 1).select("id", "field", "words")
+    others = (hits.where(F.size("words") > 1).select("id", "field", "source", "start", "words", "at", F.posexplode("words").alias("k", "word"))
+              .where(F.col("k") != F.col("at")).withColumn("pos", F.col("start") + F.col("k")))
+    whole = (others.join(marks.select("source", "pos", "word"), ["source", "pos", "word"]).groupBy("id", "field", "source", "start", "words")
+             .agg(F.count("*").alias("n")).where(F.col("n") == F.size("words") - 1).select("id", "field", "words"))
+    once = alone.unionByName(whole).distinct()
+    return (Lookup(weighted).join(once, ["field", "words"], "inner", spread=["id"])
+            .groupBy("id", "category").agg(F.sum("weight").alias("score")))
 
 
 def classify(feed: DataFrame, patterns: list[str], terms: DataFrame, accept: float, review: float,
