@@ -24,12 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
     return n.select(
-        F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.struct(F.col("n_name").alias("tr")).alias("name"),
-        (F.col("n_regionkey") * F.lit(10.5)).alias("lat"), (F.col("n_nationkey") * F.lit(1.25)).alias("lng"))
+        F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"),
+        F.struct(F.col("n_name").alias("tr"), F.when(F.col("n_nationkey") % 4 != 0, _text("ar-", F.col("n_name"))).alias("ar")).alias("name"),
+        (F.col("n_regionkey") * F.lit(10.5)).alias("lat"), (F.col("n_nationkey") * F.lit(1.25)).alias("lng"),
+        F.when(F.col("n_nationkey") % 3 != 0, F.col("n_nationkey") % 2 == 0).alias("approx"))
 
 
 PLACES = """places AS (
-  SELECT 'n' || n_nationkey AS id, n_name AS name, n_regionkey * 10.5::DOUBLE AS lat, n_nationkey * 1.25::DOUBLE AS lng
+  SELECT 'n' || n_nationkey AS id, n_name AS name, n_regionkey * 10.5::DOUBLE AS lat, n_nationkey * 1.25::DOUBLE AS lng,
+    CASE WHEN n_nationkey % 4 <> 0 THEN 'ar-' || n_name ELSE n_name END AS ar, n_nationkey % 3 <> 0 AND n_nationkey % 2 = 0 AS approx
   FROM nation)"""
 
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from checks.data import BASE, EDGES, LIST_PAGE, PEOPLE, PLACES, mentions, places, scholars, sql_cell, sql_excerpt, sql_miladi, table
 from sijill.functions.text import summary_text
 from sijill.operators.graph import edges, flatten_links, matched_names, neighbours, student_ids, teacher_ids
-from sijill.operators.places import (bounding_boxes, century_places, gazetteer, itineraries, listed_places, place_lists,
+from sijill.operators.places import (bounding_boxes, century_places, gazetteer, itineraries, listed_places, map_points, place_lists,
                                      with_place)
 from sijill.operators.records import in_order, scholar_records
 from sijill.session import materialise
@@ -79,8 +80,10 @@ FROM (SELECT c_nationkey AS key, count(*) AS n, min(c_acctbal / 100) AS s, max(c
 
 
 def itinerary(spark, sf_dir):
-    rows = itineraries(place_lists(scholars(spark, sf_dir), gazetteer(places(spark, sf_dir))))
-    return rows.select("id", F.array_join("points.name", ";").alias("names"), F.array_join("points.role", ";").alias("roles"), F.size("points").alias("points"),
+    rows = itineraries(map_points(scholars(spark, sf_dir), gazetteer(places(spark, sf_dir))))
+    return rows.select("id", F.array_join("points.name", ";").alias("names"), F.array_join("points.role", ";").alias("roles"),
+                       F.array_join("points.nameAr", ";").alias("names_ar"), F.array_join(F.transform("points.approx", lambda a: a.cast("string")), ";").alias("approx"),
+                       F.size("points").alias("points"),
                        F.col("path").isNotNull().alias("has_path"), "labelled",
                        F.aggregate(F.coalesce("path", F.array().cast("array<array<double>>")), F.lit(0.0),
                                    lambda a, p: a + p[1]).alias("lng_sum"))
@@ -91,7 +94,8 @@ ORACLE["itinerary"] = f"""
 WITH {PEOPLE}, {PLACES}, listed AS (
   SELECT id, 0 AS pos, p0 AS place, 'nisbe' AS role FROM scholars WHERE p0 IS NOT NULL
   UNION ALL SELECT id, 1, p1, 'ders' FROM scholars WHERE p1 IS NOT NULL)
-SELECT l.id, string_agg(p.name, ';' ORDER BY pos) AS names, string_agg(CASE WHEN p.id IS NOT NULL THEN l.role END, ';' ORDER BY pos) AS roles, CAST(count(p.id) AS INTEGER) AS points, count(p.id) > 1 AS has_path,
+SELECT l.id, string_agg(p.name, ';' ORDER BY pos) AS names, string_agg(CASE WHEN p.id IS NOT NULL THEN l.role END, ';' ORDER BY pos) AS roles,
+  string_agg(p.ar, ';' ORDER BY pos) AS names_ar, string_agg(CAST(p.approx AS VARCHAR), ';' ORDER BY pos) AS approx, CAST(count(p.id) AS INTEGER) AS points, count(p.id) > 1 AS has_path,
   true AS labelled, CASE WHEN count(p.id) > 1 THEN sum(p.lng) ELSE 0.0 END AS lng_sum
 FROM listed l LEFT JOIN places p ON p.id = l.place GROUP BY l.id"""
 
@@ -140,17 +144,21 @@ FROM teacher_lists t FULL JOIN student_lists s USING (id, part)"""
 
 
 def positional_ref(spark, sf_dir):
-    known = mentions(spark, sf_dir).groupBy("id", "role", "idx").agg(F.min("other").alias("other"))
-    return matched_names(scholars(spark, sf_dir), known, "teachers")
+    # The mentions of an entry under a role are numbered from 0, so that each has a position of its own.
+    at = Window.partitionBy("id", "role").orderBy("idx", "other")
+    numbered = mentions(spark, sf_dir).withColumn("idx", F.row_number().over(at) - 1)
+    people = scholars(spark, sf_dir)
+    return (matched_names(people, numbered, "teachers").withColumn("role", F.lit("teachers"))
+            .unionByName(matched_names(people, numbered, "students").withColumn("role", F.lit("students"))))
 
 
 QUERIES["positional_ref"] = positional_ref
 ORACLE["positional_ref"] = f"""
 WITH {PEOPLE}, {EDGES}, names AS (
-  SELECT id, 0 AS idx, 'T' || k % 10 AS listed FROM scholars UNION ALL SELECT id, 1, 'T' || k % 11 FROM scholars
-  UNION ALL SELECT id, 2, 'T' || k % 12 FROM scholars),
-known AS (SELECT id, idx, min(other) AS ref FROM mentions WHERE role = 'teachers' GROUP BY id, idx)
-SELECT n.id, n.idx, n.listed, k.ref FROM names n LEFT JOIN known k ON k.id = n.id AND k.idx = n.idx"""
+  SELECT id, 'teachers' AS role, 0 AS idx, 'T' || k % 10 AS listed FROM scholars UNION ALL SELECT id, 'teachers', 1, 'T' || k % 11 FROM scholars
+  UNION ALL SELECT id, 'teachers', 2, 'T' || k % 12 FROM scholars UNION ALL SELECT id, 'students', 0, 'S' || k % 10 FROM scholars WHERE k % 2 = 0),
+known AS (SELECT id, role, row_number() OVER (PARTITION BY id, role ORDER BY idx, other) - 1 AS idx, other AS ref FROM mentions)
+SELECT n.id, n.role, n.idx, n.listed, k.ref FROM names n LEFT JOIN known k ON k.id = n.id AND k.role = n.role AND k.idx = n.idx"""
 
 
 # --- records --------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sijill.operators.scale import HOT_ROWS, PAGE, paged_lists
+from sijill.operators.scale import HOT_ROWS, PAGE, paged_lists, paged_sides
 
 # Edges are ordered by the entry that mentions them, teachers before students, then list position.
 EDGE_ORDER = ["source", "role_rank", "idx"]
@@ -58,11 +58,15 @@ def student_ids(edge_rows: DataFrame, page: int = PAGE, hot_rows: int = HOT_ROWS
 
 
 def neighbours(edge_rows: DataFrame, page: int = PAGE, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(id, part, teacher_ids, student_ids) of every node, also of nodes without a record."""
-    both = teacher_ids(edge_rows, page, hot_rows).join(student_ids(edge_rows, page, hot_rows), ["id", "part"], "full_outer")
-    none = F.array().cast("array<string>")
-    return both.select("id", "part", F.coalesce("teacher_ids", none).alias("teacher_ids"),
-                       F.coalesce("student_ids", none).alias("student_ids"))
+    """(id, part, teacher_ids, student_ids) of every node, also of nodes without a record.
+
+    Each edge goes to both its ends, and both lists of a node come out of one grouping.
+    """
+    teacher, student = F.col("teacher"), F.col("student")
+    ends = F.array(*[F.struct(node.alias("id"), F.lit(side).alias("side"), other.alias("other"), *EDGE_ORDER)
+                     for side, (node, other) in enumerate([(student, teacher), (teacher, student)])])
+    rows = edge_rows.select(F.explode(ends).alias("e")).select("e.*")
+    return paged_sides(rows, ["id"], [*EDGE_ORDER, "other"], "other", ["teacher_ids", "student_ids"], page, hot_rows)
 
 
 def neighbours_of(edge_rows: DataFrame, node: str, page: int = PAGE, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -74,8 +78,8 @@ def neighbours_of(edge_rows: DataFrame, node: str, page: int = PAGE, hot_rows: i
 def matched_names(scholars: DataFrame, mentions: DataFrame, role: str) -> DataFrame:
     """Names an entry lists under ``role`` with the entry each one refers to, when matched.
 
-    ``idx`` counts from 0 as in the links.
+    ``idx`` counts from 0 as in the links. Where repeated links name several entries for one position, the least id holds.
     """
     names = scholars.select("id", F.posexplode(role).alias("idx", "listed"))
-    known = mentions.where(F.col("role") == role).select("id", "idx", F.col("other").alias("ref"))
+    known = mentions.where(F.col("role") == role).groupBy("id", "idx").agg(F.min("other").alias("ref"))
     return names.join(known, ["id", "idx"], "left")

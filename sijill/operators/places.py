@@ -11,8 +11,9 @@ from sijill.values import BOX_PADDING, LABELLED_POINTS
 
 
 def gazetteer(places: DataFrame) -> Lookup:
-    """(place, place_name, lat, lng) from the places collection."""
-    return Lookup(places.select(F.col("id").alias("place"), F.col("name")["tr"].alias("place_name"), "lat", "lng"))
+    """(place, place_name, place_ar, lat, lng, uncertain) from the places collection."""
+    return Lookup(places.select(F.col("id").alias("place"), F.col("name")["tr"].alias("place_name"), F.col("name")["ar"].alias("place_ar"),
+                                "lat", "lng", F.coalesce("approx", F.lit(False)).alias("uncertain")))
 
 
 def _place() -> Column:
@@ -28,26 +29,40 @@ def with_place(df: DataFrame, key: Column, name: str, places: Lookup, spread: li
 
 
 def listed_places(scholars: DataFrame, places: Lookup) -> DataFrame:
-    """One row (id, pos, place, role) per place of a record."""
+    """One row (id, pos, place, name, nameAr, lat, lng, approx, role) per place of a record.
+
+    A place the gazetteer lacks goes by its id; without an Arabic name it keeps the other one.
+    """
     rows = scholars.select("id", F.posexplode("places").alias("pos", "_entry")).select(
         "id", "pos", F.col("_entry")["place"].alias("place"), F.col("_entry")["role"].alias("role"))
     found = places.join(rows, ["place"], "left", spread=["id", "pos"])
-    return found.select("id", "pos", "place", F.coalesce("place_name", "place").alias("name"), "lat", "lng", "role")
+    return found.select("id", "pos", "place", F.coalesce("place_name", "place").alias("name"),
+                        F.coalesce("place_ar", "place_name", "place").alias("nameAr"), "lat", "lng",
+                        F.coalesce("uncertain", F.lit(False)).alias("approx"), "role")
 
 
 PLACES_TYPE = "array<struct<id:string,name:string,lat:double,lng:double,role:string>>"
 
 
-def place_lists(scholars: DataFrame, places: Lookup) -> DataFrame:
-    """(id, places): the record's own place list, in order, with names and coordinates.
+def _lists(scholars: DataFrame, places: Lookup, fields: list[str]) -> DataFrame:
+    """(id, places) with these fields of each place, in order.
 
     A list is put together again from the elements of one record, so it is as long as that record's.
     """
-    entry = F.struct("pos", F.col("place").alias("id"), "name", "lat", "lng", "role")
-    lists = listed_places(scholars, places).groupBy("id").agg(F.array_sort(F.collect_list(entry)).alias("_l"))
-    return lists.select("id", F.transform("_l", lambda e: F.struct(
-        e["id"].alias("id"), e["name"].alias("name"), e["lat"].alias("lat"), e["lng"].alias("lng"),
-        e["role"].alias("role"))).cast(PLACES_TYPE).alias("places"))
+    rows = listed_places(scholars, places).withColumnRenamed("id", "record").withColumnRenamed("place", "id")
+    lists = rows.groupBy("record").agg(F.array_sort(F.collect_list(F.struct("pos", *fields))).alias("_l"))
+    return lists.select(F.col("record").alias("id"),
+                        F.transform("_l", lambda e: F.struct(*[e[f].alias(f) for f in fields])).alias("places"))
+
+
+def place_lists(scholars: DataFrame, places: Lookup) -> DataFrame:
+    """(id, places): the record's own place list, in order, with names and coordinates."""
+    return _lists(scholars, places, ["id", "name", "lat", "lng", "role"]).withColumn("places", F.col("places").cast(PLACES_TYPE))
+
+
+def map_points(scholars: DataFrame, places: Lookup) -> DataFrame:
+    """(id, places): the places of a record as a map marks them, with both names and whether their site is uncertain."""
+    return _lists(scholars, places, ["id", "name", "nameAr", "lat", "lng", "approx", "role"])
 
 
 def century_places(scholars: DataFrame, places: Lookup) -> DataFrame:
@@ -74,11 +89,11 @@ def bounding_boxes(points: DataFrame, key: str, padding: float = BOX_PADDING) ->
 def itineraries(place_rows: DataFrame, places_column: str = "places") -> DataFrame:
     """Points of a record's place list in order; a path only from two points on, labels up to four.
 
-    A point has its name, coordinates and role.
+    ``place_rows`` has lists as of ``map_points``: a point has both its names, coordinates, whether they are uncertain, and its role.
     """
     located = F.filter(places_column, lambda p: p["lat"].isNotNull() & p["lng"].isNotNull())
-    points = F.transform(located, lambda p: F.struct(p["name"].alias("name"), p["lat"].alias("lat"), p["lng"].alias("lng"),
-                                                       p["role"].alias("role")))
+    fields = ["name", "nameAr", "lat", "lng", "approx", "role"]
+    points = F.transform(located, lambda p: F.struct(*[p[f].alias(f) for f in fields]))
     return place_rows.select("id", points.alias("points")).select(
         "id", "points",
         F.when(F.size("points") > 1, F.transform("points", lambda p: F.array(p["lat"], p["lng"]))).alias("path"),

@@ -4,14 +4,14 @@
 * ``spread_join``     equi-join with hot and missing keys spread over many tasks
 * ``numbered_within`` exact row numbers per group, hot groups split over slices
 * ``numbered``        exact row numbers over a whole table
-* ``paged_lists``     ordered lists in pages of a fixed size, never one list per hot group
+* ``paged_lists``     ordered lists in pages of a fixed size, never one list per hot group; ``paged_sides`` makes several at once
 * ``first_per_group`` the first n rows per group, cut down before the shuffle by group
 """
 
 from __future__ import annotations
 
 from functools import cached_property, reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,10 +35,16 @@ class Lookup:
         self.df, self._max_rows, self._max_bytes = df, max_rows, max_bytes
 
     @cached_property
+    def _seen(self):
+        return self.df.agg(F.count("*").alias("rows"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")).first()
+
+    @property
     def is_small(self) -> bool:
-        seen = self.df.agg(F.count("*").alias("rows"),
-                           F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")).first()
-        return seen.rows <= self._max_rows and (seen.bytes or 0) <= self._max_bytes
+        return self._seen.rows <= self._max_rows and (self._seen.bytes or 0) <= self._max_bytes
+
+    @property
+    def is_empty(self) -> bool:
+        return self._seen.rows == 0
 
     def join(self, rows: DataFrame, on: list[str], how: str = "left", spread: list[str] | None = None) -> DataFrame:
         """Join on equally named columns; ``spread`` names columns that tell rows apart."""
@@ -153,10 +159,39 @@ def paged_lists(df: DataFrame, keys: list[str], order: list[str], value: str, na
     A list has at most ``page`` entries. Part 0 is the whole list of nearly every group; a
     longer one goes on in part 1, 2, … and the parts in order are the whole list.
     """
-    ranked = numbered_within(df.select(*dict.fromkeys([*keys, *order, value])), keys, order, "_n", hot_rows)
-    paged = ranked.withColumn("part", F.floor((F.col("_n") - 1) / page).cast("int"))
-    entries = F.array_sort(F.collect_list(F.struct("_n", F.col(value).alias("_v"))))
-    return paged.groupBy(*keys, "part").agg(F.transform(entries, lambda e: e["_v"]).alias(name))
+    return paged_sides(df.withColumn("side", F.lit(0)), keys, order, value, [name], page, hot_rows)
+
+
+def paged_sides(df: DataFrame, keys: list[str], order: list[str], value: str, names: list[str],
+                page: int = PAGE, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Several lists per group at once, as rows (keys, part, lists); ``side`` tells, from 0, to which of ``names`` a row belongs.
+
+    Groups whose lists all fit into a page are put together by one grouping; only rows of longer ones are numbered. A
+    side without entries in a part is an empty list.
+    """
+    rows = df.select(*dict.fromkeys([*keys, "side", *order, value]))
+    counts = rows.groupBy(*keys).agg(*[F.count_if(F.col("side") == i).alias(f"_n{i}") for i in range(len(names))])
+    over = reduce(or_, [F.col(f"_n{i}") > page for i in range(len(names))])
+    long = Lookup(materialise(counts.where(over).select(*keys), "long-lists"))
+
+    def lists(part: DataFrame, place: list[str]) -> DataFrame:
+        entry = F.struct(*place, F.col(value).alias("_v"))
+        return part.groupBy(*keys, "part").agg(*[
+            F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == i, entry))), lambda e: e["_v"]).alias(n)
+            for i, n in enumerate(names)])
+
+    def numbered_lists(part: DataFrame) -> DataFrame:
+        ranked = numbered_within(part, [*keys, "side"], order, "_n", hot_rows)
+        return lists(ranked.withColumn("part", F.floor((F.col("_n") - 1) / page).cast("int")), ["_n"])
+
+    if long.is_empty:
+        return lists(rows.withColumn("part", F.lit(0)), list(order))
+    # More long groups than a broadcast takes: all rows are numbered.
+    if not long.is_small:
+        return numbered_lists(rows)
+    flagged = _flag_hot(rows, long.df, keys)
+    usual = lists(flagged.where(~F.col("_hot")).withColumn("part", F.lit(0)), list(order))
+    return usual.unionByName(numbered_lists(flagged.where("_hot").drop("_hot")))
 
 
 def first_per_group(df: DataFrame, keys: list[str], order: list[str], n: int, spread: list[str],

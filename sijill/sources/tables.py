@@ -9,7 +9,7 @@ from sijill.operators.graph import flatten_links
 from sijill.sources.files import whole_files
 
 LINKS = "map<string,map<string,map<string,string>>>"
-PLACES = "map<string,struct<name:struct<tr:string>,lat:double,lng:double>>"
+PLACES = "map<string,struct<name:struct<tr:string,ar:string>,lat:double,lng:double,approx:boolean>>"
 ENTRIES = "n int, pageStart int, pageEnd int, heading string, text string"
 
 
@@ -23,9 +23,9 @@ def read_links(spark: SparkSession, path: str, per_line: bool = False) -> DataFr
 
 
 def parse_places(files: DataFrame) -> DataFrame:
-    """(value) with one ``{id: {name, lat, lng}}`` object each → gazetteer."""
+    """(value) with one ``{id: {name, lat, lng, approx}}`` object each → gazetteer."""
     rows = files.select(F.explode_outer(F.from_json("value", PLACES)).alias("id", "p"))
-    return rows.where(F.col("id").isNotNull()).select("id", "p.name", "p.lat", "p.lng")
+    return rows.where(F.col("id").isNotNull()).select("id", "p.name", "p.lat", "p.lng", "p.approx")
 
 
 def read_places(spark: SparkSession, folder: str) -> DataFrame:
