@@ -129,10 +129,13 @@ def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            mask = pa.array([judge(t, shared.value)[2] for t in b.column(b.schema.get_field_index(text)).to_pylist()], pa.bool_())
-            yield pa.RecordBatch.from_arrays([pc.filter(c, mask) for c in b.columns], schema=b.schema)
+            mask = pa.array([judge(t, shared.value)[2] for t in b.column(at).to_pylist()], pa.bool_())
+            yield pa.RecordBatch.from_arrays([pc.filter(c, mask) for c in b.columns], names=by_place)
 
-    return docs.mapInArrow(run, docs.schema)
+    # Columns go by place, as names with dots cannot be asked for inside.
+    at, by_place = docs.columns.index(text), [f"c{i}" for i in range(len(docs.columns))]
+    placed = docs.toDF(*by_place)
+    return placed.mapInArrow(run, placed.schema).toDF(*docs.columns)
 
 
 def teaches(doc_id: Column, parts: int = 4, held_out: int = 2) -> Column:

@@ -92,6 +92,12 @@ def _pair(state: Column, unit: Column) -> Column:
     return F.struct(rest.alias("left"), F.concat(state["done"], decided).cast(_DONE).alias("done"))
 
 
+def _largest_first(units: Column) -> Column:
+    """Units by falling size, so that small ones settle the large ones and what a group leaves over is small."""
+    keyed = F.array_sort(F.transform(units, lambda u: F.struct((-u["size"]).alias("falling"), u.alias("unit"))))
+    return F.transform(keyed, lambda k: k["unit"])
+
+
 def _folded(groups: DataFrame) -> DataFrame:
     """(source, node, left, done) from (source, node, units): the units of each group, rounded pair by pair."""
     first = F.element_at("units", 1)
@@ -117,7 +123,7 @@ def rounded(units: DataFrame, group: int = GROUP) -> DataFrame:
         "source", F.pmod(F.xxhash64("doc_id", "row", "no", F.lit(3)), F.ceil(F.col("n") / group)).alias("node"), unit.alias("unit"))
     results = []
     for level in range(max(levels, 1)):
-        groups = rows.groupBy("source", "node").agg(F.array_sort(F.collect_list("unit")).alias("units"))
+        groups = rows.groupBy("source", "node").agg(_largest_first(F.collect_list("unit")).alias("units"))
         folded = materialise(_folded(groups), "rounded")
         results.append(folded.select("source", F.explode("done").alias("d")).select("source", "d.*"))
         rows = folded.select("source", F.floor(F.col("node") / group).cast("bigint").alias("node"), F.col("left").alias("unit"))

@@ -153,10 +153,13 @@ def good(docs: DataFrame, ratios: np.ndarray, text: str = "text", threshold: flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(b.schema.get_field_index(text)).to_pylist()
+            texts = b.column(at).to_pylist()
             llr = mean_ratios(texts, shared.value)
             kept = [r >= threshold and not base_failed(x[0], x[4]) for r, x in zip(llr, map(base_rules, texts))]
             mask = pa.array(kept, pa.bool_())
-            yield pa.RecordBatch.from_arrays([pc.filter(c, mask) for c in b.columns], schema=b.schema)
+            yield pa.RecordBatch.from_arrays([pc.filter(c, mask) for c in b.columns], names=by_place)
 
-    return docs.mapInArrow(run, docs.schema)
+    # Columns go by place, as names with dots cannot be asked for inside.
+    at, by_place = docs.columns.index(text), [f"c{i}" for i in range(len(docs.columns))]
+    placed = docs.toDF(*by_place)
+    return placed.mapInArrow(run, placed.schema).toDF(*docs.columns)

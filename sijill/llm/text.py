@@ -38,7 +38,7 @@ def row_name(df: DataFrame, *columns: str) -> Column:
 
     A hash skips nulls, so which columns are null goes in as well.
     """
-    parts = [F.col(c).cast("string") for c in columns or sorted(df.columns)]
+    parts = [F.col("`" + c.replace("`", "``") + "`").cast("string") for c in columns or sorted(df.columns)]
     missing = [p.isNull() for p in parts]
     return F.struct(F.xxhash64(*missing, *parts).alias("hi"), F.xxhash64(F.lit(7), *missing, *parts).alias("lo"))
 

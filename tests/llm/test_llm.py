@@ -115,6 +115,8 @@ def test_language_from_letters(spark):
     assert {r.doc_id: r.lang_pred for r in out}[1] == "und" and {r.doc_id: r.lang_pred for r in out}[3] == "und"
     assert len(out) == 28 and all(0 <= r.score <= 1 for r in out)
     kept = language.accepted(table(spark, rows[:4] + AWKWARD[:3]), model)
+    dotted = table(spark, rows[:4] + AWKWARD[:3]).withColumn("a.b", F.lit(1))
+    assert language.accepted(dotted, model).columns == dotted.columns and language.accepted(dotted, model).count() == kept.count()
     assert kept.columns == table(spark, rows[:1]).columns and kept.count() == 4
     assert language.learn(table(spark, rows[:0])) == ()
     assert language.predict(table(spark, rows[:1]), ()).first().lang_pred == "und"
@@ -286,6 +288,8 @@ def test_quality_ratio(spark):
     want = np.mean([math.log(share(t[where[g]], good)) - math.log(share(r[where[g]], raw)) for g in parts(texts[1])])
     assert {x.doc_id: x.llr for x in out}[1] == pytest.approx(float(want))
     assert quality.good(docs, ratios).count() == 90
+    dotted = docs.withColumn("a.b", F.lit(1))
+    assert quality.good(dotted, ratios).columns == dotted.columns and quality.good(dotted, ratios).count() == 90
     assert quality.judged(table(spark, AWKWARD), ratios).where("kept").count() == 1
     assert not quality.learn(docs, labels.limit(0)).any()
     assert quality.judged(docs.limit(0), ratios).count() == 0
@@ -321,6 +325,15 @@ def test_mixing(spark):
     assert all(r.taken == r.size * r.copies <= 3 * r.size for r in out)
     assert mixing.copies(table(spark, rows).limit(0)).count() == 0
     assert mixing.copies(table(spark, AWKWARD)).count() == len(AWKWARD)
+    assert mixing.copies(table(spark, AWKWARD).withColumn("a.b", F.lit(1))).count() == len(AWKWARD)
+
+
+def test_small_documents_settle_large_ones(spark):
+    """With documents far below the target the words taken end close to it, averaged over sources."""
+    rng = random.Random(11)
+    rows = [(i, "w " * rng.randrange(1, 60), None, f"s{i % 12:02}") for i in range(1200)]
+    out = mixing.copies(table(spark, rows)).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert sum(abs(r.taken / r.target - 1) for r in out) / len(out) < 0.01
 
 
 # --- 9 ------------------------------------------------------------------------------
