@@ -11,7 +11,7 @@
 from __future__ import annotations
 
 from functools import cached_property, reduce
-from operator import and_, or_
+from operator import add, and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,16 +35,10 @@ class Lookup:
         self.df, self._max_rows, self._max_bytes = df, max_rows, max_bytes
 
     @cached_property
-    def _seen(self):
-        return self.df.agg(F.count("*").alias("rows"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")).first()
-
-    @property
     def is_small(self) -> bool:
-        return self._seen.rows <= self._max_rows and (self._seen.bytes or 0) <= self._max_bytes
-
-    @property
-    def is_empty(self) -> bool:
-        return self._seen.rows == 0
+        seen = self.df.agg(F.count("*").alias("rows"),
+                           F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")).first()
+        return seen.rows <= self._max_rows and (seen.bytes or 0) <= self._max_bytes
 
     def join(self, rows: DataFrame, on: list[str], how: str = "left", spread: list[str] | None = None) -> DataFrame:
         """Join on equally named columns; ``spread`` names columns that tell rows apart."""
@@ -170,9 +164,11 @@ def paged_sides(df: DataFrame, keys: list[str], order: list[str], value: str, na
     side without entries in a part is an empty list.
     """
     rows = df.select(*dict.fromkeys([*keys, "side", *order, value]))
-    counts = rows.groupBy(*keys).agg(*[F.count_if(F.col("side") == i).alias(f"_n{i}") for i in range(len(names))])
-    over = reduce(or_, [F.col(f"_n{i}") > page for i in range(len(names))])
-    long = Lookup(materialise(counts.where(over).select(*keys), "long-lists"))
+    sizes = [f"_n{i}" for i in range(len(names))]
+    counts = rows.groupBy(*keys).agg(*[F.count_if(F.col("side") == i).alias(n) for i, n in enumerate(sizes)])
+    degrees = materialise(counts.withColumn("_long", reduce(or_, [F.col(n) > page for n in sizes])), "degrees")
+    own = reduce(add, [F.col(n) for n in sizes])
+    seen = degrees.agg(F.sum(own).alias("rows"), F.sum(F.when(F.col("_long"), own)).alias("long")).first()
 
     def lists(part: DataFrame, place: list[str]) -> DataFrame:
         entry = F.struct(*place, F.col(value).alias("_v"))
@@ -184,10 +180,11 @@ def paged_sides(df: DataFrame, keys: list[str], order: list[str], value: str, na
         ranked = numbered_within(part, [*keys, "side"], order, "_n", hot_rows)
         return lists(ranked.withColumn("part", F.floor((F.col("_n") - 1) / page).cast("int")), ["_n"])
 
-    if long.is_empty:
+    if not seen.long:
         return lists(rows.withColumn("part", F.lit(0)), list(order))
-    # More long groups than a broadcast takes: all rows are numbered.
-    if not long.is_small:
+    # Where long groups hold most rows, or are more than a broadcast takes, all rows are numbered.
+    long = Lookup(degrees.where("_long").select(*keys))
+    if 2 * seen.long > seen.rows or not long.is_small:
         return numbered_lists(rows)
     flagged = _flag_hot(rows, long.df, keys)
     usual = lists(flagged.where(~F.col("_hot")).withColumn("part", F.lit(0)), list(order))

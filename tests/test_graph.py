@@ -35,7 +35,7 @@ def test_neighbours_are_both_lists(spark):
 def test_neighbours_take_few_jobs(spark):
     known = _edges(spark)
     context = spark.sparkContext
-    for page, most in ((1000, 4), (50, 8)):
+    for page, most in ((1000, 4), (50, 10)):
         context.setJobGroup(f"neighbours-{page}", "jobs before the action")
         neighbours(known, page)
         jobs = context.statusTracker().getJobIdsForGroup(f"neighbours-{page}")
