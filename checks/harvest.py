@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from checks.data import WORKS, sql_fold, table, works
 from sijill.operators.harvest import (cap_results, classify, correct_types, merge_feeds, publishable, recent, recheck_queue,
                                       since_oldest, unit_due, upsert, with_subjects)
+from sijill.plans.published import create_store, harvest_into, published
+from sijill.session import shared_path
 
 QUERIES, ORACLE = {}, {}
 
@@ -190,3 +192,39 @@ SELECT id, CASE WHEN hit THEN 'kitap' ELSE type END AS type, CASE WHEN hit AND o
 FROM (SELECT *, yokId IS NOT NULL AND coalesce(year >= 1996, false) AS hit FROM pub)
 UNION ALL
 SELECT base || CASE WHEN n > 0 THEN '-' || n ELSE '' END, type, title, language, year, NULL, yokId, 'otomatik', '2026-09-24' FROM numbered"""
+
+
+def harvest_run(spark, sf_dir):
+    """Two runs into a store of the labelled works: a feed of all works, then as many records that are all new."""
+    w = works(spark, sf_dir)
+    store = shared_path(spark, "store")
+    create_store(w.where(F.col("origin").isNotNull()), store, buckets=8)
+    terms = spark.createDataFrame(_TERMS, "category string, field string, term string, weight double")
+    feed = w.select("id", "yokId", F.lit("kitap").alias("type"), F.concat(F.lit("Taze Kitap "), "language").alias("title"),
+                    F.array(F.lit("Kaya, Ali")).alias("authors"), "language", "year", "topics", "abstract", "department")
+    for run, shift in (("1", 0), ("2", 1000000)):
+        records = feed.withColumn("yokId", F.col("yokId") + shift)
+        harvest_into(spark, store, run, [records], _PATTERNS, terms, date(2026, 9, 24), accept=3.0, review=1.5, examine_all=False, years_back=30)
+    return published(spark, store).select("id", "type", "title", "year", "city", F.array_join("topics", ";").alias("topics"), "yokId", "origin")
+
+
+_FEED_TITLES = _CLASSIFIED.replace("title AS t FROM works", "'Taze Kitap ' || language AS t FROM works")
+QUERIES["harvest_run"] = harvest_run
+ORACLE["harvest_run"] = f"""
+WITH {_FEED_TITLES}, subjects(category, subject) AS (VALUES ('fikih_usulu', 'Fıkıh usulü'), ('fikih_tarihi', 'Fıkıh tarihi'),
+  ('fukaha', 'Şahıs çalışmaları'), ('mukayeseli', 'Mukayeseli hukuk'), ('iktisat', 'İslam iktisadı')),
+wanted AS (
+  SELECT w.*, coalesce((SELECT string_agg(subject, ';' ORDER BY subject) FROM scored x JOIN subjects USING (category) WHERE x.id = w.id),
+    array_to_string(w.topics, ';')) AS new_topics
+  FROM works w JOIN staged s ON s.id = w.id AND s.in_department JOIN best b ON b.id = w.id AND b.score >= 3
+  WHERE w.yokId IS NOT NULL AND w.year >= 1996),
+fresh AS (
+  SELECT w.*, w.yokId AS reg, 1 AS run FROM wanted w WHERE w.origin IS NULL UNION ALL SELECT w.*, w.yokId + 1000000, 2 FROM wanted w),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY run, reg) - 1 AS n FROM fresh)
+SELECT p.id, CASE WHEN p.yokId IS NOT NULL THEN 'kitap' ELSE p.type END AS type,
+  CASE WHEN w.id IS NOT NULL THEN 'Taze Kitap ' || p.language ELSE p.title END AS title, p.year, p.city,
+  CASE WHEN w.id IS NOT NULL THEN w.new_topics ELSE array_to_string(p.topics, ';') END AS topics, p.yokId, p.origin
+FROM works p LEFT JOIN wanted w ON w.id = p.id WHERE p.origin IS NOT NULL
+UNION ALL
+SELECT 'kaya-taze-kitap-' || year || CASE WHEN n > 0 THEN '-' || n ELSE '' END, 'kitap', 'Taze Kitap ' || language, year, NULL, new_topics, reg, 'otomatik'
+FROM numbered"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -178,18 +179,28 @@ def correct_types(works: DataFrame, registry: DataFrame) -> DataFrame:
 _NUMBERED = r"^(.*)-(\d{1,18})$"
 
 
-def _new_ids(fresh: DataFrame, works: DataFrame, hot_rows: int) -> DataFrame:
-    """Ids for inserted records that avoid those already published.
+def handed_out(works: DataFrame, bases: DataFrame | None = None) -> DataFrame:
+    """(_base, _last): the largest number taken of each base of an id, or of each of ``bases``.
 
-    A published id may be a base itself or a base with a number; which, the new bases say.
+    A published id may be a base itself or a base with a number; which, the new bases say. So each id is read both ways.
     """
-    based = materialise(fresh.withColumn(
-        "_base", work_slug(F.try_element_at("authors", F.lit(1)), F.col("title"), F.col("year"))), "new-works")
     number = F.regexp_extract("id", _NUMBERED, 2)
     readings = F.array(F.struct(F.col("id").alias("_base"), F.lit(0).cast("bigint").alias("_no")),
                        F.struct(F.regexp_extract("id", _NUMBERED, 1).alias("_base"), F.when(number != "", number.cast("bigint")).alias("_no")))
-    taken = (works.select(F.explode(readings).alias("_r")).select("_r.*").where(F.col("_no").isNotNull())
-             .join(based.select("_base").distinct(), "_base", "left_semi").groupBy("_base").agg(F.max("_no").alias("_last")))
+    read = works.select(F.explode(readings).alias("_r")).select("_r.*").where(F.col("_no").isNotNull())
+    if bases is not None:
+        read = read.join(bases, "_base", "left_semi")
+    return read.groupBy("_base").agg(F.max("_no").alias("_last"))
+
+
+def with_new_ids(fresh: DataFrame, register: Callable[[DataFrame], DataFrame], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Ids for inserted records that avoid those already published.
+
+    ``register`` gives what is taken (see ``handed_out``) of the bases it is called with.
+    """
+    based = materialise(fresh.withColumn(
+        "_base", work_slug(F.try_element_at("authors", F.lit(1)), F.col("title"), F.col("year"))), "new-works")
+    taken = register(based.select("_base").distinct())
     ranked = numbered_within(based, ["_base"], ["yokId"], "_n", hot_rows)
     numbered = spread_join(ranked, taken, ["_base"], "left", spread=["yokId"], hot_rows=hot_rows)
     number = F.col("_n") + F.coalesce("_last", F.lit(-1))
@@ -225,4 +236,4 @@ def upsert(works: DataFrame, feed: DataFrame, run_date: date, years_back: int =
     given_by = {"id": F.lit(None).cast("string"), "yokId": F.col("yokId"), "origin": F.lit(ORIGIN_HARVESTED),
                 "addedAt": F.lit(run_date)}
     fresh = unseen.select(*[given_by.get(c, F.col("_new")[c] if c in fields else None).alias(c) for c in works.columns])
-    return present.unionByName(_new_ids(fresh, works, hot_rows))
+    return present.unionByName(with_new_ids(fresh, lambda bases: handed_out(works, bases), hot_rows))
