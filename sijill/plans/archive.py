@@ -31,8 +31,8 @@ def table(spark: SparkSession, archive: str, name: str) -> DataFrame:
 def build_archive(spark: SparkSession, content: str, links: str, gazetteer: str, archive: str, links_per_line: bool = False) -> None:
     """Read every record file once and write the tables all other jobs start from.
 
-    ``content`` holds the folders scholars, works, posts and pages. With ``links_per_line`` a line of the links is an object of
-    its own, so one large file is read by many tasks.
+    ``content`` holds the folders scholars, works, posts and pages. Links are read by many tasks in any layout; with
+    ``links_per_line`` a line is an object of its own, which costs less.
     """
     def write(df: DataFrame, name: str) -> None:
         df.write.mode("errorifexists").parquet(os.path.join(archive, name))
