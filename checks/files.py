@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from checks.data import EDGES, PEOPLE, PLACES, WORKS, mentions, places, scholars, table, works
 from sijill.operators.graph import flatten_links
+from sijill.session import shared_path
 from sijill.sources.posts import parse_pages, parse_posts
 from sijill.sources.scholars import parse_scholars
-from sijill.sources.tables import LINKS, parse_places
+from sijill.sources.tables import LINKS, parse_places, read_links
 from sijill.sources.works import harvested_ids, parse_works
 
 QUERIES, ORACLE = {}, {}
@@ -168,6 +169,19 @@ QUERIES["link_map"] = link_map
 ORACLE["link_map"] = f"WITH {EDGES} SELECT DISTINCT id, role, idx, other FROM mentions"
 
 
+def links_file(spark, sf_dir):
+    """The same mentions through files, read from any place of them on."""
+    m = mentions(spark, sf_dir).distinct()
+    doc = F.concat(F.lit('{"'), "id", F.lit('": {"'), "role", F.lit('": {"'), F.col("idx").cast("string"), F.lit('": "'), "other", F.lit('"}}}'))
+    folder = shared_path(spark, "links")
+    m.select(doc.alias("value")).write.text(folder)
+    return read_links(spark, folder, pattern="part-*")
+
+
+QUERIES["links_file"] = links_file
+ORACLE["links_file"] = ORACLE["link_map"]
+
+
 def gazetteer_json(spark, sf_dir):
     p = places(spark, sf_dir)
     doc = F.concat(F.lit('{"'), "id", F.lit('":'), F.to_json(F.struct("name", "lat", "lng")), F.lit("}"))

@@ -7,7 +7,8 @@ from pyspark.sql.window import Window
 
 from checks.data import BASE, EDGES, LIST_PAGE, PEOPLE, PLACES, mentions, places, scholars, sql_cell, sql_excerpt, sql_miladi, table
 from sijill.functions.text import summary_text
-from sijill.operators.graph import edges, flatten_links, matched_names, neighbours, student_ids, teacher_ids
+from sijill.operators.graph import (edges, edges_of, flatten_links, matched_names, neighbours, pairs, student_ids, teacher_ids,
+                                    update_pairs)
 from sijill.operators.places import (bounding_boxes, century_places, gazetteer, itineraries, listed_places, map_points, place_lists,
                                      with_place)
 from sijill.operators.records import in_order, scholar_records
@@ -110,6 +111,18 @@ QUERIES["edges_distinct"] = edges_distinct
 ORACLE["edges_distinct"] = f"WITH {EDGES} SELECT * FROM edges"
 
 
+def edges_updated(spark, sf_dir):
+    """All suppliers mention anew, without their second lines; what customers mention stays."""
+    known = materialise(mentions(spark, sf_dir), "mentions")
+    changed = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"))
+    return edges_of(update_pairs(materialise(pairs(known), "pairs"), changed, known.where(F.col("idx") != 2)))
+
+
+QUERIES["edges_updated"] = edges_updated
+ORACLE["edges_updated"] = f"""
+WITH {EDGES.replace("FROM lineitem JOIN orders ON l_orderkey = o_orderkey)", "FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber <> 2)")} SELECT * FROM edges"""
+
+
 def link_flatten(spark, sf_dir):
     # Nested maps per order: its lines are two lists, numbered from 0, so a map is as small as its domain.
     role = F.when(F.col("l_linenumber") % 2 == 1, "teachers").otherwise("students").alias("role")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sijill.operators.scale import HOT_ROWS, PAGE, paged_lists, paged_sides
+from sijill.operators.scale import HOT_ROWS, PAGE, Lookup, paged_lists, paged_sides
 
 # Edges are ordered by the entry that mentions them, teachers before students, then list position.
 EDGE_ORDER = ["source", "role_rank", "idx"]
@@ -20,24 +20,31 @@ def flatten_links(links: DataFrame) -> DataFrame:
             .select("id", "role", F.col("idx").cast("int").alias("idx"), "other"))
 
 
-def edges(mentions: DataFrame) -> DataFrame:
-    """Distinct (teacher, student) pairs with the place of their first mention.
+def pairs(mentions: DataFrame) -> DataFrame:
+    """Distinct (teacher, student) pairs with the least list position on either side, null where that side does not mention them.
 
-    A pair can be mentioned by the student (role teachers) or by the teacher (any other role), so
-    two minima of list positions per pair tell its first mention; both combine map-side.
+    A pair can be mentioned by the student (role teachers) or by the teacher (any other role), so two minima
+    tell its first mention; both combine map-side.
     """
     by_student = F.col("role") == "teachers"
-    pairs = mentions.select(
+    sides = mentions.select(
         F.when(by_student, F.col("other")).otherwise(F.col("id")).alias("teacher"),
         F.when(by_student, F.col("id")).otherwise(F.col("other")).alias("student"),
         F.when(by_student, F.col("idx")).alias("in_teachers"),
         F.when(~by_student, F.col("idx")).alias("in_students"),
     )
-    first = pairs.groupBy("teacher", "student").agg(F.min("in_teachers").alias("in_teachers"),
-                                                    F.min("in_students").alias("in_students"))
+    return _least(sides)
+
+
+def _least(sides: DataFrame) -> DataFrame:
+    return sides.groupBy("teacher", "student").agg(F.min("in_teachers").alias("in_teachers"), F.min("in_students").alias("in_students"))
+
+
+def edges_of(pair_rows: DataFrame) -> DataFrame:
+    """Each pair with the place of its first mention."""
     from_student = F.col("in_teachers").isNotNull() & (
         F.col("in_students").isNull() | (F.col("student") <= F.col("teacher")))
-    return first.select(
+    return pair_rows.select(
         "teacher", "student",
         F.when(from_student, F.col("student")).otherwise(F.col("teacher")).alias("source"),
         F.when(from_student, 0).otherwise(1).alias("role_rank"),
@@ -45,6 +52,33 @@ def edges(mentions: DataFrame) -> DataFrame:
     )
 
 
+def edges(mentions: DataFrame) -> DataFrame:
+    """Distinct (teacher, student) pairs with the place of their first mention."""
+    return edges_of(pairs(mentions))
+
+
+def update_pairs(pair_rows: DataFrame, changed: DataFrame, mentions: DataFrame) -> DataFrame:
+    """``pairs`` after the entries ``changed`` (id) mention what ``mentions`` says and nothing else.
+
+    An entry speaks for one side of its pairs, so only pairs with a changed end are taken apart and grouped again; all others
+    stay as they are, without a shuffle while the changed entries are few. A pair that no side mentions any more goes. Mentions of other entries
+    are not looked at. Positions must not be null; a missing id matches no entry.
+    """
+    entries = changed.select("id").where(F.col("id").isNotNull()).distinct()
+    ends = {"teacher": "_by_teacher", "student": "_by_student"}
+    marked = pair_rows
+    for end, flag in ends.items():
+        marked = Lookup(entries.select(F.col("id").alias(end), F.lit(True).alias(flag))).join(marked, [end], spread=["teacher", "student"])
+    t, s = F.coalesce("_by_teacher", F.lit(False)), F.coalesce("_by_student", F.lit(False))
+    columns = ["teacher", "student", "in_teachers", "in_students"]
+    same = marked.where(~t & ~s).select(*columns)
+    left = marked.where(t | s).select("teacher", "student", F.when(~s, F.col("in_teachers")).alias("in_teachers"),
+                                      F.when(~t, F.col("in_students")).alias("in_students"))
+    new = pairs(Lookup(entries).join(mentions, ["id"], "left_semi", spread=["other", "idx"]))
+    met = _least(left.unionByName(new)).where(F.col("in_teachers").isNotNull() | F.col("in_students").isNotNull())
+    return same.unionByName(met)
+
+
 def teacher_ids(edge_rows: DataFrame, page: int = PAGE, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(id, part, teacher_ids) for each student."""
     rows = edge_rows.select(F.col("student").alias("id"), "teacher", *EDGE_ORDER)

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from sijill.functions.text import page_path
 from sijill.operators.bibliography import filter_works
-from sijill.operators.graph import edges, neighbours
+from sijill.operators.graph import edges_of, neighbours, pairs, update_pairs
 from sijill.operators.pages import catalogue, posts_with_fallback
 from sijill.operators.records import scholar_records
+from sijill.operators.scale import Lookup
 from sijill.session import materialise
 from sijill.sinks import exports
 from sijill.sources.posts import read_pages, read_posts
@@ -28,6 +29,16 @@ def table(spark: SparkSession, archive: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(archive, name))
 
 
+def _write_new(df: DataFrame, archive: str, name: str) -> None:
+    df.write.mode("errorifexists").parquet(os.path.join(archive, name))
+
+
+def _write_graph(spark: SparkSession, archive: str, pair_rows: DataFrame) -> None:
+    _write_new(pair_rows, archive, "pairs")
+    _write_new(edges_of(table(spark, archive, "pairs")), archive, "edges")
+    _write_new(neighbours(table(spark, archive, "edges")), archive, "neighbours")
+
+
 def build_archive(spark: SparkSession, content: str, links: str, gazetteer: str, archive: str, links_per_line: bool = False) -> None:
     """Read every record file once and write the tables all other jobs start from.
 
@@ -35,7 +46,7 @@ def build_archive(spark: SparkSession, content: str, links: str, gazetteer: str,
     ``links_per_line`` a line is an object of its own, which costs less.
     """
     def write(df: DataFrame, name: str) -> None:
-        df.write.mode("errorifexists").parquet(os.path.join(archive, name))
+        _write_new(df, archive, name)
 
     write(read_scholars(spark, os.path.join(content, "scholars")), "scholars")
     # Written as parsed, since a layout by range first samples its input; the id ends
@@ -46,8 +57,16 @@ def build_archive(spark: SparkSession, content: str, links: str, gazetteer: str,
     write(read_pages(spark, os.path.join(content, "pages")), "pages")
     write(read_places(spark, gazetteer), "places")
     write(read_links(spark, links, links_per_line), "mentions")
-    write(edges(table(spark, archive, "mentions")), "edges")
-    write(neighbours(table(spark, archive, "edges")), "neighbours")
+    _write_graph(spark, archive, pairs(table(spark, archive, "mentions")))
+
+
+def update_graph(spark: SparkSession, archive: str, target: str, changed: DataFrame, mentions: DataFrame) -> None:
+    """The link tables of ``archive`` after the entries ``changed`` (id) have the ``mentions`` (id, role, idx, other), written to ``target``."""
+    entries = Lookup(changed.select("id").where(F.col("id").isNotNull()).distinct())
+    kept = entries.join(table(spark, archive, "mentions"), ["id"], "left_anti", spread=["other", "idx"])
+    new = entries.join(mentions, ["id"], "left_semi", spread=["other", "idx"]).select(*kept.columns)
+    _write_new(kept.unionByName(new), target, "mentions")
+    _write_graph(spark, target, update_pairs(table(spark, archive, "pairs"), changed, mentions))
 
 
 def export_scholars(spark: SparkSession, archive: str, out: str, base_url: str) -> None:

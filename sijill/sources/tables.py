@@ -16,15 +16,15 @@ PLACES = "map<string,struct<name:struct<tr:string,ar:string>,lat:double,lng:doub
 ENTRIES = "n int, pageStart int, pageEnd int, heading string, text string"
 
 
-def read_links(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
-    """(id, role, idx, other) from files of ``{id: {role: {index: other}}}``.
+def read_links(spark: SparkSession, path: str, per_line: bool = False, pattern: str = "*.json") -> DataFrame:
+    """(id, role, idx, other) from files of ``{id: {role: {index: other}}}`` whose names fit ``pattern``.
 
     A file may hold one object, however large, or several in a row; it is split over tasks at its quotation marks. With ``per_line``
     each line is an object, which is cheaper to read.
     """
     if per_line:
         return flatten_links(spark.read.text(path).select(F.from_json("value", LINKS).alias("links")))
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").option("lineSep", '"').text(path)
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("lineSep", '"').text(path)
     place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
     return parse_link_pieces(files.select(*place, F.monotonically_increasing_id().alias("pos"), "value"))
 

@@ -9,7 +9,7 @@ from helpers import exported, write_content
 from sijill.operators.bibliography import filter_works
 from sijill.operators.graph import edges, matched_names, neighbours, neighbours_of
 from sijill.operators.pages import fixed_pages, posts_with_fallback, with_alternates
-from sijill.plans.archive import build_archive, export_bibliography, export_scholars, site_catalogue, table
+from sijill.plans.archive import build_archive, export_bibliography, export_scholars, site_catalogue, table, update_graph
 from sijill.sources.files import whole_files
 from sijill.sources.tables import read_links
 from sijill.sources.works import harvested_ids
@@ -205,3 +205,14 @@ def test_long_lists_go_on_in_further_records(spark, read):
     assert [r.part for r in rows] == [0, 1, 2] and [len(r.studentIds) for r in rows] == [10, 10, 5]
     assert sum((r.studentIds for r in rows), []) == [f"s{i:02d}" for i in range(25)]
     assert {r.nameTr for r in rows} == {"Ali b. Veli"} and len({r.url for r in rows}) == 1
+
+
+def test_the_graph_follows_a_changed_entry(spark, archive, read, tmp_path):
+    changed = spark.createDataFrame([("omer",), ("yeni",)], "id string")
+    mentions = spark.createDataFrame([("omer", "students", 0, "bos"), ("yeni", "teachers", 0, "ali")], "id string, role string, idx int, other string")
+    update_graph(spark, str(archive / "tables"), str(tmp_path), changed, mentions)
+    known = table(spark, str(tmp_path), "mentions")
+    assert known.where("id = 'omer'").count() == 1 and known.where("id = 'ali'").count() == read("mentions").where("id = 'ali'").count()
+    assert sorted(table(spark, str(tmp_path), "edges").collect()) == sorted(edges(known).collect())
+    got = {r.id: (r.teacher_ids, r.student_ids) for r in table(spark, str(tmp_path), "neighbours").collect()}
+    assert got["ali"] == (["omer", "kayip-hoca"], ["yeni"]) and got["omer"] == ([], ["ali", "bos"])

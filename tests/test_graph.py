@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from sijill.operators.graph import edges, matched_names, neighbours, student_ids, teacher_ids
+from sijill.operators.graph import edges, edges_of, matched_names, neighbours, pairs, student_ids, teacher_ids, update_pairs
 from sijill.operators.places import gazetteer, itineraries, map_points
 from sijill.session import materialise
 
@@ -71,3 +71,24 @@ def test_places_may_come_without_the_new_fields(spark, tmp_path):
     (tmp_path / "places.json").write_text('{"sam": {"name": {"tr": "Şam"}, "lat": 33.5, "lng": 36.3}}', encoding="utf-8")
     row = read_places(spark, str(tmp_path)).select("id", F.col("name.tr").alias("tr"), F.col("name.ar").alias("ar"), "approx").first()
     assert tuple(row) == ("sam", "Şam", None, None)
+
+
+def test_changed_entries_give_the_edges_of_a_rebuild(spark):
+    draw = random.Random(8)
+    schema = "id string, role string, idx int, other string"
+
+    def mentions_of(node):
+        return [(node, role, i, f"p{draw.randrange(12)}") for role in ("teachers", "students") for i in range(draw.randrange(5))]
+    state = {f"p{i}": mentions_of(f"p{i}") for i in range(12)}
+    known = materialise(pairs(spark.createDataFrame(sum(state.values(), []), schema)), "pairs")
+    for step in range(4):
+        ids = draw.sample(sorted(state), 3) + [f"new{step}"]
+        state |= {i: mentions_of(i) for i in ids} | ({ids[0]: []} if step % 2 else {})
+        # Mentions of entries that did not change are there too and do not count.
+        given = sum((state[i] for i in ids), []) + [("p_other", "teachers", 0, "p1")]
+        changed = spark.createDataFrame([(i,) for i in ids] + [(None,), (ids[1],)], "id string")
+        known = materialise(update_pairs(known, changed, spark.createDataFrame(given, schema)), "pairs")
+        whole = edges(spark.createDataFrame(sum(state.values(), []), schema))
+        assert sorted(edges_of(known).collect(), key=str) == sorted(whole.collect(), key=str)
+    nothing = update_pairs(known, spark.createDataFrame([], "id string"), spark.createDataFrame([], schema))
+    assert sorted(nothing.collect(), key=str) == sorted(known.collect(), key=str)
