@@ -12,18 +12,19 @@ from pyspark.sql import functions as F
 from sijill.functions.citation import bibtex, ris
 from sijill.functions.text import csv_cell, list_cell
 from sijill.operators.records import WORK_COLUMNS, compact_rows, work_records
+from sijill.sinks.verbatim import write_verbatim
 from sijill.values import SCHOLAR_CSV_COLUMNS
 
 # --- Fixed values: byte-order mark and separators of the exports ----------------
 BOM = "\ufeff"
 CSV_LINE_END = "\r\n"
 JSON_LINE_END = "\n"
-BIBTEX_SEPARATOR = "\n\n"
+BIBTEX_LINE_END = "\n"
 RIS_LINE_END = "\r\n"
 
 
 def _with_header(lines: DataFrame, names: list[str], order: list[str]) -> DataFrame:
-    """``lines`` (order columns, value) under one header row that sorts first."""
+    """``lines`` (order columns, value) under one header row that sorts first (``_body``)."""
     spark = lines.sparkSession
     head = spark.range(1).select(*[F.lit(None).cast(lines.schema[c].dataType).alias(c) for c in order],
                                  F.lit(0).alias("_body"), F.lit(BOM + ",".join(names)).alias("value"))
@@ -88,8 +89,14 @@ def _write_text(lines: DataFrame, path: str, separator: str, order: list[str]) -
     lines.orderBy(*order).select("value").write.option("lineSep", separator).text(path)
 
 
+def _write_csv(lines: DataFrame, path: str, order: list[str]) -> None:
+    """Lines with separators between them and none after the last: each but the header brings its own."""
+    value = F.when(F.col("_body") == 0, F.col("value")).otherwise(F.concat(F.lit(CSV_LINE_END), "value"))
+    write_verbatim(lines.orderBy("_body", *order).select(value.alias("value")), path)
+
+
 def write_scholars_csv(records: DataFrame, path: str) -> None:
-    _write_text(scholar_csv(records), path, CSV_LINE_END, ["_body", "order", "part"])
+    _write_csv(scholar_csv(records), path, ["order", "part"])
 
 
 def write_scholars_json(records: DataFrame, path: str) -> None:
@@ -98,7 +105,7 @@ def write_scholars_json(records: DataFrame, path: str) -> None:
 
 
 def write_works_csv(works: DataFrame, path: str) -> None:
-    _write_text(work_csv(works), path, CSV_LINE_END, ["_body", "id"])
+    _write_csv(work_csv(works), path, ["id"])
 
 
 def write_works_json(works: DataFrame, path: str) -> None:
@@ -106,7 +113,11 @@ def write_works_json(works: DataFrame, path: str) -> None:
 
 
 def write_works_bibtex(works: DataFrame, path: str) -> None:
-    _write_text(work_bibtex(works), path, BIBTEX_SEPARATOR, ["id"])
+    """An empty line between entries; the last one ends with its line."""
+    entries = work_bibtex(works)
+    first = entries.agg(F.min("id")).first()[0]
+    spaced = F.when(F.col("id") == first, F.col("value")).otherwise(F.concat(F.lit(BIBTEX_LINE_END), "value"))
+    _write_text(entries.select("id", spaced.alias("value")), path, BIBTEX_LINE_END, ["id"])
 
 
 def write_works_ris(works: DataFrame, path: str) -> None:
