@@ -15,10 +15,11 @@ from sijill.operators.records import scholar_records
 from sijill.operators.scale import Lookup
 from sijill.session import materialise
 from sijill.sinks import exports
+from sijill.sources.files import whole_files
 from sijill.sources.posts import read_pages, read_posts
 from sijill.sources.scholars import read_scholars
 from sijill.sources.tables import read_links, read_places
-from sijill.sources.works import read_works
+from sijill.sources.works import read_works, unread_works
 from sijill.values import LANGUAGES, ORIGIN_HARVESTED
 
 # Facets that filters compare; ordered files let Parquet skip row groups by them.
@@ -43,7 +44,7 @@ def build_archive(spark: SparkSession, content: str, links: str, gazetteer: str,
     """Read every record file once and write the tables all other jobs start from.
 
     ``content`` holds the folders scholars, works, posts and pages. Links are read by many tasks in any layout; with
-    ``links_per_line`` a line is an object of its own, which costs less.
+    ``links_per_line`` a line is an object of its own, which costs less. The table unread names works files with fields that do not parse.
     """
     def write(df: DataFrame, name: str) -> None:
         _write_new(df, archive, name)
@@ -52,6 +53,7 @@ def build_archive(spark: SparkSession, content: str, links: str, gazetteer: str,
     # Written as parsed, since a layout by range first samples its input; the id ends
     # the order, so one large language or year is split over many files.
     works = materialise(read_works(spark, os.path.join(content, "works")), "parsed-works")
+    write(unread_works(whole_files(spark, os.path.join(content, "works"), "*.yaml")), "unread")
     write(works.repartitionByRange(*WORK_LAYOUT).sortWithinPartitions(*WORK_LAYOUT), "works")
     write(read_posts(spark, os.path.join(content, "posts")), "posts")
     write(read_pages(spark, os.path.join(content, "pages")), "pages")

@@ -105,3 +105,15 @@ def read_entries(spark: SparkSession, path: str) -> DataFrame:
 def read_feed(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A landed catalogue feed, one record per line."""
     return spark.read.schema(schema).json(path)
+
+
+def checked_feed(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """``read_feed`` without the lines that do not parse, and those: (path, reason, line).
+
+    A line is set aside whole when it is no JSON object or one of its values is not of the schema's type. Blank lines are neither.
+    """
+    rows = spark.read.schema(f"{schema}, _line string").option("columnNameOfCorruptRecord", "_line").json(path)
+    # Spark has no table of the bad lines alone, so the parsed feed is written and both are read from it.
+    parsed = materialise(rows.select("*", F.col("_metadata.file_path").alias("_path")), "feed")
+    bad = parsed.where(F.col("_line").isNotNull()).select(F.col("_path").alias("path"), F.lit("does not parse").alias("reason"), F.col("_line").alias("line"))
+    return parsed.where(F.col("_line").isNull()).drop("_line", "_path"), bad

@@ -30,6 +30,18 @@ def parse_works(files: DataFrame) -> DataFrame:
     return rows.select("id", *columns)
 
 
+def unread_works(files: DataFrame) -> DataFrame:
+    """(path, reason) of files that ``parse_works`` cannot read whole: no field is found, or a value is not of its type.
+
+    One row per file and reason; empty files have no field. The records stay in ``parse_works`` with nulls in their place.
+    """
+    rows = files.select("path", F.from_json(json_object(F.col("value")), _FIELDS, JSON_OPTIONS).alias("w"))
+    fields = rows.schema["w"].dataType.names
+    nothing = F.when(F.coalesce(*[F.col(f"w.{f}").cast("string") for f in fields]).isNull(), F.lit("no field"))
+    untyped = [F.when(F.col(f"w.{f}").isNotNull() & F.col(f"w.{f}").try_cast(kind).isNull(), F.lit(f"{f} is no {kind}")) for f, kind in _TYPED.items()]
+    return rows.select("path", F.explode(F.array_compact(F.array(nothing, *untyped))).alias("reason"))
+
+
 def read_works(spark: SparkSession, folder: str) -> DataFrame:
     return parse_works(whole_files(spark, folder, "*.yaml"))
 

@@ -11,8 +11,8 @@ from sijill.operators.graph import edges, matched_names, neighbours, neighbours_
 from sijill.operators.pages import fixed_pages, posts_with_fallback, with_alternates
 from sijill.plans.archive import build_archive, export_bibliography, export_scholars, site_catalogue, table, update_graph
 from sijill.sources.files import whole_files
-from sijill.sources.tables import read_links
-from sijill.sources.works import harvested_ids
+from sijill.sources.tables import checked_feed, read_links
+from sijill.sources.works import harvested_ids, unread_works
 
 
 @pytest.fixture(scope="module")
@@ -217,3 +217,16 @@ def test_the_graph_follows_a_changed_entry(spark, archive, read, tmp_path):
     assert sorted(table(spark, str(tmp_path), "edges").collect()) == sorted(edges(known).collect())
     got = {r.id: (r.teacher_ids, r.student_ids) for r in table(spark, str(tmp_path), "neighbours").collect()}
     assert got["ali"] == (["omer", "kayip-hoca"], ["yeni"]) and got["omer"] == ([], ["ali", "bos"])
+
+
+def test_what_does_not_parse_is_named(spark, read, tmp_path):
+    assert read("unread").count() == 0
+    files = spark.createDataFrame([("f:/a.yaml", "title: A\nyear: 20x0\npageCount: 1\nyokId: 7b\n"), ("f:/b.yaml", ""), ("f:/c.yaml", "[[["),
+                                   ("f:/d.yaml", "title: D\nyear: 2020\n"), ("f:/e.yaml", None)], "path string, value string")
+    got = sorted((r.path, r.reason) for r in unread_works(files).collect())
+    assert got == [("f:/a.yaml", "year is no int"), ("f:/a.yaml", "yokId is no bigint"), ("f:/b.yaml", "no field"), ("f:/c.yaml", "no field"),
+                   ("f:/e.yaml", "no field")]
+    (tmp_path / "f.json").write_text('{"id": "a", "n": 1}\n{"id": "b", "n"\n\n{"id": "c", "n": "x"}\n{"id": "d"}\n')
+    good, bad = checked_feed(spark, str(tmp_path), "id string, n int")
+    assert sorted(tuple(r) for r in good.collect()) == [("a", 1), ("d", None)] and good.columns == ["id", "n"]
+    assert sorted(r.line for r in bad.collect()) == ['{"id": "b", "n"', '{"id": "c", "n": "x"}'] and bad.first().path.endswith("f.json")
