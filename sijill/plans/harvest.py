@@ -15,8 +15,13 @@ from sijill.values import STATUS_REJECTED, YEARS_BACK
 def classified_feed(feeds: list[DataFrame], patterns: list[str], terms: DataFrame, accept: float, review: float,
                     examine_all: bool = True) -> DataFrame:
     """Feeds in order of precedence → one routed and tagged row per record, written once."""
-    merged = merge_feeds(feeds).where(since_oldest(F.col("year")))
-    routed = classify(merged, patterns, terms, accept, review, examine_all)
+    return classified_records(merge_feeds(feeds), patterns, terms, accept, review, examine_all)
+
+
+def classified_records(merged: DataFrame, patterns: list[str], terms: DataFrame, accept: float, review: float,
+                       examine_all: bool = True) -> DataFrame:
+    """``classified_feed`` of records that are merged already."""
+    routed = classify(merged.where(since_oldest(F.col("year"))), patterns, terms, accept, review, examine_all)
     tagged = with_subjects(routed, name="subjects")
     return materialise(tagged.withColumn("topics", F.when(F.size("subjects") > 0, F.col("subjects")).otherwise(F.col("topics"))),
                        "classified")
@@ -31,6 +36,6 @@ def harvest_run(works: DataFrame, feeds: list[DataFrame], patterns: list[str], t
     """
     merged = materialise(merge_feeds(feeds), "feeds")
     works = correct_types(works, merged)
-    routed = classified_feed([merged], patterns, terms, accept, review, examine_all)
+    routed = classified_records(merged, patterns, terms, accept, review, examine_all)
     wanted = routed.where((F.col("status") != STATUS_REJECTED) & publishable(F.col("status"), include_review))
     return upsert(works, wanted, run_date, years_back)

@@ -19,7 +19,7 @@ from pyspark.sql.types import BooleanType, DataType, IntegerType, MapType, Struc
 
 from sijill.operators.harvest import handed_out, merge_feeds, publishable, recent, with_new_ids
 from sijill.operators.scale import HOT_ROWS, MAX_SLICES, key_or_own
-from sijill.plans.harvest import classified_feed
+from sijill.plans.harvest import classified_records
 from sijill.session import materialise
 from sijill.values import ORIGIN_HARVESTED, STATUS_REJECTED, YEARS_BACK
 
@@ -35,10 +35,14 @@ def _work_bucket(buckets: int) -> Column:
     return _bucket_of(key_or_own(F.col("yokId"), ["id"]), buckets)
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """Rows by bucket; a large bucket goes to several tasks."""
+    return df.hint("rebalance", BUCKET)
+
+
 def _write_buckets(df: DataFrame, path: str) -> None:
-    """Replace the buckets that ``df`` has rows of; the others keep their files. A large bucket is written by several tasks."""
-    (df.hint("rebalance", BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(BUCKET).parquet(path))
+    """Replace the buckets that ``df``, dealt or read by bucket, has rows of; the others keep their files."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
 
 
 NAMES = f"_base string, _last bigint, {BUCKET} int"
@@ -61,9 +65,9 @@ def _names(spark: SparkSession, folder: str) -> DataFrame:
 def create_store(works: DataFrame, store: str, buckets: int | None = None) -> None:
     """Lay out ``works`` and the register of their ids; by default a bucket has about ``HOT_ROWS`` works."""
     buckets = buckets or min(-(-works.count() // HOT_ROWS) or 1, MAX_SLICES)
-    _write_buckets(works.withColumn(BUCKET, _work_bucket(buckets)), os.path.join(store, "works"))
+    _write_buckets(_dealt(works.withColumn(BUCKET, _work_bucket(buckets))), os.path.join(store, "works"))
     names = handed_out(works)
-    _write_buckets(names.withColumn(BUCKET, _bucket_of(F.col("_base"), buckets)), os.path.join(store, "names"))
+    _write_buckets(_dealt(names.withColumn(BUCKET, _bucket_of(F.col("_base"), buckets))), os.path.join(store, "names"))
     layout = works.sparkSession.range(1).select(F.lit(buckets).alias("buckets"), F.lit(works.schema.json()).alias("columns"))
     layout.write.parquet(os.path.join(store, "layout"))
 
@@ -129,10 +133,10 @@ def _prepare(spark: SparkSession, store: str, folder: str, registry: DataFrame,
     window = wanted.where(F.col("yokId").isNotNull() & recent(F.col("year"), run_date, years_back))
     new = window.select(F.col("yokId").cast("string").alias("_key"), F.struct(*[from_feed(f) for f in columns if f.name in fields]).alias("_new"))
     types = registry.where(F.col("yokId").isNotNull()).groupBy(F.col("yokId").cast("string").alias("_key")).agg(F.max("type").alias("_type"))
-    # Types and fields in one row per id, written once: it names the buckets, and meets them.
-    updates = materialise(types.join(new, "_key", "full").withColumn(BUCKET, _bucket_of(F.col("_key"), buckets)), "updates")
-
-    old = _buckets_of(_works(spark, store, columns), updates).withColumn("_key", key_or_own(F.col("yokId"), ["id"]))
+    # The keys alone name the buckets; types and fields meet them by the same key, so each is moved once.
+    keys = types.select("_key").unionByName(new.select("_key"))
+    old = (_buckets_of(_works(spark, store, columns), keys.select(_bucket_of(F.col("_key"), buckets).alias(BUCKET)))
+           .withColumn("_key", key_or_own(F.col("yokId"), ["id"])))
     harvested = F.col("origin").eqNullSafe(F.lit(ORIGIN_HARVESTED))
 
     def merged(c: str) -> Column:
@@ -141,12 +145,12 @@ def _prepare(spark: SparkSession, store: str, folder: str, registry: DataFrame,
         taken = F.when(harvested, F.col("_new")[c])
         return F.coalesce(F.col("_new")["type"], "_type", "type") if c == "type" else F.coalesce(taken, F.col(c))
 
-    met = old.join(updates.drop(BUCKET), "_key", "left")
+    met = old.join(types, "_key", "left").join(new, "_key", "left")
     changed = reduce(or_, [_differs(merged(f.name), F.col(f.name), f.dataType) for f in columns if f.name in fields])
     names = [f.name for f in columns]
     present = met.select(*[merged(c).alias(c) for c in names], BUCKET, changed.alias("_changed"))
 
-    unseen = updates.where(F.col("_new").isNotNull()).join(old.select("_key"), "_key", "left_anti")
+    unseen = new.join(old.select("_key"), "_key", "left_anti")
     key_type = next(f.dataType for f in columns if f.name == "yokId")
     given = {"id": F.lit(None).cast("string"), "yokId": F.col("_key").cast(key_type), "origin": F.lit(ORIGIN_HARVESTED), "addedAt": F.lit(run_date)}
     fresh = unseen.select(*[given.get(c, F.col("_new")[c] if c in fields else None).alias(c) for c in names])
@@ -157,12 +161,12 @@ def _prepare(spark: SparkSession, store: str, folder: str, registry: DataFrame,
 
     named = materialise(with_new_ids(fresh, register_of, hot_rows), "named")
     inserted = named.withColumns({BUCKET: _work_bucket(buckets), "_changed": F.lit(True)})
-    present.unionByName(inserted).hint("rebalance", BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(os.path.join(folder, "works"))
+    _dealt(present.unionByName(inserted)).write.mode("overwrite").partitionBy(BUCKET).parquet(os.path.join(folder, "works"))
 
     more = handed_out(named)
     both = register_of(more).unionByName(more)
     register = both.groupBy("_base").agg(F.max("_last").alias("_last")).withColumn(BUCKET, _bucket_of(F.col("_base"), buckets))
-    register.hint("rebalance", BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(os.path.join(folder, "names"))
+    _dealt(register).write.mode("overwrite").partitionBy(BUCKET).parquet(os.path.join(folder, "names"))
     _mark(spark, folder, "written")
 
 
@@ -171,6 +175,6 @@ def harvest_into(spark: SparkSession, store: str, run: str, feeds: list[DataFram
                  years_back: int = YEARS_BACK) -> None:
     """``harvest_run`` into a store: the feeds are merged, routed and tagged, then published by buckets."""
     merged = materialise(merge_feeds(feeds), "feeds")
-    routed = classified_feed([merged], patterns, terms, accept, review, examine_all)
+    routed = classified_records(merged, patterns, terms, accept, review, examine_all)
     wanted = routed.where((F.col("status") != STATUS_REJECTED) & publishable(F.col("status"), include_review))
     publish_run(spark, store, run, merged.select("yokId", "type"), wanted, run_date, years_back)
