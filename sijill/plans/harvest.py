@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sijill.operators.harvest import classify, correct_types, merge_feeds, publishable, since_oldest, upsert, with_subjects
@@ -19,14 +19,21 @@ def classified_feed(feeds: list[DataFrame], patterns: list[str], terms: DataFram
 
 
 def classified_records(merged: DataFrame, patterns: list[str], terms: DataFrame, accept: float, review: float,
-                       examine_all: bool = True) -> DataFrame:
-    """``classified_feed`` of records that are merged already."""
+                       examine_all: bool = True, keep: Column | None = None) -> DataFrame:
+    """``classified_feed`` of records that are merged already; of the routed ones only those of ``keep`` are written."""
     routed = classify(merged.where(since_oldest(F.col("year"))), patterns, terms, accept, review, examine_all)
+    if keep is not None:
+        routed = routed.where(keep)
     tagged = with_subjects(routed, name="subjects")
     return materialise(tagged.withColumn("topics", F.when(F.size("subjects") > 0, F.col("subjects")).otherwise(F.col("topics"))),
                        "classified")
 
 
+def wanted_status(include_review: bool) -> Column:
+    """Routed records that are merged: rejected ones stay out, those under review unless asked for."""
+    return (F.col("status") != STATUS_REJECTED) & publishable(F.col("status"), include_review)
+
+
 def harvest_run(works: DataFrame, feeds: list[DataFrame], patterns: list[str], terms: DataFrame, run_date: date,
                 accept: float, review: float, examine_all: bool = True, include_review: bool = False,
                 years_back: int = YEARS_BACK) -> DataFrame:
@@ -36,6 +43,5 @@ def harvest_run(works: DataFrame, feeds: list[DataFrame], patterns: list[str], t
     """
     merged = materialise(merge_feeds(feeds), "feeds")
     works = correct_types(works, merged)
-    routed = classified_records(merged, patterns, terms, accept, review, examine_all)
-    wanted = routed.where((F.col("status") != STATUS_REJECTED) & publishable(F.col("status"), include_review))
+    wanted = classified_records(merged, patterns, terms, accept, review, examine_all, wanted_status(include_review))
     return upsert(works, wanted, run_date, years_back)

@@ -17,11 +17,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DataType, IntegerType, MapType, StructField, StructType
 
-from sijill.operators.harvest import handed_out, merge_feeds, publishable, recent, with_new_ids
+from sijill.operators.harvest import handed_out, merge_feeds, recent, with_new_ids
 from sijill.operators.scale import HOT_ROWS, MAX_SLICES, key_or_own
-from sijill.plans.harvest import classified_records
+from sijill.plans.harvest import classified_records, wanted_status
 from sijill.session import materialise
-from sijill.values import ORIGIN_HARVESTED, STATUS_REJECTED, YEARS_BACK
+from sijill.values import ORIGIN_HARVESTED, YEARS_BACK
 
 BUCKET = "_bucket"
 
@@ -175,6 +175,5 @@ def harvest_into(spark: SparkSession, store: str, run: str, feeds: list[DataFram
                  years_back: int = YEARS_BACK) -> None:
     """``harvest_run`` into a store: the feeds are merged, routed and tagged, then published by buckets."""
     merged = materialise(merge_feeds(feeds), "feeds")
-    routed = classified_records(merged, patterns, terms, accept, review, examine_all)
-    wanted = routed.where((F.col("status") != STATUS_REJECTED) & publishable(F.col("status"), include_review))
+    wanted = classified_records(merged, patterns, terms, accept, review, examine_all, wanted_status(include_review))
     publish_run(spark, store, run, merged.select("yokId", "type"), wanted, run_date, years_back)
