@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,17 +18,50 @@ PLACES = "map<string,struct<name:struct<tr:string,ar:string>,lat:double,lng:doub
 ENTRIES = "n int, pageStart int, pageEnd int, heading string, text string"
 
 
+MAX_LINE = 1 << 20  # bytes of the longest line that is read as one row
+
+
 def read_links(spark: SparkSession, path: str, per_line: bool = False, pattern: str = "*.json") -> DataFrame:
     """(id, role, idx, other) from files of ``{id: {role: {index: other}}}`` whose names fit ``pattern``.
 
-    A file may hold one object, however large, or several in a row; it is split over tasks at its quotation marks. With ``per_line``
-    each line is an object, which is cheaper to read.
+    A file may hold one object, however large, or several in a row. A file whose every line is an object of at most ``MAX_LINE`` bytes, which one
+    look through it tells, is read by lines without a shuffle; any other is split over tasks at its quotation marks. With ``per_line``
+    each line is taken for an object unseen.
     """
     if per_line:
         return flatten_links(spark.read.text(path).select(F.from_json("value", LINKS).alias("links")))
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("lineSep", '"').text(path)
-    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
-    return parse_link_pieces(files.select(*place, F.monotonically_increasing_id().alias("pos"), "value"))
+    files = lambda: spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+    name = F.col("_metadata.file_path").alias("file")
+    # Longer lines are passed over, never held; the bytes of the others then fall short of the file's.
+    lines = files().option("lineSep", "\n").option("mapreduce.input.linerecordreader.line.maxlength", str(MAX_LINE)).text(path)
+    kinds = materialise(_line_files(lines.select(name, F.col("_metadata.file_size").alias("size"), "value")), "link-files")
+    by_line, other = kinds.where("by_line").select("file"), kinds.where("not by_line").select("file")
+    marks = files().option("lineSep", '"').text(path)
+    pieces = marks.select(name, F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"), "value")
+    lines = lines.select(name, "value")
+    seen = kinds.agg(F.count_if("by_line").alias("by_line"), F.count("*").alias("all")).first()
+    if 0 < seen.by_line < seen.all:
+        lines = Lookup(by_line).join(lines, ["file"], "left_semi", spread=["value"])
+        pieces = Lookup(other).join(pieces, ["file"], "left_semi", spread=["block", "pos"])
+    read = []
+    if seen.by_line:
+        read.append(flatten_links(lines.select(F.from_json("value", LINKS).alias("links"))))
+    if seen.by_line < seen.all or not seen.all:
+        read.append(parse_link_pieces(pieces))
+    return reduce(DataFrame.unionByName, read)
+
+
+def _line_files(lines: DataFrame) -> DataFrame:
+    """(file, size, value) of lines → (file, by_line): whether no line is missing and each is blank or one whole object.
+
+    Strings have no line ends, so a line's brackets outside strings tell. An object of links is at most three deep.
+    """
+    text = F.when(F.contains("value", F.lit("\\")), F.regexp_replace("value", r"(?s)\\.", "")).otherwise(F.col("value"))
+    text = F.regexp_replace(text, '"[^"]*"', "")
+    for _ in range(3):
+        text = F.regexp_replace(text, r"\{[^{}]*\}", "x")
+    bytes_read = F.sum(F.octet_length("value") + 1)
+    return lines.groupBy("file").agg((F.bool_and(text.rlike(r"^\s*x?\s*$")) & bytes_read.isin(F.max("size"), F.max("size") + 1)).alias("by_line"))
 
 
 SLICE = 1 << 18     # tokens that are scanned by one task; even, so that a string and what follows it stay together

@@ -58,3 +58,38 @@ def test_a_large_object_is_read_by_many_tasks(spark, tmp_path):
     rows = spark.range(20000 * 9).select(F.floor(F.col("id") / 9).alias("i"), (F.col("id") % 9).cast("int").alias("k")).select(
         F.concat(F.lit("e"), "i").alias("id"), F.lit("teachers").alias("role"), F.col("k").alias("idx"), F.concat(F.lit("teacher number "), F.col("i") % 97, F.lit(" "), "k").alias("other"))
     assert (seen.n, seen.ids) == (180000, 20000) and seen.h == rows.agg(F.sum(F.hash("id", "role", "idx", "other").cast("bigint"))).first()[0]
+
+
+def _refused(pieces):
+    raise AssertionError("read by pieces")
+
+
+def test_a_file_of_one_object_per_line_is_read_by_lines(spark, tmp_path, monkeypatch):
+    links = _links(200)
+    for ascii_ in (True, False):
+        text = "\n".join(json.dumps({k: v}, ensure_ascii=ascii_) for k, v in links.items())
+        (tmp_path / f"{ascii_}.json").write_text(text + ("\r\n \n" if ascii_ else ""), encoding="utf-8")
+    (tmp_path / "nothing.json").write_text("")
+    plain = spark.read.text(str(tmp_path)).select(F.from_json("value", LINKS).alias("links"))
+    monkeypatch.setattr(tables, "parse_link_pieces", _refused)
+    found = read_links(spark, str(tmp_path))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted(found.collect(), key=str)
+    assert len(got) > 500 and got == sorted(flatten_links(plain).collect(), key=str)
+
+
+def test_only_files_with_other_lines_are_read_by_pieces(spark, tmp_path, monkeypatch):
+    a, b, c, d = ({f"{n}{i}": {"teachers": {"0": f"{n} {{{i}\\", "1": None}} for i in range(40)} for n in "abcd")
+    (tmp_path / "lines.json").write_text("\n".join(json.dumps({k: v}) for k, v in a.items()))
+    (tmp_path / "one.json").write_text(json.dumps(b, indent=1))
+    (tmp_path / "two.json").write_text("\n".join(json.dumps({k: v}) * 2 for k, v in c.items()))  # two objects in a line
+    (tmp_path / "long.json").write_text(json.dumps({"a0": a["a0"]}) + "\n" + json.dumps(d) + "\n")
+    monkeypatch.setattr(tables, "MAX_LINE", 1000)
+    got = sorted((r.id, r.idx, r.other) for r in read_links(spark, str(tmp_path)).collect())
+    rows = lambda links: [(k, int(i), o) for k, v in links.items() for i, o in v["teachers"].items()]
+    want = rows(a) + rows(b) + 2 * rows(c) + rows({"a0": a["a0"]}) + rows(d)
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    seen = []
+    monkeypatch.setattr(tables, "parse_link_pieces", lambda p: seen.extend(r.file for r in p.select("file").distinct().collect()) or parse_link_pieces(p))
+    read_links(spark, str(tmp_path))
+    assert sorted(f.rsplit("/")[-1] for f in seen) == ["long.json", "one.json", "two.json"]
