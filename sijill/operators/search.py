@@ -32,6 +32,24 @@ def _table(spark: SparkSession, folder: str, kind: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[kind]).parquet(os.path.join(folder, kind))
 
 
+def _grams(text: Column) -> Column:
+    """The distinct three-letter sequences of a text."""
+    # Plain matches from the first, second and third letter on; an empty match before each letter would take longer.
+    each = [F.regexp_extract_all(F.substring(text, start, 1 << 30) if start > 1 else text, F.lit(f"(?s).{{{GRAM}}}"), F.lit(0))
+            for start in range(1, GRAM + 1)]
+    return F.array_distinct(F.concat(*each))
+
+
+def _postings(titles: DataFrame, buckets: int) -> DataFrame:
+    """(no, gram, bucket) in order within tasks.
+
+    Rows are dealt by bucket, and a large bucket goes to several tasks: unlike ranges of sequences this needs no
+    sample, for which all texts would be taken apart a second time.
+    """
+    rows = titles.select("no", F.explode(_grams(F.col("folded"))).alias("gram")).withColumn("bucket", _bucket(F.col("gram"), buckets))
+    return rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "gram", "no")
+
+
 def write_search_index(works: DataFrame, folder: str, buckets: int = BUCKETS) -> None:
     """Write the index of ``works`` (id, title, titleTranslation). Missing titles and translations have no row.
 
@@ -39,16 +57,14 @@ def write_search_index(works: DataFrame, folder: str, buckets: int = BUCKETS) ->
     """
     spark = works.sparkSession
     fields = F.array_distinct(F.concat(F.array("title"), F.coalesce(F.map_values("titleTranslation"), F.array().cast("array<string>"))))
-    titles = (works.select("id", F.explode(fields).alias("field")).where("field is not null").select("id", fold(F.col("field")).alias("folded"))
+    titles = (works.select("id", F.explode(fields).alias("field")).where("field is not null")
               .withColumn("no", F.monotonically_increasing_id()).withColumn("stretch", _bucket(F.col("no"), buckets)))
-    titles.repartition("stretch").write.partitionBy("stretch").parquet(os.path.join(folder, "titles"))
+    # Texts are folded after they are dealt, as the works may come out of a few tasks.
+    dealt = titles.hint("rebalance", "stretch").select("id", fold(F.col("field")).alias("folded"), "no", "stretch")
+    dealt.write.partitionBy("stretch").parquet(os.path.join(folder, "titles"))
     # Numbers are read back as written, so that postings name the same titles however often a task runs.
-    written = _table(spark, folder, "titles")
-    # An empty match before each letter, so that sequences overlap.
-    grams = F.array_distinct(F.regexp_extract_all("folded", F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
-    postings = written.select("no", F.explode(grams).alias("gram")).withColumn("bucket", _bucket(F.col("gram"), buckets))
-    order = ["bucket", "gram", "no"]
-    (postings.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(os.path.join(folder, "postings")))
+    postings = _postings(_table(spark, folder, "titles"), buckets)
+    postings.write.partitionBy("bucket").parquet(os.path.join(folder, "postings"))
     counts = _table(spark, folder, "postings").groupBy("bucket", "gram").agg(F.count("*").alias("n"))
     counts.repartition("bucket").sortWithinPartitions("gram").write.partitionBy("bucket").parquet(os.path.join(folder, "counts"))
     spark.range(1).select(F.lit(buckets).alias("buckets")).write.parquet(os.path.join(folder, "settings"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sijill.operators.bibliography import matches_text
-from sijill.operators.search import search_titles, write_search_index
+from sijill.operators.search import _grams, _postings, search_titles, write_search_index
 
 TITLES = ["İlmi Eserler", "ILMI eserler", "ılmı", "Üç Harf", "ab", "a", "", None, "Kitab %_ \\ 'x'", "😀😀😀 emoji", "aaaaaa", "x" * 50_000,
           "The Book of the Book", "كتاب العلم"]
@@ -42,3 +42,17 @@ def test_search_reads_the_buckets_of_its_query(spark, out_dir):
 def test_search_in_an_empty_archive(spark, out_dir):
     write_search_index(archive(spark).limit(0), out_dir + "/index", 4)
     assert search_titles(spark, out_dir + "/index", "book").count() == 0 == search_titles(spark, out_dir + "/index", "b").count()
+
+
+def test_texts_are_taken_apart_once(spark):
+    titles = spark.range(100).select(F.col("id").alias("no"), F.concat(F.lit("title number "), "id").alias("folded"))
+    found = _postings(titles, 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "REBALANCE_PARTITIONS_BY_COL" in plan  # ranges would be sampled first
+    assert found.groupBy("gram").count().where("gram = 'num'").first()["count"] == 100
+
+
+def test_sequences_of_odd_texts(spark):
+    texts = [t for t in TITLES if t is not None] + ["a\nb\u2028c\r\nd", "😀a😀b"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", _grams(F.col("t")).alias("g")).collect()
+    assert all(sorted(r.g) == sorted({r.t[i:i + 3] for i in range(len(r.t) - 2)}) for r in rows)
