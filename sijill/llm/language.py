@@ -16,6 +16,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sijill.llm.text import releasing
+
 SAMPLES = 512            # texts a language is learned from, at most
 DICTIONARY = 200 << 10   # bytes of a dictionary; a model has one per language
 PIECE = 256              # characters of a piece of a sampled text
@@ -120,7 +122,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
 
     rows = docs.select(*keep, F.col(text).alias("_text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return rows.mapInArrow(run, f"{kept}, lang_pred string, score double, accepted boolean")
+    return rows.mapInArrow(releasing(run), f"{kept}, lang_pred string, score double, accepted boolean")
 
 
 def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -135,7 +137,7 @@ def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     # Columns go by place, as names with dots cannot be asked for inside.
     at, by_place = docs.columns.index(text), [f"c{i}" for i in range(len(docs.columns))]
     placed = docs.toDF(*by_place)
-    return placed.mapInArrow(run, placed.schema).toDF(*docs.columns)
+    return placed.mapInArrow(releasing(run), placed.schema).toDF(*docs.columns)
 
 
 def teaches(doc_id: Column, parts: int = 4, held_out: int = 2) -> Column:

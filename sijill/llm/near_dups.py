@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sijill.llm.text import chunks, hashed_words, mix, row_name, shingles
+from sijill.llm.text import SMALL, chunks, hashed_words, mix, releasing, row_name, shingles
 from sijill.operators.scale import Lookup, numbered, spread_join
 from sijill.session import materialise
 
@@ -109,7 +109,7 @@ def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(2).to_pylist()
-            for start, end in chunks(texts):
+            for start, end in chunks(texts, SMALL):
                 words, at = hashed_words(texts[start:end])
                 sizes, names, sets = [], [], []
                 for i in range(end - start):
@@ -124,7 +124,7 @@ def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
                     [b.column(0).slice(start, end - start), b.column(1).slice(start, end - start), pa.array(sizes, pa.int64()), pa.array(pair[:, 0].copy()),
                      pa.array(pair[:, 1].copy()), lists], ["doc_id", "name", "n_shingles", "set_hi", "set_lo", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), row_name(docs, text).alias("name"), F.col(text).alias("_text")).mapInArrow(run, _SKETCH)
+    return docs.select(F.col("doc_id").cast("long"), row_name(docs, text).alias("name"), F.col(text).alias("_text")).mapInArrow(releasing(run), _SKETCH)
 
 
 def _registers_of(column: pa.Array) -> np.ndarray:
@@ -148,7 +148,7 @@ def _near(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
             mask = pa.array(estimate(x, y, *sizes) >= _lowest(least, np.minimum(*sizes)))
             yield pa.RecordBatch.from_arrays([b.column(n).filter(mask) for n in "ab"], ["a", "b"])
 
-    return rows.select("a", "b", "size_a", "size_b", "bands_a", "bands_b").mapInArrow(run, "a long, b long")
+    return rows.select("a", "b", "size_a", "size_b", "bands_a", "bands_b").mapInArrow(releasing(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -168,7 +168,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(n).filter(mask) for n in "ab"], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(releasing(run), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -219,7 +219,7 @@ def _shingled(left: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = b.column("_text").to_pylist()
-            for start, end in chunks(found):
+            for start, end in chunks(found, SMALL):
                 words, at = hashed_words(found[start:end])
                 sets = [shingles(words[at[i]:at[i + 1]], SHINGLE) for i in range(end - start)]
                 sizes = np.array([len(s) for s in sets])
@@ -227,7 +227,7 @@ def _shingled(left: DataFrame, texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (each("rep"), each("component"), np.repeat(sizes, sizes),
                                                                         np.concatenate(sets).view(np.int64))], schema=_SHINGLED)
 
-    return left.join(texts, "rep").select("rep", "component", "_text").mapInArrow(run, "rep long, component long, n long, h long")
+    return left.join(texts, "rep").select("rep", "component", "_text").mapInArrow(releasing(run), "rep long, component long, n long, h long")
 
 
 def _needed(total: Column, percent: int) -> Column:

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sijill.llm.text import chunks, joined, mix
+from sijill.llm.text import SMALL, chunks, joined, mix, releasing
 
 GRAM = 4
 BUCKETS = 1 << 16
@@ -96,7 +96,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text") -> np.ndarray:
         raw, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for b in batches:
             texts, marks = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for start, end in chunks(texts):
+            for start, end in chunks(texts, SMALL):
                 found, at = grams(texts[start:end])
                 raw += np.bincount(found, minlength=BUCKETS)
                 mine = np.repeat(np.array([m == 1 for m in marks[start:end]]), np.diff(at))
@@ -104,7 +104,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text") -> np.ndarray:
         used = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(raw[used]), pa.array(good[used])], ["bucket", "raw", "good"])
 
-    counts = (rows.select("_text", "quality").mapInArrow(run, "bucket long, raw long, good long")
+    counts = (rows.select("_text", "quality").mapInArrow(releasing(run), "bucket long, raw long, good long")
               .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toPandas())
     raw, good = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[counts["bucket"]], good[counts["bucket"]] = counts["raw"], counts["good"]
@@ -117,7 +117,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text") -> np.ndarray:
 def mean_ratios(texts: list[str | None], ratios: np.ndarray) -> np.ndarray:
     """Mean log ratio of each text; 0 for a text without n-grams."""
     out = np.zeros(len(texts))
-    for start, end in chunks(texts):
+    for start, end in chunks(texts, SMALL):
         found, at = grams(texts[start:end])
         sums = np.concatenate([[0.0], np.cumsum(ratios[found])])
         sizes, total = np.diff(at), sums[at[1:]] - sums[at[:-1]]
@@ -144,7 +144,7 @@ def judged(docs: DataFrame, ratios: np.ndarray, text: str = "text", threshold: f
                  pa.array(llr, pa.float64()), pa.array(kept, pa.bool_())], ["doc_id", *BASE, "base_failed", "llr", "kept"])
 
     schema = f"doc_id long, {', '.join(f'{c} long' for c in BASE)}, base_failed boolean, llr double, kept boolean"
-    return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("_text")).mapInArrow(releasing(run), schema)
 
 
 def good(docs: DataFrame, ratios: np.ndarray, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -162,4 +162,4 @@ def good(docs: DataFrame, ratios: np.ndarray, text: str = "text", threshold: flo
     # Columns go by place, as names with dots cannot be asked for inside.
     at, by_place = docs.columns.index(text), [f"c{i}" for i in range(len(docs.columns))]
     placed = docs.toDF(*by_place)
-    return placed.mapInArrow(run, placed.schema).toDF(*docs.columns)
+    return placed.mapInArrow(releasing(run), placed.schema).toDF(*docs.columns)

@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS = 1 << 11
 BATCH_BYTES = 4 << 20
+SMALL = 1 << 18  # characters of a chunk whose arrays take several times 8 bytes each
+#: Large arrays and Arrow's buffers go back to the system when they are freed. A worker lives as long as its executor, and by default keeps them.
+WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(1 << 20),
+                 "MALLOC_ARENA_MAX": "2"}
 
 
 def importable(spark: SparkSession) -> None:
     """Have Python workers find this library where the driver does, and get texts in batches of a few megabytes.
 
     On a cluster the library is installed or shipped. A batch has ``BATCH_ROWS`` rows or, with long texts, ``BATCH_BYTES``.
+    What workers free they give back (``WORKER_MEMORY``), unless the session says otherwise.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
@@ -26,6 +33,8 @@ def importable(spark: SparkSession) -> None:
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    for name, value in WORKER_MEMORY.items():
+        environment.setdefault(name, value)
 
 
 def word_count(text: Column) -> Column:
@@ -60,6 +69,24 @@ def chunks(texts: list[str | None], limit: int = 1 << 20) -> Iterator[tuple[int,
         yield start, len(texts)
 
 
+def released() -> None:
+    """Hand freed memory back: a worker goes on with other tasks, and what each step held would add up."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow; what its task held is handed back at the end."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        released()
+
+    return whole
+
+
 def joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts, a blank after each, and the text number of each byte's run as offsets."""
     parts = [(t or "").encode("utf-8", "replace") for t in texts]
