@@ -130,12 +130,22 @@ def term_scores(feed: DataFrame, terms: DataFrame) -> DataFrame:
             .groupBy("id", "category").agg(F.sum("weight").alias("score")))
 
 
+def readable(patterns: list[str], accept: float, review: float, examine_all: bool = True) -> Column:
+    """Records whose texts can decide: of the oldest year or later and, without ``examine_all``, of a matching department.
+
+    Others are rejected, unless a score of 0 is enough.
+    """
+    if min(accept, review) <= 0:
+        return F.lit(True)
+    return since_oldest(F.col("year")) & (F.lit(True) if examine_all else in_department(F.col("department"), patterns))
+
+
 def classify(feed: DataFrame, patterns: list[str], terms: DataFrame, accept: float, review: float,
-             examine_all: bool = True) -> DataFrame:
+             examine_all: bool = True, only: Column | None = None) -> DataFrame:
     """Route each record: accepted, to manual review, or rejected, with its categories.
 
     Without ``examine_all`` only records of a matching department are read for terms, and the others are
-    rejected. The best category's score decides.
+    rejected. The best category's score decides. Of ``only`` some records are asked for, the others still count where they share an id.
     """
     staged = feed.withColumn("_department", in_department(F.col("department"), patterns))
     candidates = staged if examine_all else staged.where("_department")
@@ -145,7 +155,7 @@ def classify(feed: DataFrame, patterns: list[str], terms: DataFrame, accept: flo
     status = (F.when(F.col("score") >= accept, STATUS_ACCEPTED).when(F.col("score") >= review, STATUS_REVIEW)
               .otherwise(STATUS_REJECTED))
     none = F.array().cast("array<string>")
-    return (staged.join(best, "id", "left")
+    return ((staged if only is None else staged.where(only)).join(best, "id", "left")
             .withColumns({"score": F.coalesce("score", F.lit(0).cast("decimal(28,3)")),
                           "categories": F.coalesce("categories", none)})
             .withColumn("status", status).withColumnRenamed("_department", "in_department"))

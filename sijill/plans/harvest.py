@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sijill.operators.harvest import classify, correct_types, merge_feeds, publishable, since_oldest, upsert, with_subjects
+from sijill.operators.harvest import classify, correct_types, merge_feeds, publishable, readable, recent, since_oldest, upsert, with_subjects
 from sijill.session import materialise
 from sijill.values import STATUS_REJECTED, YEARS_BACK
 
@@ -19,9 +19,9 @@ def classified_feed(feeds: list[DataFrame], patterns: list[str], terms: DataFram
 
 
 def classified_records(merged: DataFrame, patterns: list[str], terms: DataFrame, accept: float, review: float,
-                       examine_all: bool = True, keep: Column | None = None) -> DataFrame:
-    """``classified_feed`` of records that are merged already; of the routed ones only those of ``keep`` are written."""
-    routed = classify(merged.where(since_oldest(F.col("year"))), patterns, terms, accept, review, examine_all)
+                       examine_all: bool = True, keep: Column | None = None, only: Column | None = None) -> DataFrame:
+    """``classified_feed`` of records that are merged already; of those of ``only`` the routed ones of ``keep`` are written."""
+    routed = classify(merged.where(since_oldest(F.col("year"))), patterns, terms, accept, review, examine_all, only)
     if keep is not None:
         routed = routed.where(keep)
     tagged = with_subjects(routed, name="subjects")
@@ -34,6 +34,25 @@ def wanted_status(include_review: bool) -> Column:
     return (F.col("status") != STATUS_REJECTED) & publishable(F.col("status"), include_review)
 
 
+def merged_records(feeds: list[DataFrame], patterns: list[str], accept: float, review: float, examine_all: bool = True) -> DataFrame:
+    """``merge_feeds``, written once; a record that is rejected unread leaves all behind but what decides that, and its type.
+
+    It still takes the place of older copies, so it is not left out before.
+    """
+    kept = {"id", "yokId", "year", "department", "type"}
+    read = readable(patterns, accept, review, examine_all)
+    lean = [f.select(*[F.col(c) if c in kept else F.when(read, F.col(c)).alias(c) for c in f.columns])
+            if {"year", "department"} <= set(f.columns) else f for f in feeds]
+    return materialise(merge_feeds(lean), "feeds", "zstd")
+
+
+def wanted_records(merged: DataFrame, patterns: list[str], terms: DataFrame, run_date: date, accept: float, review: float,
+                   examine_all: bool, include_review: bool, years_back: int) -> DataFrame:
+    """The routed records that a run merges: with a registry id, within its years and not rejected. Only such are joined with their scores."""
+    only = F.col("yokId").isNotNull() & recent(F.col("year"), run_date, years_back) & readable(patterns, accept, review, examine_all)
+    return classified_records(merged, patterns, terms, accept, review, examine_all, wanted_status(include_review), only)
+
+
 def harvest_run(works: DataFrame, feeds: list[DataFrame], patterns: list[str], terms: DataFrame, run_date: date,
                 accept: float, review: float, examine_all: bool = True, include_review: bool = False,
                 years_back: int = YEARS_BACK) -> DataFrame:
@@ -41,7 +60,7 @@ def harvest_run(works: DataFrame, feeds: list[DataFrame], patterns: list[str], t
 
     Types follow the registry for all works it knows, also by records that are too old or rejected.
     """
-    merged = materialise(merge_feeds(feeds), "feeds")
+    merged = merged_records(feeds, patterns, accept, review, examine_all)
     works = correct_types(works, merged)
-    wanted = classified_records(merged, patterns, terms, accept, review, examine_all, wanted_status(include_review))
+    wanted = wanted_records(merged, patterns, terms, run_date, accept, review, examine_all, include_review, years_back)
     return upsert(works, wanted, run_date, years_back)

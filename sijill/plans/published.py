@@ -13,13 +13,13 @@ from functools import reduce
 from operator import or_
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DataType, IntegerType, MapType, StructField, StructType
 
-from sijill.operators.harvest import handed_out, merge_feeds, recent, with_new_ids
+from sijill.operators.harvest import handed_out, recent, with_new_ids
 from sijill.operators.scale import HOT_ROWS, MAX_SLICES, key_or_own
-from sijill.plans.harvest import classified_records, wanted_status
+from sijill.plans.harvest import merged_records, wanted_records
 from sijill.session import materialise
 from sijill.values import ORIGIN_HARVESTED, YEARS_BACK
 
@@ -40,9 +40,14 @@ def _dealt(df: DataFrame) -> DataFrame:
     return df.hint("rebalance", BUCKET)
 
 
+def _writer(df: DataFrame) -> DataFrameWriter:
+    """Texts take about half the room as with Spark's default codec."""
+    return df.write.mode("overwrite").option("compression", "zstd").partitionBy(BUCKET)
+
+
 def _write_buckets(df: DataFrame, path: str) -> None:
     """Replace the buckets that ``df``, dealt or read by bucket, has rows of; the others keep their files."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+    _writer(df).option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 NAMES = f"_base string, _last bigint, {BUCKET} int"
@@ -161,12 +166,12 @@ def _prepare(spark: SparkSession, store: str, folder: str, registry: DataFrame,
 
     named = materialise(with_new_ids(fresh, register_of, hot_rows), "named")
     inserted = named.withColumns({BUCKET: _work_bucket(buckets), "_changed": F.lit(True)})
-    _dealt(present.unionByName(inserted)).write.mode("overwrite").partitionBy(BUCKET).parquet(os.path.join(folder, "works"))
+    _writer(_dealt(present.unionByName(inserted))).parquet(os.path.join(folder, "works"))
 
     more = handed_out(named)
     both = register_of(more).unionByName(more)
     register = both.groupBy("_base").agg(F.max("_last").alias("_last")).withColumn(BUCKET, _bucket_of(F.col("_base"), buckets))
-    _dealt(register).write.mode("overwrite").partitionBy(BUCKET).parquet(os.path.join(folder, "names"))
+    _writer(_dealt(register)).parquet(os.path.join(folder, "names"))
     _mark(spark, folder, "written")
 
 
@@ -174,6 +179,6 @@ def harvest_into(spark: SparkSession, store: str, run: str, feeds: list[DataFram
                  accept: float, review: float, examine_all: bool = True, include_review: bool = False,
                  years_back: int = YEARS_BACK) -> None:
     """``harvest_run`` into a store: the feeds are merged, routed and tagged, then published by buckets."""
-    merged = materialise(merge_feeds(feeds), "feeds")
-    wanted = classified_records(merged, patterns, terms, accept, review, examine_all, wanted_status(include_review))
+    merged = merged_records(feeds, patterns, accept, review, examine_all)
+    wanted = wanted_records(merged, patterns, terms, run_date, accept, review, examine_all, include_review, years_back)
     publish_run(spark, store, run, merged.select("yokId", "type"), wanted, run_date, years_back)

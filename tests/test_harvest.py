@@ -10,7 +10,7 @@ from sijill.operators import entries as entries_module
 from sijill.operators.entries import entry_slice, entry_text
 from sijill.operators.harvest import (cap_results, classify, correct_types, in_department, merge_feeds, publishable, recent,
                                       restricted_due, term_scores, unit_due, upsert, with_subjects)
-from sijill.plans.harvest import harvest_run
+from sijill.plans.harvest import harvest_run, merged_records
 from sijill.streaming.landing import snapshot_path, take_new_files
 
 RUN = date(2026, 9, 24)
@@ -214,3 +214,19 @@ def test_an_entry_slice_keeps_a_missing_key(spark):
     entries = spark.createDataFrame([(None, "a"), (2, "b"), (1, "c")], "n int, heading string")
     rows = entry_slice(entries, 1, 2, ["n"]).collect()
     assert sorted((r.position, r.heading) for r in rows) == [(1, "a"), (2, "c")]
+
+
+def test_records_that_are_rejected_unread_leave_their_texts_behind(spark):
+    schema = "id string, yokId long, year int, type string, department string, abstract string"
+    copy = spark.createDataFrame([("a1", 1, 2020, "x", "Hukuk", "old"), ("a2", 2, 2020, "x", "Hukuk", "read"), ("a3", 3, 1900, "x", "Hukuk", "early"),
+                                  ("a4", 4, None, "x", "Hukuk", "no year"), ("a5", None, 2020, "x", "Tarih", "no id")], schema)
+    registry = spark.createDataFrame([("b1", 1, 2020, "y", "Tarih", "new")], schema)
+
+    def merged(*limits, **k):
+        return {r.id: (r.type, r.abstract) for r in merged_records([copy, registry], ["hukuk"], *limits, **k).collect()}
+
+    # A newer copy of another department still takes the older one's place, and gives its type.
+    assert merged(2.0, 1.0, examine_all=False) == {"b1": ("y", None), "a2": ("x", "read"), "a3": ("x", None), "a4": ("x", None), "a5": ("x", None)}
+    assert merged(2.0, 1.0) == {"b1": ("y", "new"), "a2": ("x", "read"), "a3": ("x", None), "a4": ("x", None), "a5": ("x", "no id")}
+    # Where a score of 0 is enough, unread records are merged and stay whole.
+    assert {a for _, a in merged(2.0, 0.0, examine_all=False).values()} == {"new", "read", "early", "no year", "no id"}
